@@ -11,7 +11,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
-
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function of (spark, sf_dir) under a name, with the DuckDB SQL for its rows."""
 
@@ -25,10 +24,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     return keep
 
-
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
-
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+from kgspark.plans import graph  # noqa: E402, F401
