@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules beside this one that register queries.
+MODULES = ("graph", "quality", "changes")
+
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function of (spark, sf_dir) under a name, with the DuckDB SQL for its rows."""
 
@@ -24,10 +29,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     return keep
 
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"kgspark.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
+
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
-
-from kgspark.plans import graph  # noqa: E402, F401
