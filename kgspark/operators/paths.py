@@ -12,13 +12,21 @@ _own: list[str] = []
 
 def settle(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder, so that loops neither grow their plans nor lose work with an executor."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not _own:
-        _own.append(tempfile.mkdtemp(prefix="kgspark-"))
-        context.setCheckpointDir(_own[0])
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one is set where there is none, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="kgspark-"))
+    spark.sparkContext.setCheckpointDir(_own[0])
+    return _own[0]
+
+
 def edges_of(quads: DataFrame, predicate: str) -> DataFrame:
     """src and dst of one predicate's links between nodes."""
     return quads.where((F.col("p") == predicate) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()

@@ -25,7 +25,7 @@ def term_texts(quads: DataFrame) -> DataFrame:
     labels, comments = (T.LABEL, T.SKOS + "prefLabel"), (T.COMMENT, T.SKOS + "definition")
     notes = quads.where(F.col("p").isin(*labels, *comments) & (F.col("o_kind") == "literal"))
     own = terms.join(notes, "s", "left").groupBy("s").agg(*[F.array_sort(F.collect_set(F.when(F.col("p").isin(*ps), F.col("o")))).alias(n) for n, ps in (("labels", labels), ("comments", comments))])
-    parts = F.filter(F.transform(F.concat(F.array(T.local_name(F.col("s"))), "labels", "comments"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.concat(F.array(T.local_name(F.col("s"))), "labels", "comments"), lambda x: F.trim(x)), lambda x: x != "")
     rows = own.select(F.col("s").alias("iri"), F.array_join(parts, " / ").alias("text"))
     return rows.join(deprecated_terms(quads).withColumn("old", F.lit(True)), "iri", "left").select("iri", F.substring("text", 1, MAX_TEXT).alias("source_text"), (F.length("text") > MAX_TEXT).alias("truncated"), F.coalesce("old", F.lit(False)).alias("deprecated"))
 

@@ -138,11 +138,15 @@ AUDIT = (
 )
 
 
-def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def access_rows(events: DataFrame) -> DataFrame:
     """Events as accesses to two terms each."""
     k = F.get_json_object("props", "$.k").cast("long")
     term = lambda c: F.concat(F.lit(BASE + "t"), c.cast("string"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("n"), (F.col("user_id") % 5).cast("string")).alias("namespace"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.col("ts").alias("occurred_at"), F.array(term(k), term((k * 3) % 11)).alias("terms"))
+    return events.select(F.col("event_id").alias("id"), F.concat(F.lit("n"), (F.col("user_id") % 5).cast("string")).alias("namespace"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.col("ts").alias("occurred_at"), F.array(term(k), term((k * 3) % 11)).alias("terms"))
+
+
+def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access_rows(table(spark, sf_dir, "events"))
 
 
 ACCESSES = f"""accesses AS (SELECT event_id AS id, 'n' || (user_id % 5) AS namespace, 'u' || user_id AS actor, ts AS occurred_at, unnest(list_distinct(['{BASE}t' || k, '{BASE}t' || (k * 3 % 11)])) AS term_iri

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules beside this one that register queries.
-MODULES = ("graph", "quality", "changes")
+MODULES = ("graph", "quality", "changes", "crossref", "search", "logs", "catalog")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
