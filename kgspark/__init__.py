@@ -1 +1,8 @@
 """Spark-native operators over governed knowledge graphs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run on executors travel by value, so that the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
