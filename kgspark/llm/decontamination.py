@@ -63,13 +63,13 @@ class Vocabulary:
 
 def shingle_counts(docs: DataFrame, windows: dict) -> dict[bytes, int]:
     """How often each of the windows' shingles occurs in all documents. As many rows come back as the block has shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(x for w in windows for x in shingles(w)))
+    shared = docs.sparkSession.sparkContext.broadcast({x for w in windows for x in shingles(w)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        vocabulary, total = Vocabulary(shared.value), Counter()
         for batch in batches:
             for text in batch.column(0):
-                total.update(x for _, x in shared.value.found(words_of(text.as_py())))
+                total.update(x for _, x in vocabulary.found(words_of(text.as_py())))
         yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
 
     rows = docs.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
@@ -88,10 +88,11 @@ def anchored(windows: dict, counts: dict[bytes, int]) -> dict[bytes, list]:
 
 def _scan(docs: DataFrame, index: dict[bytes, list]) -> DataFrame:
     """docs with the hit words (as merged start, end pairs) and items of this block added to _hits and _items."""
-    shared = docs.sparkSession.sparkContext.broadcast((Vocabulary(index), index))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, anchors = shared.value
+        anchors = shared.value
+        vocabulary = Vocabulary(anchors)
         for batch in batches:
             text, hits, items, n = batch.column("text"), [], [], []
             for t, h, i in zip(text, batch.column("_hits"), batch.column("_items"), strict=True):

@@ -147,11 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the column quality_score (which replaces one of that name); null and empty texts are scored too."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model.__new__(Model)
+        vars(own).update(shared.value)
         for batch in texts:
-            yield pd.Series(shared.value.score(matrix(batch)))
+            yield pd.Series(own.score(matrix(batch)))
 
     return docs.withColumn("quality_score", F.pandas_udf(score, "double")("text"))
 
