@@ -94,9 +94,10 @@ def parse(data: bytes) -> dict | None:
     fields = {}
     for line in head[found.end() :].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon:
+        key = name.strip().lower().decode("latin-1")
+        if not colon or (key in fields and key != "warc-concurrent-to"):  # a header that runs into another record's
             return None
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        fields[key] = value.strip().decode("utf-8", "replace")
     try:
         n = int(fields["content-length"])
         known = int(fields.get("warc-payload-length", n))
