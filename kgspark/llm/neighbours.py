@@ -26,7 +26,7 @@ FIT_ROWS, MAX_LISTS, LIST_ROWS = 20_000, 1024, 400
 FOUND, TRIAL, LEAST_PROBES = 0.98, 400, 8
 #: A list's vectors and a list's queries meet in blocks of so many.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
-COLUMNS, EPSILON, SALTS = 16, 2.1, 64
+COLUMNS, EPSILON, SCAN_QUERIES, SALTS = 16, 2.1, 64, 64
 
 
 def usable(v: Column) -> Column:
@@ -77,46 +77,52 @@ def unit(x: np.ndarray) -> np.ndarray:
 def scan(queries: np.ndarray, block: np.ndarray, keep: int, epsilon: float = EPSILON) -> list[np.ndarray]:
     """For each rotated unit query the rows of the rotated block that may be among its nearest `keep`."""
     n, dim = block.shape
-    columns = [np.ascontiguousarray(block[:, a : a + COLUMNS].T) for a in range(0, dim, COLUMNS)]
+    columns = [np.ascontiguousarray(block[:, a : a + COLUMNS]) for a in range(0, dim, COLUMNS)]
+    squares = (columns[0] ** 2).sum(axis=1)
     out = []
-    for q in queries:
-        live = np.arange(n)
-        sums = ((columns[0] - q[:COLUMNS, None]) ** 2).sum(axis=0)
-        bound = np.inf
-        if n > keep:  # the exact distances of the rows that begin nearest bound the best `keep`
-            first = np.argpartition(sums, keep)[: 2 * keep]
-            exact = np.sort(((block[first] - q) ** 2).sum(axis=1))
-            bound = exact[keep - 1]
-        for i in range(len(columns)):
-            if i:
-                sums = sums + ((columns[i][:, live] - q[i * COLUMNS : (i + 1) * COLUMNS, None]) ** 2).sum(axis=0)
-            seen = min((i + 1) * COLUMNS, dim)
-            slack = 1.0 + 1e-6 if seen == dim else (1 + epsilon / np.sqrt(seen)) ** 2 * seen / dim
-            near = sums <= bound * slack + 1e-6
-            live, sums = live[near], sums[near]
-        out.append(live)
+    for at in range(0, len(queries), SCAN_QUERIES):
+        part = queries[at : at + SCAN_QUERIES]
+        # the first column block, which no candidate can skip, for several queries at once
+        heads = squares + (part[:, :COLUMNS] ** 2).sum(axis=1)[:, None] - 2 * (part[:, :COLUMNS] @ columns[0].T)
+        for q, sums in zip(part, heads, strict=True):
+            live, bound = np.arange(n), np.inf
+            if n > keep:  # the whole distances of the rows that begin nearest bound the best `keep`
+                first = np.argpartition(sums, keep)[: 2 * keep]
+                bound = np.partition(((block[first] - q) ** 2).sum(axis=1), keep - 1)[keep - 1]
+            for i in range(len(columns)):
+                if i:
+                    sums = sums + ((columns[i][live] - q[i * COLUMNS : (i + 1) * COLUMNS]) ** 2).sum(axis=1)
+                seen = min((i + 1) * COLUMNS, dim)
+                slack = 1.0 if seen == dim else (1 + epsilon / np.sqrt(seen)) ** 2 * seen / dim
+                if seen == dim and len(sums) > keep:
+                    bound = np.partition(sums, keep - 1)[keep - 1]
+                near = np.nonzero(sums <= bound * slack + 1e-9)[0]
+                live, sums = live[near], sums[near]
+            out.append(live)
     return out
 
 
+def cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosine of each row with q, summed in order. Scaling by powers of two keeps every digit and avoids overflow."""
+    a = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
+    total = lambda x: np.cumsum(x, axis=-1)[..., -1]
+    return total(a * q) / np.sqrt(total(a * a) * total(q * q))
+
+
 def probe_pairs(cells: pd.DataFrame, queries: pd.DataFrame, keep: int) -> pd.DataFrame:
     """The best `keep` of one block of a list for each query of a block of queries."""
-    empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "vec": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-    if not len(cells) or not len(queries):
-        return empty
-    original = np.array(cells["v"].tolist(), dtype=np.float64)
-    wanted = np.array(queries["v"].tolist(), dtype=np.float64)
-    turn = rotation(original.shape[1])
-    rows, asked = unit(original) @ turn, unit(wanted) @ turn
-    ids, qids = cells["id"].to_numpy(), queries["id"].to_numpy()
-    out = []
-    for i, live in enumerate(scan(asked, rows, keep)):
-        a, q = original[live], wanted[i]
-        scale = np.abs(a).max(axis=1, keepdims=True), np.abs(q).max()
-        a, q = a / scale[0], q / scale[1]
-        score = (a * q).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (q * q).sum())
-        best = np.lexsort((ids[live], -score))[:keep]
-        out.append(pd.DataFrame({"query": np.repeat(qids[i], len(best)), "vec": ids[live][best], "score": score[best]}))
-    return pd.concat(out)
+    found: dict[str, list[np.ndarray]] = {"query": [np.zeros(0, np.int64)], "vec": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+    if len(cells) and len(queries):
+        original, wanted = np.stack(cells["v"].to_numpy()), np.stack(queries["v"].to_numpy())
+        turn = rotation(original.shape[1])
+        ids, qids = cells["id"].to_numpy(), queries["id"].to_numpy()
+        for i, live in enumerate(scan(unit(wanted) @ turn, unit(original) @ turn, keep)):
+            score = cosines(original[live], wanted[i])
+            best = np.lexsort((ids[live], -score))[:keep]
+            for name, x in (("query", np.repeat(qids[i], len(best))), ("vec", ids[live][best]), ("score", score[best])):
+                found[name].append(x)
+    return pd.DataFrame({k: np.concatenate(v) for k, v in found.items()})
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
