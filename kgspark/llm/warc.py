@@ -22,8 +22,8 @@ from kgspark.llm.common import attach, new_path, written
 #: A gzip member without content: fixed by the gzip format.
 EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.1\r\n"
-#: Records in an archive file.
-FILE_RECORDS = 20_000
+#: Compressed bytes after which a task goes on to its next archive; an archive is read whole by one task.
+ARCHIVE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PARSED = "file string, offset long, length long, state string, record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
@@ -47,12 +47,13 @@ def record(kind: str, record_id: str, uri: str, digest: str, n_bytes: int, paylo
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode("utf-8", "surrogatepass") + b"\r\n" + payload + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record for each row of pages (page_id, url, html) to .warc.gz-style archives below path.
 
     Of rows with equal payloads the one with the largest page_id is the response and the others revisit it. A null html is
     an empty payload and a null url an empty one. Rows that repeat a page_id and its payload are responses like it; a row
-    without a page_id revisits a row that has one, or is a response.
+    without a page_id revisits a row that has one, or is a response. Each task counts its archives from 0: archive N of
+    task T is path/archive=N/part-T, of archive_bytes and at most one record more.
     """
 
     def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,21 +69,25 @@ def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS
                 yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), pa.array(out["url"], pa.string()), pa.array(out["sha1"], pa.string()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["body"], pa.binary())], names=list(out))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written_bytes = 0
         for batch in batches:
-            bodies = []
+            bodies, archives = [], []
             for page_id, url, sha1, n_bytes, body, ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if ref is not None and ref != page_id:
                     body = member(record("revisit", "" if page_id is None else str(page_id), url, base64.b32encode(bytes.fromhex(sha1)).decode(), n_bytes, b"", str(ref)))
                 bodies.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["value"])
+                archives.append(written_bytes // archive_bytes)
+                written_bytes += len(body)
+            yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary()), pa.array(archives, pa.int32())], names=["value", "archive"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     digests = rows.select("page_id", F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))).alias("sha1"))
     equal = written(digests.groupBy("sha1").agg(F.max("page_id").alias("ref"), F.count("*").alias("n")).where("n > 1"), "equal-payloads")
     made = rows.mapInArrow(responses, "page_id long, url string, sha1 string, n_bytes long, body binary")
     settled = attach(made, equal, "sha1", "n", digests.count(), "page_id")
-    bodies = settled.select("page_id", "url", "sha1", "n_bytes", "body", F.col("found.ref").alias("ref")).mapInArrow(chosen, "value binary")
-    bodies.select(F.col("value").cast("string").alias("value")).write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", file_records).text(path)
+    bodies = settled.select("page_id", "url", "sha1", "n_bytes", "body", F.col("found.ref").alias("ref")).mapInArrow(chosen, "value binary, archive int")
+    lines = bodies.select(F.col("value").cast("string").alias("value"), "archive")
+    lines.write.partitionBy("archive").option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def parse(data: bytes) -> dict | None:
@@ -178,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, PARSED)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(read, PARSED)
 
 
 def archived(pages: DataFrame) -> DataFrame:
