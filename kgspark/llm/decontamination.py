@@ -20,7 +20,7 @@ from kgspark.llm.common import written
 
 WINDOW, SHINGLE = 13, 3
 #: Item text up to this size is held as one index; a larger benchmark is joined in blocks of it.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: ASCII other than letters and digits separates words; all else belongs to them.
 _WORDS = bytes((i + 32 if 65 <= i <= 90 else i) if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
@@ -29,18 +29,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split() if text else []
 
 
-def windows_of(items: list[tuple]) -> dict[tuple[bytes, ...], set[str]]:
-    """Each window, with the ids of its items."""
-    out: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item_id, text in items:
-        if words := words_of(text):
-            n = min(WINDOW, len(words))
-            for i in range(len(words) - n + 1):
-                out[tuple(words[i : i + n])].add(str(item_id))
-    return out
+def item_words(items: list[tuple]) -> list[tuple[str, list[bytes]]]:
+    """id and words of the items that have any."""
+    return [(item_id, words) for item_id, text in items if (words := words_of(text))]
 
 
-def shingles(words) -> list[bytes]:
+def shingles(words: list[bytes]) -> list[bytes]:
+    """The shingles at each place of an item; the whole of one that is shorter."""
     k = min(SHINGLE, len(words))
     return [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
 
@@ -61,9 +56,9 @@ class Vocabulary:
                     yield i, x
 
 
-def shingle_counts(docs: DataFrame, windows: dict) -> dict[bytes, int]:
-    """How often each of the windows' shingles occurs in all documents. As many rows come back as the block has shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast({x for w in windows for x in shingles(w)})
+def shingle_counts(docs: DataFrame, items: list[tuple[str, list[bytes]]]) -> dict[bytes, int]:
+    """How often each of the items' shingles occurs in all documents. As many rows come back as the block has shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast({x for _, words in items for x in shingles(words)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, total = Vocabulary(shared.value), Counter()
@@ -77,32 +72,36 @@ def shingle_counts(docs: DataFrame, windows: dict) -> dict[bytes, int]:
     return {bytes(r["token"]): r["n"] for r in rows}
 
 
-def anchored(windows: dict, counts: dict[bytes, int]) -> dict[bytes, list]:
-    """The rarest shingle of each window: its place, the window and the items."""
-    out: dict[bytes, list] = defaultdict(list)
-    for window, ids in windows.items():
-        x, at = min((counts.get(x, 0), x, i) for i, x in enumerate(shingles(window)))[1:]
-        out[x].append((at, list(window), ids))
+def anchored(items: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int, int, int]]]:
+    """For the rarest shingle of each window: its place in the window, the item's number, and the window's start and length."""
+    out: dict[bytes, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for number, (_, words) in enumerate(items):
+        n = min(WINDOW, len(words))
+        rarity = [(counts.get(x, 0), x) for x in shingles(words)]
+        for start in range(len(words) - n + 1):
+            _, x, at = min((*rarity[start + i], i) for i in range(n - min(SHINGLE, n) + 1))
+            out[x].append((at, number, start, n))
     return dict(out)
 
 
-def _scan(docs: DataFrame, index: dict[bytes, list]) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], index: dict[bytes, list[tuple[int, int, int, int]]]) -> DataFrame:
     """docs with the hit words (as merged start, end pairs) and items of this block added to _hits and _items."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast((items, index))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = shared.value
+        known, anchors = shared.value
         vocabulary = Vocabulary(anchors)
         for batch in batches:
-            text, hits, items, n = batch.column("text"), [], [], []
+            text, hits, found_items, n = batch.column("text"), [], [], []
             for t, h, i in zip(text, batch.column("_hits"), batch.column("_items"), strict=True):
                 words = words_of(t.as_py())
                 ranges, ids = h.as_py(), set(i.as_py())
                 for place, token in vocabulary.found(words):
-                    for at, window, own in anchors[token]:
-                        if 0 <= (start := place - at) and (end := start + len(window)) <= len(words) and words[start:end] == window:
+                    for at, number, first, length in anchors[token]:
+                        start, end = place - at, place - at + length
+                        if start >= 0 and end <= len(words) and words[start:end] == known[number][1][first : first + length]:
                             ranges += (start, end)
-                            ids |= own
+                            ids.add(known[number][0])
                 merged: list[int] = []
                 for a, b in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
                     if merged and a <= merged[-1]:
@@ -110,9 +109,9 @@ def _scan(docs: DataFrame, index: dict[bytes, list]) -> DataFrame:
                     else:
                         merged += (a, b)
                 hits.append(merged)
-                items.append(sorted(ids))
+                found_items.append(sorted(ids))
                 n.append(len(words))
-            new = {"_hits": pa.array(hits, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string())), "_n_words": pa.array(n, pa.int64())}
+            new = {"_hits": pa.array(hits, pa.list_(pa.int32())), "_items": pa.array(found_items, pa.list_(pa.string())), "_n_words": pa.array(n, pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(f.name)) for f in batch.schema], names=batch.schema.names)
 
     return docs.mapInArrow(scan, docs.schema)
@@ -137,8 +136,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     for i, block in enumerate(item_blocks(benchmark, block_bytes)):
-        windows = windows_of(block)
-        out = _scan(written(out, "decontamination") if i else out, anchored(windows, shingle_counts(docs, windows)))
+        items = item_words(block)
+        out = _scan(written(out, "decontamination") if i else out, items, anchored(items, shingle_counts(docs, items)))
     return out
 
 
