@@ -38,17 +38,22 @@ def path_plus(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     Each round joins the newest pairs with the edges and keeps those not seen; it ends when none is new, so cycles are
     no trouble. From all nodes, rounds double the length: pairs join pairs.
     """
-    edges = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    seen = new = settle(edges.join(starts.select("src").distinct(), "src", "left_semi") if starts is not None else edges)
-    while not new.isEmpty():
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    if starts is None:
+        edges = seen = new = settle(edges)
+    else:
+        edges = settle(edges)
+        seen = new = settle(edges.join(starts.select("src").distinct(), "src", "left_semi"))
+    while True:
         step = (seen if starts is None else edges).select(F.col("src").alias("dst"), F.col("dst").alias("far"))
-        found = new.join(step, "dst").select("src", F.col("far").alias("dst")).distinct()
+        found = new.join(step, "dst").select("src", F.col("far").alias("dst"))
         if starts is None:
             back = seen.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-            found = found.unionByName(back).distinct()
-        new = settle(found.join(seen, ["src", "dst"], "left_anti"))
-        seen = settle(seen.unionByName(new))
-    return seen
+            found = found.unionByName(back)
+        new = settle(found.distinct().join(seen, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
 
 
 def path_star(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import terms as T
-from kgspark.operators.paths import path_star
+from kgspark.operators.paths import path_star, settle
 
 PROBES = 100
 
@@ -50,30 +50,35 @@ def shacl_validate(shapes: DataFrame, data: DataFrame) -> DataFrame:
     focus nodes are the instances of its target class and of the classes below it. Counts are of distinct values, and a
     violated count has no value.
     """
+    shapes = settle(shapes)
+    targets, props = settle(shacl_targets(shapes)), settle(property_shapes(shapes))
     both = shapes.select("s", "p", "o", "o_kind").unionByName(data.select("s", "p", "o", "o_kind"))
     above = path_star(both.where((F.col("p") == T.SUBCLASS) & (F.col("o_kind") == "iri")).select(F.col("s").alias("src"), F.col("o").alias("dst")))
+    of = lambda name, column: objects(shapes, T.SH + name, column).select(F.col("s").alias("prop"), column)
+    items = _list_items(shapes, of("or", "head"))
+    choice = items.join(of("datatype", "dtype").withColumnRenamed("prop", "item"), "item", "left").join(of("class", "cls").withColumnRenamed("prop", "item"), "item", "left").select("prop", F.col("dtype"), F.col("cls").alias("wanted"))
+    wanted = targets.select("class").unionByName(objects(shapes, T.SH + "class", "class").select("class")).distinct()
     types = data.where(F.col("p") == T.TYPE).select(F.col("s").alias("focus"), F.col("o").alias("src"))
-    member = types.join(above, "src").select("focus", F.col("dst").alias("class")).unionByName(types.select("focus", F.col("src").alias("class"))).distinct()
-    focus = shacl_targets(shapes).join(member, "class").select("focus", "shape").distinct()
-    props = property_shapes(shapes)
+    up = above.where("src <> dst").join(wanted.withColumnRenamed("class", "dst"), "dst", "left_semi")
+    member = types.join(up, "src").select("focus", F.col("dst").alias("class")).unionByName(types.select("focus", F.col("src").alias("class")).join(wanted, "class", "left_semi").select("focus", "class")).distinct()
+    member = settle(member)  # instances of the classes that shapes name, and no others
+    focus = targets.join(member, "class").select("focus", "shape").distinct()
     messages = objects(shapes, T.SH + "message", "message").select(F.col("s").alias("prop"), "message").groupBy("prop").agg(F.min("message").alias("message"))
-    values = data.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang")).distinct()
+    values = data.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
     at = focus.join(props, "shape")
-    of = lambda name, column: objects(shapes, T.SH + name, column).select(F.col("s").alias("prop"), column)
+    has = settle(at.join(values.join(props.select("path").distinct(), "path", "left_semi").distinct(), ["focus", "path"]))
 
-    limits = at.join(of("minCount", "least").select("prop", F.col("least").try_cast("int").alias("least")), "prop", "left").join(of("maxCount", "most").select("prop", F.col("most").try_cast("int").alias("most")), "prop", "left").where("least is not null or most is not null")
-    counted = limits.join(values, ["focus", "path"], "left").groupBy("focus", "shape", "prop", "path", "least", "most").agg(F.count("value").alias("n"))
+    limits = of("minCount", "least").select("prop", F.col("least").try_cast("int").alias("least")).join(of("maxCount", "most").select("prop", F.col("most").try_cast("int").alias("most")), "prop", "full_outer").where("least is not null or most is not null")
+    counts = has.groupBy("focus", "shape", "prop").agg(F.count("*").alias("n"))
+    counted = at.join(limits, "prop").join(counts, ["focus", "shape", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bad = F.filter(F.array(F.when(F.col("n") < F.col("least"), "minCount"), F.when(F.col("n") > F.col("most"), "maxCount")), lambda x: x.isNotNull())
     found = [counted.select("focus", "shape", "prop", "path", F.explode(bad).alias("component"), F.lit(None).cast("string").alias("value"))]
 
-    has = at.join(values, ["focus", "path"])
     keep = lambda df, component: df.select("focus", "shape", "prop", "path", F.lit(component).alias("component"), "value").distinct()
     found.append(keep(has.join(of("datatype", "wanted"), "prop").where(~F.coalesce(_typed("value", "kind", "dt", F.col("wanted")), F.lit(False))), "datatype"))
     found.append(keep(has.join(of("pattern", "regex"), "prop").where((F.col("kind") == "bnode") | ~F.expr("value rlike regex")), "pattern"))
     classes = member.select(F.col("focus").alias("value"), F.col("class").alias("wanted"), F.lit(True).alias("is"))
     found.append(keep(has.join(of("class", "wanted"), "prop").join(classes, ["value", "wanted"], "left").where((F.col("kind") == "literal") | F.col("is").isNull()), "class"))
-    items = _list_items(shapes, of("or", "head"))
-    choice = items.join(of("datatype", "dtype").withColumnRenamed("prop", "item"), "item", "left").join(of("class", "cls").withColumnRenamed("prop", "item"), "item", "left").select("prop", F.col("dtype"), F.col("cls").alias("wanted"))
     each = has.join(choice, "prop").join(classes, ["value", "wanted"], "left")
     fits = F.coalesce(_typed("value", "kind", "dt", F.col("dtype")), F.lit(False)) | ((F.col("kind") != "literal") & F.col("is").isNotNull())
     folded = each.groupBy("focus", "shape", "prop", "path", "value", "kind", "dt", "lang").agg(F.bool_or(fits).alias("fits"))
@@ -143,12 +148,17 @@ def divergence_report(shapes: DataFrame, data: DataFrame, mapped: DataFrame, lim
     lacks it, missing says how many), unmapped or unknown; paths cut off after their class was probed have no row. All
     probes are one grouped plan.
     """
-    targets, paths = shacl_targets(shapes), required_paths(shapes)
-    plan = plan_probes(targets, paths, mapped, limit)
-    instances = data.where(F.col("p") == T.TYPE).select(F.col("o").alias("class"), "s").distinct()
-    sizes = instances.join(targets.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.count("*").alias("instances"))
+    targets, paths = settle(shacl_targets(shapes)), settle(required_paths(shapes))
+    plan = settle(plan_probes(targets, paths, mapped, limit))
     wanted = plan.where("path is not null and planned").select("class", "path").distinct()
-    have = instances.join(wanted, "class").join(data.select("s", F.col("p").alias("path")).distinct(), ["s", "path"]).groupBy("class", "path").agg(F.count("*").alias("have"))
+    # one row an instance of a probed class, with its probed paths: read and grouped once for all probes
+    classes = plan.select("class").distinct()
+    own = data.where(F.col("p") == T.TYPE).select("s", F.col("o").alias("class")).join(classes, "class", "left_semi").select("s", F.struct("class", F.lit(None).cast("string").alias("path")).alias("x"))
+    held = data.select("s", F.col("p").alias("path")).join(wanted.select("path").distinct(), "path", "left_semi").select("s", F.struct(F.lit(None).cast("string").alias("class"), "path").alias("x"))
+    nodes = own.unionByName(held).groupBy("s").agg(F.collect_set("x.class").alias("classes"), F.collect_set("x.path").alias("paths")).where("size(classes) > 0")
+    counted = settle(nodes.select(F.explode("classes").alias("class"), "paths").select("class", F.explode(F.concat(F.array(F.lit(None).cast("string")), "paths")).alias("path")).groupBy("class", "path").agg(F.count("*").alias("n")))
+    sizes = counted.where("path is null").select("class", F.col("n").alias("instances"))
+    have = counted.where("path is not null").join(wanted, ["class", "path"], "left_semi").select("class", "path", F.col("n").alias("have"))
     probed = plan.where("path is null").select("class", "shape", "planned")
     is_mapped = mapped.select(F.col("iri").alias("class"), F.lit(True).alias("is_mapped")).distinct()
     classes = targets.join(is_mapped, "class", "left").join(probed, ["class", "shape"], "left").join(sizes, "class", "left")

@@ -141,9 +141,9 @@ def g18(spark, sf_dir):
     return G.cap_rows(ask(spark, sf_dir).match("?c", T.TYPE, D.CUSTOMER).select("c"), 50, "c").select("c", "total", "truncated")
 
 
-@query("g19_cap_triples")
+@query("g19_cap_triples", f"SELECT '{D.DATA}nation/' || n_nationkey AS s, n_name AS o, 'en' AS o_lang FROM nation")
 def g19(spark, sf_dir):
-    return G.cap_triples(D.graph(spark, sf_dir).where(F.col("p") == T.LABEL), 50_000)
+    return G.cap_triples(D.graph(spark, sf_dir).where(F.col("p") == T.LABEL), 50_000).select("s", "o", "o_lang")
 
 
 @query("g20_deprecated_in_result", f"WITH {D.REVISIONS} SELECT DISTINCT o AS iri FROM new WHERE p = '{D.BASE}like' AND o IN (SELECT s FROM new WHERE p = '{T.DEPRECATED}')")
@@ -184,6 +184,18 @@ def s02(spark, sf_dir):
     return S.parse_ntriples(_ntriples(spark, sf_dir), D.NS).where("malformed is null").select("s", "p", "o", "o_kind")
 
 
+@query("s03_write_graph", f"SELECT {TWO} AS g, {D.cust('c_custkey')} AS s, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS o FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def s03(spark, sf_dir):
+    """Two graphs are written, then one of them is replaced."""
+    from uuid import uuid4
+
+    path = f"{P.scratch(spark)}/graphs-{uuid4().hex}"
+    quads = two_graphs(spark, sf_dir)
+    S.write_graph(quads, path)
+    S.write_graph(quads.where("g = 'https://e.example/graph/even'").withColumn("o", F.concat(F.upper("o"), F.lit("!"))), path)
+    return S.read_graphs(spark, path).where(F.col("ns") == D.NS).select("g", "s", "o")
+
+
 @query("s04_drop_graph", f"SELECT {D.cust('c_custkey')} AS s, c_mktsegment AS o FROM customer WHERE c_custkey % 2 = 1 AND c_mktsegment <> 'BUILDING'")
 def s04(spark, sf_dir):
     return S.drop_graph(two_graphs(spark, sf_dir), D.NS, "https://e.example/graph/even").select("s", "o")

@@ -138,32 +138,33 @@ def l16(spark, sf_dir):
     return D.table(spark, sf_dir, "events").select(k.alias("id"), T.generation_provenance(reason).alias("x")).select("id", "x.generated", F.col("x.attempts").cast("long").alias("attempts"), "x.model", "x.struggled")
 
 
-def _streamed(spark, sf_dir):
+def _feed(spark, rows, name):
+    """A folder, and a stream that reads there what rows holds."""
     from uuid import uuid4
 
     from kgspark.operators.paths import scratch
-    from kgspark.streaming import access as A
 
-    folder = f"{scratch(spark)}/stream-{uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    D.table(spark, sf_dir, "events").write.parquet(f"{folder}/in")
-    rows = spark.readStream.schema(schema).parquet(f"{folder}/in")
-    events = D.access_rows(rows).withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
-    run = A.stream_term_access(events, f"{folder}/out", f"{folder}/checkpoint", "60 days")
-    run.awaitTermination()
-    return A.read_term_access(spark, f"{folder}/out")
+    folder = f"{scratch(spark)}/{name}-{uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
 
 @query("t01_stream_access_enrich", f"WITH {LOG} SELECT conv_id * 1000 + turn AS id, sha256(query) AS query_hash, k % 5 IN (1, 3) OR regexp_matches(query, '(?i)(^|[^\\w?$:])graph($|\\W)') AS used_graph_clause FROM log")
 def t01(spark, sf_dir):
-    """The same select that the stream runs, over the whole log."""
     from kgspark.streaming.access import stream_access_enrich
 
     rows = log(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("n0").alias("namespace"), F.col("role").alias("actor"), F.lit(None).cast("timestamp").alias("occurred_at"), "query", F.lit(0).alias("row_count"), F.lit(0).alias("triple_count"), F.array(F.lit("a")).alias("terms"), F.lit("1").alias("default_graph_version"), F.lit(None).cast("string").alias("vkg_source"), F.lit(None).cast("int").alias("vkg_mapping_revision"))
-    return stream_access_enrich(rows).select("id", "query_hash", "used_graph_clause")
+    folder, stream = _feed(spark, rows, "log")
+    run = stream_access_enrich(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "query_hash", "used_graph_clause")
 
 
 @query("t02_stream_term_access", f"WITH {D.ACCESSES} SELECT namespace, term_iri, count(DISTINCT id) AS access_count, max(occurred_at) AS last_accessed_at FROM accesses GROUP BY ALL")
 def t02(spark, sf_dir):
-    return _streamed(spark, sf_dir).withColumn("last_accessed_at", F.col("last_accessed_at").cast("timestamp_ntz"))
+    from kgspark.streaming import access as A
+
+    folder, stream = _feed(spark, D.table(spark, sf_dir, "events"), "events")
+    events = D.access_rows(stream).withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    A.stream_term_access(events, f"{folder}/out", f"{folder}/checkpoint", "60 days").awaitTermination()
+    return A.read_term_access(spark, f"{folder}/out").withColumn("last_accessed_at", F.col("last_accessed_at").cast("timestamp_ntz"))

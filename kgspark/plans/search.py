@@ -87,6 +87,19 @@ def r08(spark, sf_dir):
     return row.select("hits", F.array_join("deprecated_hits", ",").alias("deprecated_hits"), "conclusive")
 
 
+@query("r09_rebuild_embeddings", f"WITH {D.REVISIONS} SELECT s AS iri, CAST(length(s) - {len(D.BASE)} AS INTEGER) AS first, '1.1.0' AS built_from_version FROM new GROUP BY s")
+def r09(spark, sf_dir):
+    """A namespace is built from one revision, then replaced by the next. The model gives the length of the local name."""
+    from uuid import uuid4
+
+    from kgspark.operators.paths import scratch
+
+    path = f"{scratch(spark)}/embeddings-{uuid4().hex}"
+    for new, version in ((False, "1.0.0"), (True, "1.1.0")):
+        R.rebuild_embeddings(D.revision(spark, sf_dir, new), D.NS, version, lambda texts: [[float(len(t.split(" / ")[0]))] for t in texts], "length", path)
+    return spark.read.parquet(path).where(F.col("ns") == D.NS).select("iri", F.col("embedding")[0].cast("int").alias("first"), "built_from_version")
+
+
 @query("r10_embedding_validate", f"SELECT '{D.BASE}p' || vec_id AS iri, CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 5 = 0 THEN 'dimension' ELSE 'gap' END AS fault FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0")
 def r10(spark, sf_dir):
     k, v = F.col("vec_id"), F.col("embedding")
