@@ -85,8 +85,11 @@ def data_iri_prefix(base: Column) -> Column:
     return F.concat(F.regexp_replace(base, r"[#/]+\z", ""), F.lit("/data/"))
 
 
-# What is blanked before keywords are sought, and the keywords.
-NOISE = "|".join((r'"""(?s:[^\\]|\\.)*?"""', r"'''(?s:[^\\]|\\.)*?'''", r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'", r'<[^<>"{}|^`\\\s]*>', r"#[^\n]*"))
+# What is blanked before keywords are sought, and the keywords. Strings are matched without backtracking
+# into them, so long ones don't exhaust the stack.
+NOISE = "|".join((
+    r'"""[^\\"]*+(?:(?:\\(?s:.)|"(?!""))[^\\"]*+)*+"""', r"'''[^\\']*+(?:(?:\\(?s:.)|'(?!''))[^\\']*+)*+'''", r'"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'", r'<[^<>"{}|^`\\\s]*>', r"#[^\n]*",
+))
 FORMS = r"(?iU)\b(SELECT|ASK|CONSTRUCT|DESCRIBE)\b"
 UPDATES = r"(?iU)\b(INSERT|DELETE|LOAD|CLEAR|CREATE|DROP|COPY|MOVE|ADD)\b"
 SERVICE = r"(?iU)\bSERVICE\b"

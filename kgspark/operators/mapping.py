@@ -49,34 +49,43 @@ def key_of(template: str, iri: str) -> dict[str, str] | None:
     return dict(zip(names, map(unquote, found.groups()), strict=True)) if found else None
 
 
-def materialize(spec: list[MapRow], tables: dict[str, DataFrame], ns: str, g: str = "") -> DataFrame:
-    """Quads of all rows, lazily: one select a table. A null column gives no triple, and a null subject none at all.
+def materialize(spec: list[MapRow], tables: dict[str, DataFrame], ns: str, g: str = "", one_pass: bool = False) -> DataFrame:
+    """Quads of all rows, lazily. A null column gives no triple, and a null subject none at all.
 
-    Not deduplicated: a mapping over keyed tables repeats nothing; call distinct() where rows repeat.
+    By default each predicate is a branch of a union with its predicate as a constant: a pattern that names one prunes the
+    other branches and reads only the columns it needs, so a join of patterns becomes a join of the tables. one_pass reads
+    each table once and makes all its triples from a row, for writing a whole graph. A mapping over keyed tables gives
+    distinct quads; call distinct() where rows repeat.
     """
-    out: DataFrame | None = None
-    groups: dict[tuple[str, str], list[MapRow]] = {}
+    groups: dict[tuple[str, str], list[tuple]] = {}
     for row in spec:
-        groups.setdefault((row.table_name, row.subject_template), []).append(row)
-    kind = "p string, o string, o_kind string, o_dt string, o_lang string"
-    for (table, template), rows in groups.items():
-        made = []
-        for c in dict.fromkeys(c for r in rows for c in r.class_iri):
-            made.append((F.lit(T.TYPE), F.lit(c), "iri", None, None))
-        for r in rows:
-            if r.predicate_iri is None:
-                continue
-            if r.object_kind == "column":
-                made.append((F.lit(r.predicate_iri), F.col(r.object_value).cast("string"), "literal", r.o_dt, r.o_lang))
-            elif r.object_kind == "template":
-                made.append((F.lit(r.predicate_iri), from_template(r.object_value), "iri", None, None))
-            else:
-                made.append((F.lit(r.predicate_iri), F.lit(r.object_value), "literal" if r.o_dt or r.o_lang else "iri", r.o_dt, r.o_lang))
-        structs = [F.struct(p.alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), F.lit(lang).cast("string").alias("o_lang")) for p, o, k, dt, lang in made]
-        triples = tables[table].select(from_template(template).alias("s"), F.explode(F.array(*structs).cast(f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")).alias("t"))
-        quads = triples.where("s is not null and t.o is not null").select(F.lit(ns).alias("ns"), F.lit(g).alias("g"), "s", F.lit("iri").alias("s_kind"), "t.*")
-        out = quads if out is None else out.unionByName(quads)
-    return out.select(*COLUMNS)
+        made = groups.setdefault((row.table_name, row.subject_template), [])
+        made += [(T.TYPE, F.lit(c), "iri", None, None) for c in row.class_iri]
+        if row.predicate_iri is None:
+            continue
+        if row.object_kind == "column":
+            made.append((row.predicate_iri, F.col(row.object_value).cast("string"), "literal", row.o_dt, row.o_lang))
+        elif row.object_kind == "template":
+            made.append((row.predicate_iri, from_template(row.object_value), "iri", None, None))
+        else:
+            made.append((row.predicate_iri, F.lit(row.object_value), "literal" if row.o_dt or row.o_lang else "iri", row.o_dt, row.o_lang))
+
+    def columns(p: str, o: Column, kind: str, dt: str | None, lang: str | None) -> list[Column]:
+        return [F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), F.lit(lang).cast("string").alias("o_lang")]
+
+    branches = []
+    for (table, template), made in groups.items():
+        subject = from_template(template).alias("s")
+        if one_pass:
+            triples = F.array(*[F.struct(*columns(*x)) for x in made])
+            branches.append(tables[table].select(subject, F.explode(triples).alias("t")).select("s", "t.*"))
+        else:
+            branches += [tables[table].select(subject, *columns(*x)) for x in made]
+    out = branches[0]
+    for x in branches[1:]:
+        out = out.unionByName(x)
+    out = out.where("s is not null and o is not null")
+    return out.select(F.lit(ns).alias("ns"), F.lit(g).alias("g"), "s", F.lit("iri").alias("s_kind"), "p", "o", "o_kind", "o_dt", "o_lang").select(*COLUMNS)
 
 
 def instances_of(quads: DataFrame, cls: str, hierarchy: DataFrame) -> DataFrame:

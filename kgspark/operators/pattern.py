@@ -27,7 +27,7 @@ class GraphQuery:
         return GraphQuery(self.quads, self.ns, self.rows, g)
 
     def pattern(self, s: str, p: str, o: str, o_kind: str | None = None, details: bool = False) -> DataFrame:
-        """Rows of one triple pattern, distinct as a graph is a set. A repeated variable must be equal."""
+        """Rows of one triple pattern. A repeated variable must be equal. Quads are a set, so rows need no distinct."""
         rows = self.quads.where(F.col("ns") == self.ns)
         places = {"s": s, "p": p, "o": o}
         if self.g is not None and self.g.startswith("?"):
@@ -49,7 +49,7 @@ class GraphQuery:
         if "o" in places and o in (s, p):
             rows = rows.where(F.col("o_kind") != "literal")
         more = [F.col(f"o_{x}").alias(f"{o[1:]}_{x}") for x in ("kind", "dt", "lang")] if details and o.startswith("?") else []
-        return rows.select(*[F.col(c).alias(v) for v, c in bound.items()], *more).distinct()
+        return rows.select(*[F.col(c).alias(v) for v, c in bound.items()], *more)
 
     def _join(self, other: DataFrame, how: str = "inner") -> GraphQuery:
         if self.rows is None:

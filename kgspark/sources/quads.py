@@ -10,7 +10,7 @@ SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
 TERM = ("o", "o_kind", "o_dt", "o_lang")
 
 _NODE = r'<([^<>"{}|^`\\\x00-\x20]*)>|_:([^\s<>"]+)'
-_LINE = rf'\A\s*(?:{_NODE})\s*<([^<>"{{}}|^`\\\x00-\x20]*)>\s*(?:{_NODE}|"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?\z'
+_LINE = rf'\A\s*(?:{_NODE})\s*<([^<>"{{}}|^`\\\x00-\x20]*)>\s*(?:{_NODE}|"([^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+)"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?\z'
 
 
 def quad(ns, g, s, p, o, o_kind="iri", s_kind="iri", o_dt=None, o_lang=None) -> tuple:

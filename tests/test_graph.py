@@ -112,7 +112,7 @@ def test_lineage(spark):
 
 
 def test_ntriples_round_trip(spark, tmp_path):
-    text = 'tab\t "q" back\\slash\nnew é \U0001f600'
+    text = 'tab\t "q" back\\slash\nnew é \U0001f600' + 'long "' * 50_000
     q = S.from_rows(spark, [S.quad("n", "", "urn:a", "urn:p", text, "literal"), S.quad("n", "", "urn:a", "urn:p", "x", "literal", o_lang="en-gb"), S.quad("n", "", "b1", "urn:p", "5", "literal", "bnode", T.XSD + "integer"), S.quad("n", "", "urn:a", "urn:p", "b1", "bnode")])
     S.write_ntriples(q, f"{tmp_path}/nt")
     read, bad = S.read_ntriples(spark, f"{tmp_path}/nt", "n")

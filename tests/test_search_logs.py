@@ -54,7 +54,7 @@ def test_rebuild_replaces_a_namespace(spark, tmp_path):
 
 
 def test_query_forms(spark):
-    cases = [("SELECT * {}", "select", True), ("# SELECT\nask {}", "ask", True), ("CONSTRUCT { ?s ?p 'SELECT' } WHERE { SELECT * {} }", "construct", True), ('DESCRIBE <urn:DROP>', "describe", True), ("SELECT * { SERVICE <u> {} }", "select", False), ("INSERT DATA {}", "unknown", False), ("", "unknown", False), ("SELECT '''a ' DELETE''' {}", "select", True), ("WITH <g> DELETE { ?s ?p ?o } WHERE { SELECT * {} }", "select", False)]
+    cases = [("SELECT * {}", "select", True), ("# SELECT\nask {}", "ask", True), ("CONSTRUCT { ?s ?p 'SELECT' } WHERE { SELECT * {} }", "construct", True), ('DESCRIBE <urn:DROP>', "describe", True), ("SELECT * { SERVICE <u> {} }", "select", False), ("INSERT DATA {}", "unknown", False), ("", "unknown", False), ("SELECT '''a ' DELETE''' {}", "select", True), ("SELECT '" + "x\\' DROP " * 60_000 + "' {}", "select", True), ('SELECT """a "" \\""" DROP ' + '"' * 3 + ' {}', "select", True), ('SELECT "open DROP', "select", False), ("WITH <g> DELETE { ?s ?p ?o } WHERE { SELECT * {} }", "select", False)]
     df = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(cases)], "i int, q string")
     out = df.select("i", T.query_form(F.col("q")), T.is_read_only(F.col("q"))).orderBy("i").collect()
     assert [tuple(r)[1:] for r in out] == [c[1:] for c in cases]
