@@ -43,50 +43,87 @@ def _typed(value: str, kind: str, dt: str, wanted: Column) -> Column:
     return (F.col(kind) == "literal") & (own == wanted) & form
 
 
+# Which kinds of term each sh:nodeKind admits.
+NODE_KINDS = {"IRI": ("iri",), "BlankNode": ("bnode",), "Literal": ("literal",), "BlankNodeOrIRI": ("bnode", "iri"), "IRIOrLiteral": ("iri", "literal"), "BlankNodeOrLiteral": ("bnode", "literal")}
+
+
+def _row_checks() -> dict[str, Column]:
+    """For components that judge one value by itself: the condition on value, kind, dt and wanted that violates them."""
+    value, kind, wanted = F.col("value"), F.col("kind"), F.col("wanted")
+    literal, size, number, bound = kind == "literal", F.length("value"), value.try_cast("double"), wanted.try_cast("double")
+    fails = lambda ok: ~F.coalesce(ok, F.lit(False))
+    node_kind = F.lit(False)
+    for name, kinds in NODE_KINDS.items():
+        node_kind = F.when(wanted == T.SH + name, kind.isin(*kinds)).otherwise(node_kind)
+    return {
+        "datatype": fails(_typed("value", "kind", "dt", wanted)), "pattern": fails((kind != "bnode") & F.expr("value rlike wanted")), "nodeKind": fails(node_kind),
+        "minLength": fails((kind != "bnode") & (size >= wanted.try_cast("int"))), "maxLength": fails((kind != "bnode") & (size <= wanted.try_cast("int"))),
+        "minInclusive": fails(literal & (number >= bound)), "maxInclusive": fails(literal & (number <= bound)), "minExclusive": fails(literal & (number > bound)), "maxExclusive": fails(literal & (number < bound)),
+    }
+
+
 def shacl_validate(shapes: DataFrame, data: DataFrame) -> DataFrame:
     """focus, shape, path, component, value and message of each violation.
 
-    Components minCount, maxCount, datatype, pattern, class and or (of datatypes and classes in an RDF list). A shape's
-    focus nodes are the instances of its target class and of the classes below it. Counts are of distinct values, and a
-    violated count has no value.
+    Components minCount, maxCount, hasValue, datatype, pattern, nodeKind, minLength, maxLength, the four numeric bounds,
+    class, in, and or (of datatypes and classes in an RDF list). A shape's focus nodes are the instances of its target class
+    and of the classes below it. Counts are of distinct values; a violated count or hasValue has no value. Only components
+    that the shapes use become part of the plan; at most all names above come to the driver for that.
     """
+    checks = _row_checks()
+    names = ("minCount", "maxCount", "hasValue", "class", "in", "or", *checks)
     shapes = settle(shapes)
+    used = {r["p"].removeprefix(T.SH) for r in shapes.where(F.col("p").isin(*[T.SH + n for n in names])).select("p").distinct().collect()}
     targets, props = settle(shacl_targets(shapes)), settle(property_shapes(shapes))
+    of = lambda name, column: objects(shapes, T.SH + name, column).select(F.col("s").alias("prop"), column)
+
+    # instances of the classes that shapes name, and no others
     both = shapes.select("s", "p", "o", "o_kind").unionByName(data.select("s", "p", "o", "o_kind"))
     above = path_star(both.where((F.col("p") == T.SUBCLASS) & (F.col("o_kind") == "iri")).select(F.col("s").alias("src"), F.col("o").alias("dst")))
-    of = lambda name, column: objects(shapes, T.SH + name, column).select(F.col("s").alias("prop"), column)
-    items = _list_items(shapes, of("or", "head"))
-    choice = items.join(of("datatype", "dtype").withColumnRenamed("prop", "item"), "item", "left").join(of("class", "cls").withColumnRenamed("prop", "item"), "item", "left").select("prop", F.col("dtype"), F.col("cls").alias("wanted"))
-    wanted = targets.select("class").unionByName(objects(shapes, T.SH + "class", "class").select("class")).distinct()
+    named = targets.select("class").unionByName(objects(shapes, T.SH + "class", "class").select("class")).distinct()
     types = data.where(F.col("p") == T.TYPE).select(F.col("s").alias("focus"), F.col("o").alias("src"))
-    up = above.where("src <> dst").join(wanted.withColumnRenamed("class", "dst"), "dst", "left_semi")
-    member = types.join(up, "src").select("focus", F.col("dst").alias("class")).unionByName(types.select("focus", F.col("src").alias("class")).join(wanted, "class", "left_semi").select("focus", "class")).distinct()
-    member = settle(member)  # instances of the classes that shapes name, and no others
-    focus = targets.join(member, "class").select("focus", "shape").distinct()
-    messages = objects(shapes, T.SH + "message", "message").select(F.col("s").alias("prop"), "message").groupBy("prop").agg(F.min("message").alias("message"))
+    up = above.where("src <> dst").join(named.withColumnRenamed("class", "dst"), "dst", "left_semi")
+    own = types.select("focus", F.col("src").alias("class")).join(named, "class", "left_semi").select("focus", "class")
+    member = settle(types.join(up, "src").select("focus", F.col("dst").alias("class")).unionByName(own).distinct())
+    at = targets.join(member, "class").select("focus", "shape").distinct().join(props, "shape")
     values = data.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
-    at = focus.join(props, "shape")
     has = settle(at.join(values.join(props.select("path").distinct(), "path", "left_semi").distinct(), ["focus", "path"]))
 
-    limits = of("minCount", "least").select("prop", F.col("least").try_cast("int").alias("least")).join(of("maxCount", "most").select("prop", F.col("most").try_cast("int").alias("most")), "prop", "full_outer").where("least is not null or most is not null")
-    counts = has.groupBy("focus", "shape", "prop").agg(F.count("*").alias("n"))
-    counted = at.join(limits, "prop").join(counts, ["focus", "shape", "prop"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    bad = F.filter(F.array(F.when(F.col("n") < F.col("least"), "minCount"), F.when(F.col("n") > F.col("most"), "maxCount")), lambda x: x.isNotNull())
-    found = [counted.select("focus", "shape", "prop", "path", F.explode(bad).alias("component"), F.lit(None).cast("string").alias("value"))]
-
-    keep = lambda df, component: df.select("focus", "shape", "prop", "path", F.lit(component).alias("component"), "value").distinct()
-    found.append(keep(has.join(of("datatype", "wanted"), "prop").where(~F.coalesce(_typed("value", "kind", "dt", F.col("wanted")), F.lit(False))), "datatype"))
-    found.append(keep(has.join(of("pattern", "regex"), "prop").where((F.col("kind") == "bnode") | ~F.expr("value rlike regex")), "pattern"))
+    keep = lambda df, component, value: df.select("focus", "shape", "prop", "path", F.lit(component).alias("component"), value.alias("value")).distinct()
+    none = F.lit(None).cast("string")
+    found = []
+    for name in ("minCount", "maxCount"):
+        if name in used:
+            limit = of(name, "limit").select("prop", F.col("limit").try_cast("int").alias("limit"))
+            counted = at.join(limit, "prop").join(has.groupBy("focus", "shape", "prop").agg(F.count("*").alias("n")), ["focus", "shape", "prop"], "left")
+            n = F.coalesce("n", F.lit(0))
+            found.append(keep(counted.where(n < F.col("limit") if name == "minCount" else n > F.col("limit")), name, none))
+    if "hasValue" in used:
+        want = of("hasValue", "value")
+        found.append(keep(at.join(want, "prop").join(has.select("focus", "prop", "value").distinct(), ["focus", "prop", "value"], "left_anti"), "hasValue", none))
+    for name, violated in checks.items():
+        if name in used:
+            found.append(keep(has.join(of(name, "wanted"), "prop").where(violated), name, F.col("value")))
     classes = member.select(F.col("focus").alias("value"), F.col("class").alias("wanted"), F.lit(True).alias("is"))
-    found.append(keep(has.join(of("class", "wanted"), "prop").join(classes, ["value", "wanted"], "left").where((F.col("kind") == "literal") | F.col("is").isNull()), "class"))
-    each = has.join(choice, "prop").join(classes, ["value", "wanted"], "left")
-    fits = F.coalesce(_typed("value", "kind", "dt", F.col("dtype")), F.lit(False)) | ((F.col("kind") != "literal") & F.col("is").isNotNull())
-    folded = each.groupBy("focus", "shape", "prop", "path", "value", "kind", "dt", "lang").agg(F.bool_or(fits).alias("fits"))
-    found.append(keep(folded.where("not fits"), "or"))
-
-    out = found[0]
-    for x in found[1:]:
+    if "class" in used:
+        judged = has.join(of("class", "wanted"), "prop").join(classes, ["value", "wanted"], "left")
+        found.append(keep(judged.where((F.col("kind") == "literal") | F.col("is").isNull()), "class", F.col("value")))
+    if "in" in used:
+        listed = _list_items(shapes, of("in", "head")).select("prop", F.col("item").alias("value"), F.lit(True).alias("is"))
+        judged = has.join(of("in", "head").select("prop").distinct(), "prop").join(listed, ["prop", "value"], "left")
+        found.append(keep(judged.where("is is null"), "in", F.col("value")))
+    if "or" in used:
+        items = _list_items(shapes, of("or", "head"))
+        dtypes, kinds = of("datatype", "dtype").withColumnRenamed("prop", "item"), of("class", "wanted").withColumnRenamed("prop", "item")
+        choice = items.join(dtypes, "item", "left").join(kinds, "item", "left").select("prop", "dtype", "wanted")
+        fits = F.coalesce(_typed("value", "kind", "dt", F.col("dtype")), F.lit(False)) | ((F.col("kind") != "literal") & F.col("is").isNotNull())
+        folded = has.join(choice, "prop").join(classes, ["value", "wanted"], "left").groupBy("focus", "shape", "prop", "path", "value", "kind", "dt", "lang").agg(F.bool_or(fits).alias("fits"))
+        found.append(keep(folded.where("not fits"), "or", F.col("value")))
+
+    out = at.limit(0).select("focus", "shape", "prop", "path", none.alias("component"), none.alias("value"))
+    for x in found:
         out = out.unionByName(x)
+    messages = objects(shapes, T.SH + "message", "message").select(F.col("s").alias("prop"), "message").groupBy("prop").agg(F.min("message").alias("message"))
     return out.join(messages, "prop", "left").select("focus", "shape", "path", "component", "value", "message").distinct()
 
 

@@ -98,6 +98,37 @@ def v03(spark, sf_dir):
     return V.shacl_validate(shapes(spark, sf_dir), products(spark, sf_dir))
 
 
+def bounds(spark, sf_dir):
+    """Shapes of products with one component of each further kind."""
+    q = lambda s, p, o, kind="iri", sk="bnode": S.quad(D.NS, "shapes", s, p, o, kind, sk)
+    shape = PRODUCT + "Shape"
+    rows = [q(shape, T.TYPE, T.SH + "NodeShape", sk="iri"), q(shape, T.SH + "targetClass", PRODUCT, sk="iri")]
+    facts = ((CODE, "minLength", "3"), (CODE, "maxLength", "4"), (PRICE, "minInclusive", "5"), (PRICE, "maxExclusive", "40"), (MAKER, "nodeKind", T.SH + "IRI"), (RATING, "nodeKind", T.SH + "IRI"), (MAKER, "in", ("m1", "m2", "m3")), (RATING, "hasValue", "fine"))
+    for n, (path, name, value) in enumerate(facts):
+        rows += [q(shape, T.SH + "property", f"b{n}", "bnode", "iri"), q(f"b{n}", T.SH + "path", path)]
+        if name == "in":
+            rows.append(q(f"b{n}", T.SH + "in", "l0", "bnode"))
+            for i, x in enumerate(value):
+                rows += [q(f"l{i}", T.RDF + "first", D.BASE + x), q(f"l{i}", T.RDF + "rest", f"l{i + 1}" if i + 1 < len(value) else T.RDF + "nil", "bnode" if i + 1 < len(value) else "iri")]
+        else:
+            rows.append(q(f"b{n}", T.SH + name, value, "iri" if name == "nodeKind" else "literal"))
+    return S.from_rows(spark, rows)
+
+
+CODES = "(CASE WHEN p_partkey % 6 = 0 THEN 'p' ELSE 'P' END || p_partkey)"
+
+
+@query(
+    "v03_shacl_bounds",
+    f"""SELECT {ITEM} AS focus, '{CODE}' AS path, 'minLength' AS component, {CODES} AS value FROM part WHERE length({CODES}) < 3 UNION ALL SELECT {ITEM}, '{CODE}', 'maxLength', {CODES} FROM part WHERE length({CODES}) > 4
+  UNION ALL SELECT DISTINCT {ITEM}, '{PRICE}', c, v FROM (SELECT p_partkey, v, unnest(['minInclusive', 'maxExclusive']) AS c FROM (SELECT p_partkey, CASE WHEN p_partkey % 8 = 0 THEN 'dear' ELSE p_size::VARCHAR END AS v FROM part UNION SELECT p_partkey, '1' FROM part WHERE p_partkey % 9 = 0)) WHERE NOT coalesce(CASE c WHEN 'minInclusive' THEN TRY_CAST(v AS DOUBLE) >= 5 ELSE TRY_CAST(v AS DOUBLE) < 40 END, false)
+  UNION ALL SELECT {ITEM}, '{RATING}', 'nodeKind', ['4', 'fine', '4.5'][p_partkey % 4 + 1] FROM part WHERE p_partkey % 4 < 3 UNION ALL SELECT {ITEM}, '{MAKER}', 'in', '{D.BASE}m' || (p_partkey % 10) FROM part WHERE p_partkey % 10 NOT IN (1, 2, 3)
+  UNION ALL SELECT {ITEM}, '{RATING}', 'hasValue', NULL FROM part WHERE p_partkey % 4 <> 1""",
+)
+def v03_bounds(spark, sf_dir):
+    return V.shacl_validate(bounds(spark, sf_dir), products(spark, sf_dir)).select("focus", "path", "component", "value")
+
+
 @query("v04_shacl_report", f"SELECT true AS shapes_conform, count(*) = 0 AS data_conform, count(*) = 0 AS conforms, count(*) AS violations FROM ({VIOLATIONS})")
 def v04(spark, sf_dir):
     return V.shacl_report(shapes(spark, sf_dir).where(F.col("o") != "x"), products(spark, sf_dir))
