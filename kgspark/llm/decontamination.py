@@ -13,7 +13,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import written
@@ -141,16 +141,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     return out
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, *carry: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated: at least a twentieth of the words is hit. With the columns `carry`."""
-    names = [f"_c{i}" for i in range(len(carry))]
-    slim = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
-    found = hits(slim, benchmark, block_bytes)
-    n_hit = F.aggregate("_hits", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")), lambda a: a["sum"])
-    out = found.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), *[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)])
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+def judged(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated: at least a twentieth of the words is hit."""
+    found = hits(docs.select("doc_id", "text"), benchmark, block_bytes).withColumn("n_hit", _n_hit())
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), _contaminated().alias("contaminated"))
+
+
+def _n_hit() -> Column:
+    """The summed lengths of the ranges in _hits: ends less starts."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign"))
+    return F.aggregate("_hits", start, lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")), lambda a: a["sum"])
+
+
+def _contaminated() -> Column:
+    return (_n_hit() > 0) & (20 * _n_hit() >= F.col("_n_words"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    return judged(docs.withColumn("_row", F.struct(*docs.columns)), benchmark, "_row").where(~F.col("contaminated")).select("_row.*")
+    """docs without the contaminated ones. Columns travel under numbers, so that no name can clash."""
+    rest = [c for c in docs.columns if c != "text"]
+    numbered = docs.select("text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
+    back = {c: F.col(f"_{i}").alias(c) for i, c in enumerate(rest)}
+    return hits(numbered, benchmark).where(~_contaminated()).select(*[back.get(c, F.col(c)) for c in docs.columns])
