@@ -5,6 +5,10 @@ the edges k with |d - k| <= r. One tree over all fingerprints would have to be b
 size, so the trees are sharded: fingerprints that differ in at most 3 of 64 bits agree on one of four 16-bit blocks,
 and each shard (block, value) gets a tree of its own in the task that holds its rows. Each shard returns a star for each
 group that it finds, never all pairs.
+
+keep_one() has no digest contract: it groups texts whose sets of five-word shingles have a similarity of 0.8 or more.
+There about 10 of 64 bits are expected to differ, and no block of a useful width then stays equal, so its candidates
+come from MinHash bands; each candidate group is then compared on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -27,21 +31,33 @@ SMALL, LEAF = 32, 64
 #: Shards beyond this are split by 3 of 6 blocks: at 3 differing bits, three of six blocks agree.
 SHARD_ROWS = 50_000
 BLOCKS6 = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+#: keep_one: words in a shingle, and the similarity of near copies as numerator and denominator.
+COPY_WORDS, ALIKE = 5, (4, 5)
+#: MinHash bands and values in each: a pair at similarity 0.8 agrees on no band with probability (1 - 0.8 ** 4) ** 20, 0.00003.
+BANDS, BAND_ROWS = 20, 4
+_seeds = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+FLIPS, FACTORS = _seeds[0], _seeds[1] | np.uint64(1)
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """The signed 64-bit fingerprint of a text's word shingles; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """The hashes of a text's word shingles in their order; none for a text without words."""
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in found])
-        starts = np.concatenate(([0], ends[:-words])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = np.cumsum([len(w) + 1 for w in found])
+    starts = np.concatenate(([0], ends[:-words])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
+
+
+def simhash(text: str | None, words: int = 3) -> int:
+    """The signed 64-bit fingerprint of a text's word shingles; 0 for a text without words."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     h = np.array(hashes, dtype=">u8")
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 8192):
@@ -246,10 +262,99 @@ def simhash_groups(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return attach(base, groups, "fp", "n", base.count(), "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "found.component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, COPY_WORDS), dtype=np.uint64))
+
+
+def sketches(texts: pd.Series) -> pd.DataFrame:
+    """node, a hash of the text's whole shingle set (0 for an empty one), and the keys of its MinHash bands."""
+    nodes, bands = [], []
+    for text in texts:
+        s = shingle_set(text)
+        least = np.full(len(FLIPS), 2**64 - 1, dtype=np.uint64)
+        for at in range(0, len(s), 4096):
+            least = np.minimum(least, ((s[at : at + 4096, None] ^ FLIPS) * FACTORS).min(axis=0))
+        parts = least.reshape(BANDS, BAND_ROWS)
+        keys = [xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)] if len(s) else []
+        nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0)
+        bands.append(np.array(keys, dtype=np.uint64).view(np.int64))
+    return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "bands": bands})
+
+
+def alike_groups(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of the shingle sets the index of its group's first one; pairs of similarity ALIKE or more are linked.
+
+    Sets that a group has taken leave the index, so that a group of many copies costs about one look at each.
+    """
+    label, alive, sizes = np.arange(len(sets)), np.ones(len(sets), dtype=bool), np.array([len(s) for s in sets])
+    left = indexed = 0
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        ids = np.nonzero(alive)[0]
+        flat, owner = np.concatenate([sets[i] for i in ids]), np.repeat(ids, sizes[ids])
+        order = np.argsort(flat, kind="stable")
+        return flat[order], owner[order]
+
+    for seed in range(len(sets)):
+        if not alive[seed]:
+            continue
+        frontier = [seed]
+        alive[seed] = False
+        while frontier and (left := int(alive.sum())):
+            if not indexed or 2 * left < indexed:
+                (flat, owner), indexed = index(), left
+            q = frontier.pop()
+            a, b = np.searchsorted(flat, sets[q], "left"), np.searchsorted(flat, sets[q], "right")
+            hits = np.arange((b - a).sum()) + np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a)
+            ids, shared = np.unique(owner[hits], return_counts=True)
+            near = ids[alive[ids] & (ALIKE[1] * shared >= ALIKE[0] * (sizes[q] + sizes[ids] - shared))]
+            alive[near], label[near] = False, seed
+            frontier += near.tolist()
+    return label
+
+
+def alike_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, node, text), sorted by root and node, to the stars (u, v) of near copies in each candidate group."""
+
+    def stars(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        label = alike_groups(sets)
+        own = np.array(nodes, dtype=np.int64)
+        linked = label != np.arange(len(label))
+        return pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[label[linked]])], names=["u", "v"])
+
+    root, nodes, sets = None, [], []
+    for batch in batches:
+        for r, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if nodes and r != root:
+                yield stars(nodes, sets)
+                nodes, sets = [], []
+            root = r
+            nodes.append(node)
+            sets.append(shingle_set(text))
+    if nodes:
+        yield stars(nodes, sets)
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a row key `_copy_row` and `_copy`, written; and (node, copies): the node of the group, for all distinct shingle sets.
+
+    Two texts are in one group if a chain of pairs, each of similarity ALIKE or more, joins them among their candidates.
+    Texts of fewer than COPY_WORDS words are one shingle; null and empty texts are alike.
+    """
+    base = written(docs.select("*", F.monotonically_increasing_id().alias("_copy_row"), F.pandas_udf(sketches, "node long, bands array<long>")("text").alias("_copy")), "sketches")
+    nodes = written(base.groupBy(F.col("_copy.node").alias("node")).agg(F.min("_copy_row").alias("first_row")), "shingle-sets")
+    bands = written(base.select(F.col("_copy.node").alias("node"), F.explode("_copy.bands").alias("band")).distinct(), "bands")
+    least = written(bands.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1"), "least-in-bands")
+    edges = attach(bands, least, "band", "n", bands.count(), "node").where("found is not null").select(F.col("node").alias("u"), F.col("found.m").alias("v"))
+    candidates = written(components(edges).join(nodes, "node"), "candidates")
+    texts = candidates.join(base.select("_copy_row", "text"), F.col("first_row") == F.col("_copy_row")).select("root", "node", "text")
+    links = written(texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(alike_links, "u long, v long"), "alike")
+    return base, nodes.join(links, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("copies"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, with one row of each group: the one with the least doc_id. Rows without a doc_id can't be told apart, and stay."""
-    groups = written(simhash_groups(docs).where("doc_id is not null"), "simhash-groups")
-    kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    if groups.count() == groups.select("doc_id").distinct().count():
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """docs, with one row of each group of near copies: the one with the least doc_id. Rows without a doc_id stay."""
+    base, groups = near_copies(docs)
+    least = base.where("doc_id is not null").groupBy(F.col("_copy.node").alias("node")).agg(F.min(F.struct("doc_id", F.col("_copy.node").alias("node"), "_copy_row")).alias("least"))
+    kept = written(least.join(groups, "node").groupBy("copies").agg(F.min("least")["_copy_row"].alias("_copy_row")).select("_copy_row"), "kept-rows")
+    return base.join(kept, "_copy_row", "left_semi").unionByName(base.where("doc_id is null")).select(*docs.columns)

@@ -275,3 +275,42 @@ def test_url_rules_are_mined(spark):
     assert (out[urls[40]].verdict, out[urls[40]].rule) == ("block", None) and "path:casino" in out[urls[40]].mined
     assert (out[urls[41]].verdict, out[urls[43]].verdict, out[urls[43]].rule) == ("allow", "block", "example.com/de/")
     assert (out[urls[44]].rule, out[urls[45]].rule) == (None, "org/fr/")
+
+
+def plain_similarity(a, b):
+    grams = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def test_near_copies_are_found_to_similarity_080(spark):
+    rng, rows, near, far = random.Random(8), [], {}, {}
+    for i in range(60):
+        body = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        edited = list(body)
+        for at in range(0, 1 + i % 6):
+            edited[(7 + 31 * at) % 200] = f"changed{at}"
+        texts = [" ".join(body), " ".join(edited).upper()]
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+        (near if plain_similarity(*texts) >= 0.8 else far)[2 * i + 1] = plain_similarity(*texts)
+    assert len(near) > 20 and len(far) > 5 and min(near.values()) < 0.85 and max(far.values()) > 0.7
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 120, 2)) | set(far)
+
+
+def test_alike_groups_equal_all_pairs():
+    rng, sets = np.random.default_rng(2), []
+    for _ in range(30):
+        own = rng.integers(0, 2**63, 50, dtype=np.uint64)
+        for k in (0, 2, 4, 5, 6, 9, 12):
+            some = own.copy()
+            some[rng.choice(50, k, replace=False)] = rng.integers(0, 2**63, k, dtype=np.uint64)
+            sets.append(np.unique(some))
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(a, sets[j]))
+            if shared >= 0.8 * (len(a) + len(sets[j]) - shared) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert simhash.alike_groups(sets).tolist() == label
