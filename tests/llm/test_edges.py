@@ -69,6 +69,14 @@ def test_empty_benchmark_and_labels(spark):
     assert {round(r.score, 6) for r in quality.judge(docs(spark), labels(spark).limit(0)).collect()} == {0.5}
 
 
+def test_other_texts_of_a_repeated_id_stay(spark):
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs(spark)).collect()]
+    assert sorted(t for i, t in kept if i == 1) == ["The quick brown fox jumps over the lazy dog", "another text under the same id"]
+    rows = [(1, "one text that has two copies here"), (2, "one text that has two copies here"), (2, "quite another text of the second id"), (3, "quite another text of the second id")]
+    kept = {tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {rows[0], rows[2]}
+
+
 @pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
 @pytest.mark.parametrize("empty", [False, True])
 def test_stages(spark, tmp_path, at, empty):
