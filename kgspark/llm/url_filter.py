@@ -66,10 +66,10 @@ def filter_urls(pages: DataFrame, rules=RULES, support: float = SUPPORT, confide
     host, path, rest = url_parts(F.col("url"))
     found = list_rule(F.col("host"), F.col("path"), rules)
     base = pages.select("page_id", host.alias("host"), path.alias("path"), rest.alias("rest")).withColumns({"tokens": url_tokens(F.col("host"), F.col("path"), F.col("rest")), "found_rule": found}).drop("rest")
-    base = written(base.withColumn("key", F.array_join("tokens", " ")), "urls")
+    base = written(base.withColumn("key", F.to_json("tokens")), "urls")  # tokens can hold any character
     mined = mine(base.where("found_rule is not null").select("tokens", F.col("found_rule.verdict").alias("verdict")), support, confidence)
-    sets = written(base.groupBy("key").agg(F.count("*").alias("n")), "url-token-sets")
-    met = sets.withColumn("all", F.split("key", " ")).withColumn("anchor", F.explode("all")).join(mined, "anchor")
+    sets = written(base.groupBy("key", F.col("tokens").alias("all")).agg(F.count("*").alias("n")), "url-token-sets")
+    met = sets.withColumn("anchor", F.explode("all")).join(mined, "anchor")
     met = met.where(F.size(F.array_except("tokens", "all")) == 0)
     rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("tokens").alias("k"), (F.col("verdict") != "block").alias("a"), F.array_join(F.array_sort("tokens"), " ").alias("mined"), "verdict")
     best = met.groupBy("key").agg(F.min(rank).alias("best"), F.first("n").alias("n")).select("key", "n", "best.mined", "best.verdict")

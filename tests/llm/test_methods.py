@@ -314,3 +314,10 @@ def test_alike_groups_equal_all_pairs():
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert simhash.alike_groups(sets).tolist() == label
+
+
+def test_url_tokens_with_blanks_stay_whole(spark):
+    urls = [f"http://a{i}.net/my page/{i}" for i in range(20)] + [f"http://b{i}.example.net/en/my/{i}" for i in range(20)] + ["https://q.example.com/my page/7", "https://q.example.com/my/8"]
+    out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert out[40].verdict == "block" and "path:my page" in out[40].mined
+    assert out[41].verdict == "allow"
