@@ -1,10 +1,11 @@
 """SimHash fingerprints, linked at few differing bits by BK-trees, and grouped into components.
 
 A BK-tree keeps each child under the integer Hamming distance to its parent, so that a search of radius r follows only
-the edges k with |d - k| <= r. One tree over all fingerprints would have to be broadcast whole, with no bound on its
-size, so the trees are sharded: fingerprints that differ in at most 3 of 64 bits agree on one of four 16-bit blocks,
-and each shard (block, value) gets a tree of its own in the task that holds its rows. Each shard returns a star for each
-group that it finds, never all pairs.
+the edges k with |d - k| <= r. The trees are shards of bounded size: fingerprints that differ in at most 3 of 64 bits
+agree on one of four 16-bit blocks, so each block's values are dealt into shards of some thousand fingerprints, and each
+shard gets a tree, which all its fingerprints search. The trees together hold every fingerprint, so they can't be
+collected to be broadcast: a shard's rows and its tree meet in one task. Each shard returns a star for each group that it
+finds, never all pairs.
 
 keep_one() has no digest contract: it groups texts whose sets of five-word shingles have a similarity of 0.8 or more.
 There about 10 of 64 bits are expected to differ, and no block of a useful width then stays equal, so its candidates
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import attach, written
 
 RADIUS = 3
-#: Up to so many fingerprints of a shard are compared directly; so many are in a leaf of a tree.
-SMALL, LEAF = 32, 64
-#: Shards beyond this are split by 3 of 6 blocks: at 3 differing bits, three of six blocks agree.
-SHARD_ROWS = 50_000
+#: Fingerprints in a tree; a block's value that more fingerprints have than HOT_ROWS is dealt by finer blocks.
+TREE_ROWS, HOT_ROWS = 4096, 50_000
+#: Queries that search a tree at once.
+QUERY_ROWS = 512
 BLOCKS6 = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: keep_one: words in a shingle, and the similarity of near copies as numerator and denominator.
 COPY_WORDS, ALIKE = 5, (4, 5)
@@ -74,147 +75,141 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class BKTree:
-    """A BK-tree over distinct fingerprints with leaves of up to LEAF; entries can be taken out."""
-
-    def __init__(self, values: np.ndarray, radius: int):
-        self.values, self.radius, self.alive = values, radius, np.ones(len(values), dtype=bool)
-        self.root = self._build(np.arange(len(values)))
-
-    def _build(self, members: np.ndarray):
-        root: list = [None]
-        todo = [(members, root, 0)]
-        while todo:
-            ids, home, slot = todo.pop()
-            if len(ids) <= LEAF:
-                home[slot] = ids
-                continue
-            d = near(self.values[ids[1:]], self.values[ids[0]])
-            children: dict = {}
-            home[slot] = (ids[0], children)
-            for k in np.unique(d).tolist():
-                todo.append((ids[1:][d == k], children, k))
-        return root[0]
-
-    def visit(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(queries, entries, links) for what the search reaches; links has a row for each query."""
-        todo = [(queries, self.root)]
-        while todo:
-            q, node = todo.pop()
-            if isinstance(node, np.ndarray):
-                ids = node[self.alive[node]]
-                if len(ids):
-                    yield q, ids, near(self.values[q][:, None], self.values[ids][None, :]) <= self.radius
-                continue
-            pivot, children = node
-            d = near(self.values[q], self.values[pivot]).astype(np.int64)
-            if self.alive[pivot]:
-                yield q, np.array([pivot]), (d <= self.radius)[:, None]
-            for k, child in children.items():
-                if len(some := q[np.abs(d - k) <= self.radius]):
-                    todo.append((some, child))
-
-    def neighbours(self, queries: np.ndarray) -> np.ndarray:
-        """Entries still in the tree that any of the queries links to."""
-        found = [np.zeros(0, dtype=np.int64)]
-        for at in range(0, len(queries), 1024):
-            for _, ids, links in self.visit(queries[at : at + 1024]):
-                found.append(ids[links.any(axis=0)])
-        return np.unique(np.concatenate(found))
-
-    def linked(self, queries: np.ndarray) -> np.ndarray:
-        """Whether each query links to an entry other than itself."""
-        out = np.zeros(len(self.values), dtype=bool)
-        for q, ids, links in self.visit(queries):
-            out[q[(links & (q[:, None] != ids[None, :])).any(axis=1)]] = True
-        return out[queries]
-
-
-def tree_groups(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each of the distinct values the index of its group's first one."""
-    tree, label, at = BKTree(values, radius), np.arange(len(values)), 0
-    while at < len(values):
-        seeds = np.arange(at, min(at + 256, len(values)))
-        at += 256
-        seeds = seeds[tree.alive[seeds]]
-        if not len(seeds):
-            continue
-        has = tree.linked(seeds)
-        tree.alive[seeds[~has]] = False
-        for seed in seeds[has]:
-            frontier = np.array([seed])
-            if not tree.alive[seed]:
-                continue
-            tree.alive[seed] = False
-            while len(frontier):
-                frontier = tree.neighbours(frontier)
-                tree.alive[frontier] = False
-                label[frontier] = seed
-    return label
+    """A BK-tree over distinct fingerprints: each child hangs under the integer Hamming distance to its parent.
 
+    Nodes are numbered as the values are; child[node, edge + radius] is a node or -1. `followed` counts the edges that
+    searches went along.
+    """
 
-def small_groups(keys: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
-    """The same for many short runs of equal keys at once."""
-    label, pairs = np.arange(len(values)), []
-    for off in range(1, SMALL):
-        i = np.nonzero(keys[:-off] == keys[off:])[0]
-        if not len(i):
-            break
-        i = i[near(values[i], values[i + off]) <= radius]
-        pairs.append((i, i + off))
-    if pairs:
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        while True:
-            low, before = np.minimum(label[a], label[b]), label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            if (label == before).all():
-                break
-    return label
-
-
-def link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, fp), sorted by both, to the stars (u, v) of the groups in each shard."""
-
-    def stars(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        label = np.arange(len(keys))
-        starts = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
-        sizes = np.diff(starts)
-        small = np.repeat(sizes <= SMALL, sizes)
-        at = np.nonzero(small)[0]
-        label[at] = at[small_groups(keys[at], values[at], RADIUS)]
-        for a, n in zip(starts[:-1][sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            label[a : a + n] = a + tree_groups(values[a : a + n])
-        linked = label != np.arange(len(keys))
-        return pa.RecordBatch.from_arrays([pa.array(values[linked].view(np.int64)), pa.array(values[label[linked]].view(np.int64))], names=["u", "v"])
+    def __init__(self, values: np.ndarray, radius: int = RADIUS):
+        self.values, self.radius, self.followed = values, radius, 0
+        self.child = np.full((len(values), 65 + 2 * radius), -1, dtype=np.int32)
+        flat, width = self.child.reshape(-1), self.child.shape[1]
+        items = np.arange(1, len(values))  # what waits at a node goes under it by distance, the first of each edge as the child
+        at = np.zeros(len(items), dtype=np.int64)
+        while len(items):
+            slot = at * width + radius + near(values[items], values[at])
+            order = np.argsort(slot, kind="stable")
+            items, slot = items[order], slot[order]
+            first = np.concatenate(([True], slot[1:] != slot[:-1]))
+            flat[slot[first]] = items[first]
+            items, at = items[~first], flat[slot[~first]].astype(np.int64)
+
+    def links(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, entries), by number, at radius or less: a level of the tree at a time for a block of queries."""
+        for start in range(0, len(queries), QUERY_ROWS):
+            q = np.arange(start, min(start + QUERY_ROWS, len(queries)))
+            node = np.zeros(len(q) if len(self.values) else 0, dtype=np.int64)
+            while len(node):
+                d = near(queries[q], self.values[node]).astype(np.int64)
+                yield q[d <= self.radius], node[d <= self.radius]
+                below = [(q, self.child[node, d + k]) for k in range(2 * self.radius + 1)]  # edges d - radius to d + radius
+                q = np.concatenate([x[c >= 0] for x, c in below])
+                node = np.concatenate([c[c >= 0] for _, c in below]).astype(np.int64)
+                self.followed += len(node)
+
+
+def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of a[i] and b[i] in place; root holds the least member of each one's group."""
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def tree_groups(tree: BKTree) -> np.ndarray:
+    """For each of the tree's values the index of its group's first one."""
+    root = np.arange(len(tree.values))
+    for a, b in tree.links(tree.values):
+        join_roots(root, a, b)
+    return root
+
+
+def link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, a, b, side, fp), sorted, to stars (u, v) for the links of each unit (shard, a, b).
+
+    Side 0 goes into a tree. Side 1 is asked of it, and then is linked to the first of each group that it meets.
+    """
 
-    keys, values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    def stars(rows: np.ndarray) -> pa.RecordBatch:
+        entries, queries = (rows[rows["side"] == side]["fp"].view(np.uint64) for side in (0, 1))
+        tree = BKTree(entries)
+        root = tree_groups(tree)
+        if len(queries):
+            met = [np.unique(q * len(entries) + root[e]) for q, e in tree.links(queries)]
+            met = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *met]))
+            u, v = queries[met // max(1, len(entries))], entries[met % max(1, len(entries))]
+        else:
+            linked = root != np.arange(len(root))
+            u, v = entries[linked], entries[root[linked]]
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    kind = np.dtype([("shard", np.int64), ("a", np.int32), ("b", np.int32), ("side", np.int32), ("fp", np.int64)])
+    held = np.zeros(0, dtype=kind)
     for batch in batches:
-        keys = np.concatenate((keys, batch.column(0).to_numpy()))
-        values = np.concatenate((values, batch.column(1).to_numpy().view(np.uint64)))
-        if not len(keys):
-            continue
-        cut = int(np.searchsorted(keys, keys[-1]))  # the last shard may go on in the next batch
-        if cut:
-            yield stars(keys[:cut], values[:cut])
-            keys, values = keys[cut:], values[cut:]
-    if len(keys):
-        yield stars(keys, values)
-
-
-def near_links(fps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Stars (u, v) whose components are those of all links at RADIUS or fewer bits. fps: distinct fingerprints fp."""
-    block = lambda at, n: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))
-    coarse = fps.select("fp", F.explode(F.array(*[block(16 * i, 16) + F.lit(i << 16) for i in range(4)])).alias("shard"))
-    large = coarse.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard")  # at most 4 * 65536 shards
+        new = np.zeros(batch.num_rows, dtype=kind)
+        for i, name in enumerate(kind.names):
+            new[name] = batch.column(i).to_numpy()
+        held = np.concatenate((held, new))
+        unit = held[["shard", "a", "b"]]
+        cuts = np.nonzero(unit[1:] != unit[:-1])[0] + 1  # the last unit may go on in the next batch
+        starts = np.concatenate(([0], cuts))
+        for first, end in zip(starts[:-1], cuts, strict=True):
+            yield stars(held[first:end])
+        held = held[cuts[-1] :] if len(cuts) else held
+    if len(held):
+        yield stars(held)
+
+
+def shards(fps: DataFrame, n: int, tree_rows: int, hot_rows: int) -> DataFrame:
+    """(fp, shard) so that fingerprints within RADIUS bits meet in a shard; shards have about tree_rows rows each.
+
+    One tree holds up to tree_rows fingerprints. More are dealt by each of four 16-bit blocks: at 3 differing bits one
+    block agrees. Fingerprints with a block's value that over hot_rows have are dealt by three of six blocks instead:
+    of six, three agree.
+    """
+    if n <= tree_rows:
+        return fps.select("fp", F.lit(0).cast("long").alias("shard"))
+    dealt = lambda value, i, parts: F.pmod(F.xxhash64(value), F.lit(parts)) + F.shiftleft(F.lit(i).cast("long"), 40)
+    block = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
+    four = fps.select("fp", F.posexplode(F.array(*[block(16 * i, 16) for i in range(4)])).alias("i", "value"))
+    hot = written(four.groupBy("i", "value").count().where(F.col("count") > hot_rows).select("i", "value"), "hot-blocks")
+    parts = -(-n // tree_rows)
+    place = lambda rows, parts: rows.select("fp", dealt(F.col("value"), F.col("i"), parts).alias("shard"))
+    if hot.isEmpty():
+        return place(four, parts)
+    some = written(four.join(F.broadcast(hot), ["i", "value"], "left_semi").select("fp").distinct(), "fine-fingerprints")  # hot: at most 4 * 65536 values
+    six = [F.array(*[block(*BLOCKS6[i]) for i in c]) for c in combinations(range(6), 3)]
+    fine = some.select("fp", F.posexplode(F.array(*[F.xxhash64(x) for x in six])).alias("i", "value")).withColumn("i", F.col("i") + 4)
+    return place(four.join(F.broadcast(hot), ["i", "value"], "left_anti"), parts).unionByName(place(fine, -(-some.count() // tree_rows)))
+
+
+def near_links(fps: DataFrame, tree_rows: int = TREE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Stars (u, v) whose components are those of all links at RADIUS or fewer bits. fps: distinct fingerprints fp.
+
+    Each shard becomes a tree in the task that has its rows. A shard of over 4 * tree_rows is cut into parts, and every
+    part's tree is asked by every later part, so that a task holds two parts at most.
+    """
+    n = fps.count()
+    rows = written(shards(fps, n, tree_rows, hot_rows), "shards")
+    large = rows.groupBy("shard").count().where(F.col("count") > 4 * tree_rows).select("shard", F.ceil(F.col("count") / tree_rows).cast("int").alias("parts"))
     large = written(large, "large-shards")
-    rows = coarse
+    whole = lambda df: df.select("shard", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "fp")
+    units = whole(rows)
     if not large.isEmpty():
-        fine = coarse.join(F.broadcast(large), "shard", "left_semi").select("fp").distinct()
-        mix = lambda i, c: F.shiftleft(F.lit(i + 1).cast("long"), 40).bitwiseXOR(F.shiftleft(block(*BLOCKS6[c[0]]), 22)).bitwiseXOR(F.shiftleft(block(*BLOCKS6[c[1]]), 11)).bitwiseXOR(block(*BLOCKS6[c[2]]))
-        fine = fine.select("fp", F.explode(F.array(*[mix(i, c) for i, c in enumerate(combinations(range(6), 3))])).alias("shard"))
-        rows = coarse.join(F.broadcast(large), "shard", "left_anti").select("fp", "shard").unionByName(fine)
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp")
-    return rows.mapInArrow(link_shards, "u long, v long").distinct()
+        part = F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part")
+        cut = rows.join(large, "shard").select("shard", "fp", "parts", part)
+        entry = cut.select("shard", F.col("part").alias("a"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("b"), F.lit(0).alias("side"), "fp")
+        asked = cut.where("part > 0").select("shard", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("a"), F.col("part").alias("b"), F.lit(1).alias("side"), "fp")
+        units = whole(rows.join(large, "shard", "left_anti")).unionByName(entry).unionByName(asked)
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, 4 * n // (4 * tree_rows)))
+    units = units.repartition(tasks, "shard", "a", "b").sortWithinPartitions("shard", "a", "b", "side", "fp")
+    return units.mapInArrow(link_units, "u long, v long").distinct()
 
 
 def star_step(edges: DataFrame, total: int) -> DataFrame:
@@ -224,6 +219,11 @@ def star_step(edges: DataFrame, total: int) -> DataFrame:
     return out.select("u", "v", F.least("u", "found.m").alias("m"))
 
 
+def edge_state(edges: DataFrame) -> tuple:
+    """What tells two sets of distinct edges apart: their number, and the exclusive or of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the undirected edges (u, v): root is the least node that it reaches.
 
@@ -231,8 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
     with very many neighbours is handled by attach().
     """
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-    before, now = None, state(edges)
+    before, now = None, edge_state(edges)
     while now != before:
         both = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
         large = star_step(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -240,26 +239,26 @@ def components(edges: DataFrame) -> DataFrame:
         small = star_step(large, large.count())
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.where("u <> v").distinct(), "small-star")
-        before, now = now, state(edges)
+        before, now = now, edge_state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def simhash_groups(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def simhash_groups(docs: DataFrame, tree_rows: int = TREE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id of the document's group.
 
     Words are what stands between ASCII white space, with A-Z lower-cased; shingles have three words, a shorter text is
     one. Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id are grouped too;
     component_id is null only if the whole group has no doc_id. Repeated rows each get a row. Other columns are ignored.
     """
-    base = written(docs.select("doc_id", F.pandas_udf(fingerprints, "long")("text").alias("fp")), "fingerprints")
+    base = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.pandas_udf(fingerprints, "long")("text").alias("fp")), "fingerprints")
     fps = written(base.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-fingerprints")
-    found = written(components(near_links(fps.select("fp"), shard_rows)), "components")
+    found = written(components(near_links(fps.select("fp"), tree_rows, hot_rows)), "components")
     linked = written(fps.join(found, F.col("fp") == F.col("node")).select("fp", "rep", "n", "root"), "linked")
     roots = written(linked.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("members")), "roots")
     low = attach(linked, roots, "root", "members", linked.count(), "fp").select("fp", "n", F.col("found.least").alias("component_id"))
     alone = fps.join(found.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "n", F.col("rep").alias("component_id"))
     groups = written(low.unionByName(alone), "groups")
-    return attach(base, groups, "fp", "n", base.count(), "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "found.component_id")
+    return attach(base, groups, "fp", "n", base.count(), "row").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "found.component_id")
 
 
 def shingle_set(text: str | None) -> np.ndarray:
