@@ -25,12 +25,11 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
 
 
 def url_tokens(host: Column, path: Column, rest: Column) -> Column:
-    """The distinct tokens, sorted: host labels, path segments (numbers alike, extensions apart) and query keys."""
-    label = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("host:"), x))
+    """The distinct tokens, sorted: host labels, path segments (numbers alike, extensions apart) and query keys; no empty ones."""
     segments = F.flatten(F.transform(F.split(F.regexp_replace(ascii_lower(path), "[0-9]+", "#"), "/"), lambda x: F.split(x, r"\.")))
     keys = F.regexp_extract_all(ascii_lower(rest), F.lit(r"[?&]([^=&#]+)"), 1)
-    tokens = F.concat(label, F.transform(segments, lambda x: F.concat(F.lit("path:"), x)), F.transform(keys, lambda x: F.concat(F.lit("query:"), x)))
-    return F.array_sort(F.array_distinct(F.filter(tokens, lambda x: ~x.endswith(":"))))
+    named = lambda kind, found: F.transform(F.filter(found, lambda x: x != ""), lambda x: F.concat(F.lit(kind + ":"), x))
+    return F.array_sort(F.array_distinct(F.concat(named("host", F.split(host, r"\.")), named("path", segments), named("query", keys))))
 
 
 def list_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -60,19 +59,19 @@ def filter_urls(pages: DataFrame, rules=RULES, support: float = SUPPORT, confide
     """page_id, host, path, rule, verdict and mined (the tokens of the mined rule that decided, else null) of each row.
 
     A list rule decides where one fits (its rule is the column rule). Elsewhere the mined rule decides with the highest
-    confidence, then support, then fewest tokens, then `block`; without one the verdict is DEFAULT. Rows with null urls
-    have an empty host and path. URLs are matched once for each distinct set of tokens.
+    confidence, then support, then most tokens (it says the most about the URL), then `block`; without one the verdict is
+    DEFAULT. Rows with null urls have an empty host and path. URLs are matched once for each distinct set of tokens.
     """
     host, path, rest = url_parts(F.col("url"))
     found = list_rule(F.col("host"), F.col("path"), rules)
-    base = pages.select("page_id", host.alias("host"), path.alias("path"), rest.alias("rest")).withColumns({"tokens": url_tokens(F.col("host"), F.col("path"), F.col("rest")), "found_rule": found}).drop("rest")
+    base = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host.alias("host"), path.alias("path"), rest.alias("rest")).withColumns({"tokens": url_tokens(F.col("host"), F.col("path"), F.col("rest")), "found_rule": found}).drop("rest")
     base = written(base.withColumn("key", F.to_json("tokens")), "urls")  # tokens can hold any character
     mined = mine(base.where("found_rule is not null").select("tokens", F.col("found_rule.verdict").alias("verdict")), support, confidence)
     sets = written(base.groupBy("key", F.col("tokens").alias("all")).agg(F.count("*").alias("n")), "url-token-sets")
     met = sets.withColumn("anchor", F.explode("all")).join(mined, "anchor")
     met = met.where(F.size(F.array_except("tokens", "all")) == 0)
-    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("tokens").alias("k"), (F.col("verdict") != "block").alias("a"), F.array_join(F.array_sort("tokens"), " ").alias("mined"), "verdict")
+    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.size("tokens")).alias("k"), (F.col("verdict") != "block").alias("a"), F.array_join(F.array_sort("tokens"), " ").alias("mined"), "verdict")
     best = met.groupBy("key").agg(F.min(rank).alias("best"), F.first("n").alias("n")).select("key", "n", "best.mined", "best.verdict")
-    out = attach(base, written(best, "url-verdicts"), "key", "n", base.count(), "page_id")
+    out = attach(base, written(best, "url-verdicts"), "key", "n", base.count(), "row")
     listed = F.col("found_rule").isNotNull()
     return out.select("page_id", "host", "path", F.col("found_rule.rule").alias("rule"), F.coalesce("found_rule.verdict", "found.verdict", F.lit(DEFAULT)).alias("verdict"), F.when(~listed, F.col("found.mined")).alias("mined"))
