@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kgspark.llm import decontamination, language, mixing, neighbours, pii, quality, sharding, simhash, url_filter, warc
 from kgspark.llm.common import table
@@ -23,7 +22,7 @@ def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
+    return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
