@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import written
 
 WINDOW, SHINGLE = 13, 3
-#: Item text up to this size is held as one index; a larger benchmark is joined in blocks of it.
+#: Item text up to this size is held as one index by each Python worker; a larger benchmark is joined in blocks of it.
 BLOCK_BYTES = 4 << 20
 #: ASCII other than letters and digits separates words; all else belongs to them.
 _WORDS = bytes((i + 32 if 65 <= i <= 90 else i) if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -84,6 +85,21 @@ def anchored(items: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) ->
     return dict(out)
 
 
+def merged(ranges: list[int]) -> list[int]:
+    """start, end, start, end, ... of the union of ranges, in order."""
+    out: list[int] = []
+    for a, b in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
+
+
+def merged_all(ranges: pd.Series) -> pd.Series:
+    return ranges.map(lambda x: [] if x is None else merged(list(x)))
+
+
 def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], index: dict[bytes, list[tuple[int, int, int, int]]]) -> DataFrame:
     """docs with the hit words (as merged start, end pairs) and items of this block added to _hits and _items."""
     shared = docs.sparkSession.sparkContext.broadcast((items, index))
@@ -102,13 +118,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], index: dict[byt
                         if start >= 0 and end <= len(words) and words[start:end] == known[number][1][first : first + length]:
                             ranges += (start, end)
                             ids.add(known[number][0])
-                merged: list[int] = []
-                for a, b in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
-                    if merged and a <= merged[-1]:
-                        merged[-1] = max(merged[-1], b)
-                    else:
-                        merged += (a, b)
-                hits.append(merged)
+                hits.append(merged(ranges))
                 found_items.append(sorted(ids))
                 n.append(len(words))
             new = {"_hits": pa.array(hits, pa.list_(pa.int32())), "_items": pa.array(found_items, pa.list_(pa.string())), "_n_words": pa.array(n, pa.int64())}
@@ -118,27 +128,43 @@ def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], index: dict[byt
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items, block by block: only one is on the driver at a time."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text", size.alias("b"))
-    total = items.agg(F.sum("b")).first()[0] or 0
-    n = -(-total // block_bytes)
-    for i in range(max(1, n)):
-        yield [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n))) == i).select("id", "text").collect()]
+    """The distinct items, block by block: only one is on the driver at a time."""
+    items = benchmark.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text").distinct()
+    items = written(items, "items")
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    for i in range(n):
+        yield [(r["id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with _n_words, _hits (start, end, start, end, ... of hit words) and _items (sorted ids of items with occurring windows).
 
-    One scan of the documents counts shingles and one joins; neither shuffles documents. A benchmark larger than
-    block_bytes is joined in blocks, each adding to what was found, with documents written between. Null texts and items
-    have no words; repeated rows are judged each by itself; an id may be of any type.
+    One scan of the documents counts shingles and one joins; neither shuffles documents. For a benchmark larger than
+    block_bytes the documents are written once, with a row number. Each further block then costs two scans of the texts and
+    gives rows of hit documents alone, without texts, which are joined at the end. Null texts and items have no words;
+    repeated documents are judged each by itself, repeated items are one; an id may be of any type.
     """
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    none = {"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")}
+    out, more = docs.withColumns(none), None
     for i, block in enumerate(item_blocks(benchmark, block_bytes)):
         items = item_words(block)
-        out = _scan(written(out, "decontamination") if i else out, items, anchored(items, shingle_counts(docs, items)))
-    return out
+        if i == 0:
+            out = _scan(out, items, anchored(items, shingle_counts(docs, items)))
+            continue
+        if i == 1:
+            out = written(out.withColumn("_doc", F.monotonically_increasing_id()), "decontamination")
+        texts = out.select("_doc", "text")
+        found = _scan(texts.withColumns(none), items, anchored(items, shingle_counts(texts, items))).where("size(_hits) > 0")
+        found = written(found.select("_doc", F.col("_hits").alias("_more"), F.col("_items").alias("_others")), "decontamination-hits")
+        more = found if more is None else more.unionByName(found)
+    if more is None:
+        return out
+    more = more.groupBy("_doc").agg(F.flatten(F.collect_list("_more")).alias("_more"), F.flatten(F.collect_list("_others")).alias("_others"))
+    both = out.join(more, "_doc", "left")
+    union = F.pandas_udf(merged_all, "array<int>")(F.concat("_hits", "_more"))
+    both = both.withColumns({"_hits": F.when(F.col("_more").isNull(), F.col("_hits")).otherwise(union), "_items": F.when(F.col("_others").isNull(), F.col("_items")).otherwise(F.array_sort(F.array_distinct(F.concat("_items", "_others"))))})
+    return both.drop("_doc", "_more", "_others")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
