@@ -4,45 +4,46 @@ from __future__ import annotations
 
 from kgspark.llm import pii
 from kgspark.llm.mixing import MOST, SHARE, SLOPES, WEIGHTS
-from kgspark.llm.sharding import BUCKETS, Leaf, _children, added, even_tree
 from kgspark.llm.url_filter import CONFIDENCE, DEFAULT, RULES, SUPPORT
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def _descent(name: str, layers: list[list[Leaf]]) -> str:
-    """CTEs that end in name(row, shard)."""
-    out, at = [], "(SELECT row, key, '' AS path FROM d)"
-    for i, level in enumerate(_children(layers)):
-        values = ", ".join(f"('{p}', '{c}', {float(w)!r}::DOUBLE)" for p, own in level.items() for c, w in own.items())
-        score = "-ln((('0x' || substr(md5(concat_ws('/', key, child)), 1, 12))::UBIGINT::DOUBLE + 1) / (281474976710656.0::DOUBLE + 1)) / weight"
-        out.append(f"{name}{i} AS (SELECT row, key, arg_min(child, ({score}, child)) AS path FROM {at} a JOIN (VALUES {values}) t(parent, child, weight) ON a.path = t.parent GROUP BY row, key)")
-        at = f"{name}{i}"
-    return ", ".join(out) + f", {name} AS (SELECT row, split_part(path, '/', 3)::INTEGER AS shard FROM {at})"
+def _descent(name: str, shards: int) -> str:
+    """CTEs that end in name(row, shard): draws in a tree of two regions of four racks of five shards, weights 1.
+
+    Shard 40 of the grown tree is a layer of its own with weight 1: its region draws beside the two old ones.
+    """
+    score = lambda child, weight: f"-ln((('0x' || substr(md5(concat_ws('/', key, {child})), 1, 12))::UBIGINT::DOUBLE + 1) / (281474976710656.0::DOUBLE + 1)) / {weight}::DOUBLE"
+    grown = ", ('1:g1', 1.0)" if shards == 41 else ""
+    step = lambda at, parent, children, weight, path: f"SELECT row, key, {path} AS path FROM (SELECT row, key, arg_min(n, ({score(children, weight)}, {children})) AS n, parent FROM (SELECT row, key, path AS parent, unnest(range({5 if parent == 'rack' else 4})) AS n FROM {at} WHERE NOT starts_with(path, '1:')) GROUP BY row, key, parent)"
+    return f"""{name}0 AS (SELECT row, key, arg_min(child, ({score("child", "weight")}, child)) AS path FROM d, (VALUES ('0:g0', 20.0), ('0:g1', 20.0){grown}) t(child, weight) GROUP BY row, key),
+  {name}1 AS ({step(name + "0", "region", "parent || '/k' || n", "5.0", "parent || '/k' || n")}), {name}2 AS ({step(name + "1", "rack", "parent || '/' || (right(split_part(parent, '/', 1), 1)::INT * 20 + right(parent, 1)::INT * 5 + n)", "1.0", "right(split_part(parent, '/', 1), 1)::INT * 20 + right(parent, 1)::INT * 5 + n")}),
+  {name} AS (SELECT row, path::INTEGER AS shard FROM {name}2 UNION ALL SELECT row, 40 FROM {name}0 WHERE starts_with(path, '1:'))"""
 
 
 def _shards() -> str:
-    before = even_tree()
-    after = [*before, (before[-1][0], before[-1][1], len(before), 1.0)]
     step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
     table = "(SELECT list(v ORDER BY n) FROM (SELECT n, list_reduce(list_concat([n::BIGINT], range(8)), lambda c, k: " + step + ") AS v FROM range(256) t(n)))"
     crc = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen(text)), lambda i: ('0x' || substr(hexed, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
-    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS key FROM documents), {_descent("old", [before])}, {_descent("grown", [before, added(before, after)])},
-  crc AS (SELECT row, {crc} AS text_crc32 FROM (SELECT row, text, hex(encode(text)) AS hexed, {table} AS crc_table FROM d))
-  SELECT doc_id, strlen(text) + 16 AS size, text_crc32, 'key' AS law, old.shard, row_number() OVER (PARTITION BY old.shard ORDER BY ((coalesce(doc_id, 0) % {BUCKETS}) + {BUCKETS}) % {BUCKETS}, doc_id NULLS FIRST, text_crc32, strlen(text)) - 1 AS slot, grown.shard AS grown_shard
-  FROM d JOIN old USING (row) JOIN grown USING (row) JOIN crc USING (row)"""
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS key FROM documents), {_descent("old", 40)}, {_descent("grown", 41)},
+  crc AS (SELECT row, {crc} AS text_crc32 FROM (SELECT row, text, hex(encode(text)) AS hexed, {table} AS crc_table FROM d)),
+  placed AS (SELECT d.*, text_crc32, strlen(text) AS n, ('0x' || substr(md5(concat_ws('/', key, text_crc32::VARCHAR, strlen(text)::VARCHAR)), 1, 8))::BIGINT % 256 AS bucket FROM d JOIN crc USING (row))
+  SELECT doc_id, n + 16 AS size, text_crc32, 'key' AS law, old.shard, row_number() OVER (PARTITION BY old.shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, n) - 1 AS slot, grown.shard AS grown_shard
+  FROM placed JOIN old USING (row) JOIN grown USING (row)"""
 
 
 def _mix() -> str:
     pick = lambda xs: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in xs) + f"][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(xs)} + 1]"
-    return f"""WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+    at = lambda x: f"CASE WHEN {x} <= 0 THEN 0.0::DOUBLE ELSE 2 * {x} / (rest + sqrt(rest * rest + 4 * slope * {x})) END"
+    return f"""WITH d AS (SELECT doc_id, source, md5(concat_ws('/', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS key, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
   t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source), w AS (SELECT *, {pick(WEIGHTS)} AS weight, {pick(SLOPES)} AS slope, ({MOST} * source_size)::DOUBLE AS cap FROM t),
   l AS (SELECT *, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
   f AS (SELECT min((cap / weight, level)) FILTER (level <= cap / weight) AS fits FROM l), s AS (SELECT source, source_size, slope, CASE WHEN fits IS NULL THEN cap ELSE least(cap, fits[2] * weight) END AS target FROM l, f),
   r AS (SELECT d.*, source_size, target, slope, round(target)::BIGINT AS budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-  p AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM r), k AS (SELECT *, (passes * size + greatest(0, least(size, budget - passes * source_size - start)))::BIGINT AS taken, start / target AS x, 1 - slope AS rest FROM p)
-  SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE WHEN x <= 0 THEN 0.0::DOUBLE ELSE 2 * x / (rest + sqrt(rest * rest + 4 * slope * x)) END END AS position FROM k"""
+  p AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM r), k AS (SELECT *, (passes * size + greatest(0, least(size, budget - passes * source_size - start)))::BIGINT AS taken, start / target AS x, (source_size + start) / target AS y, 1 - slope AS rest FROM p)
+  SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN {at("x")} END AS position, CASE WHEN taken > size THEN {at("y")} END AS again FROM k"""
 
 
 def _warc() -> str:
@@ -64,29 +65,31 @@ def _decontamination() -> str:
 
 def _pii() -> str:
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-    each = " UNION ALL ".join(f"SELECT key, doc, text, {i} AS kind_at, '{k}' AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM u" for i, (k, p) in enumerate(patterns.items()))
+    each = " UNION ALL ".join(f"SELECT row, {i} AS kind_at, '{k}' AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d" for i, (k, p) in enumerate(patterns.items()))
     digits = "regexp_replace(value, '[^0-9]', '', 'g')"
-    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: (CASE WHEN i % 2 = 0 THEN substr(reverse({digits}), i + 1, 1)::INT ELSE substr(reverse({digits}), i + 1, 1)::INT * 2 - CASE WHEN substr(reverse({digits}), i + 1, 1)::INT > 4 THEN 9 ELSE 0 END END))) % 10 = 0"
+    digit = f"substr(reverse({digits}), i + 1, 1)::INT"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: (CASE WHEN i % 2 = 0 THEN {digit} ELSE {digit} * 2 - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END))) % 10 = 0"
     part = "len(ltrim(x, '0')) <= 3 AND coalesce(nullif(ltrim(x, '0'), ''), '0')::INT <= 255"
-    ok = f"CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: NOT ({part}))) = 0 WHEN 'phone' THEN length({digits}) BETWEEN 10 AND 15 ELSE CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END END"
-    reach, side = pii.REACH, pii.SIDE
-    term = "\\p{L}+"
-    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS key FROM documents), u AS (SELECT key, any_value(doc_id) AS doc, any_value(text) AS text, count(*) AS times FROM d GROUP BY key),
-  k AS ({each}), e AS (SELECT key, kind_at, kind, unnest(range(1, len(m) + 1)) AS i, m, g FROM k WHERE len(m) > 0),
-  a AS (SELECT key, kind_at, kind, m[i] AS value, g[i] AS gap, g[i + 1] AS next, sum(length(g[i])) OVER w + sum(length(m[i])) OVER w - length(m[i]) AS start FROM e WINDOW w AS (PARTITION BY key, kind_at ORDER BY i)),
-  b AS (SELECT key, kind_at, kind, value, start::BIGINT AS start, (start + length(value))::BIGINT AS "end", right(gap, {reach}) AS before, left(next, {reach}) AS after FROM a WHERE {ok}),
-  c AS (SELECT *, regexp_extract_all(before, '{term}') AS bw, string_split_regex(before, '{term}') AS bg, regexp_extract_all(after, '{term}') AS aw, string_split_regex(after, '{term}') AS ag FROM b),
-  n0 AS (SELECT key, kind || ':' || lower(value) AS entity, start, kind_at, "end", before, after, 0 AS right_side, unnest(range(1, len(bw) + 1)) AS i, bw AS w, bg AS g FROM c UNION ALL SELECT key, kind || ':' || lower(value), start, kind_at, "end", before, after, 1, unnest(range(1, len(aw) + 1)), aw, ag FROM c),
-  n1 AS (SELECT key, entity, start, kind_at, right_side, i, w[i] AS word, before, after, "end", CASE WHEN right_side = 1 THEN "end" ELSE start - length(before) END + sum(length(g[i])) OVER v + sum(length(w[i])) OVER v - length(w[i]) AS spot FROM n0 WINDOW v AS (PARTITION BY key, kind_at, start, right_side ORDER BY i)),
-  n2 AS (SELECT *, row_number() OVER (PARTITION BY key, kind_at, start, right_side ORDER BY CASE WHEN right_side = 1 THEN i ELSE -i END) AS place FROM n1 WHERE length(word) >= {pii.LETTERS} AND CASE WHEN right_side = 1 THEN length(after) < {reach} OR spot + length(word) < "end" + {reach} ELSE length(before) < {reach} OR spot > start - {reach} END),
-  near AS (SELECT key, entity, lower(word) AS word, spot::BIGINT AS spot, (spot + length(word))::BIGINT AS stop FROM n2 WHERE place <= {side}), total AS (SELECT count(*)::DOUBLE AS n FROM documents),
-  pairs AS (SELECT entity, word, count(DISTINCT key) AS n_et FROM near GROUP BY ALL HAVING count(DISTINCT key) >= {pii.MIN_DOCS}), ent AS (SELECT entity, count(DISTINCT key) AS n_e FROM near GROUP BY entity),
-  wd AS (SELECT word, count(*) AS n_t FROM (SELECT DISTINCT row, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS word FROM d) GROUP BY word),
-  leaks AS (SELECT entity, word FROM pairs JOIN wd USING (word) JOIN ent USING (entity), total WHERE n_e < n AND log2(n * n_et / (n_e * n_t)) / log2(n / n_e) >= {pii.GENERALISE}),
-  terms AS (SELECT DISTINCT key, spot, stop FROM near JOIN leaks USING (entity, word) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = near.key AND b.start < near.stop AND near.spot < b."end")),
-  every AS (SELECT key, start, kind_at, "end", kind FROM b UNION ALL SELECT key, spot, 4, stop, 'term' FROM terms),
-  s AS (SELECT key, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, kind_at, "end") AS spans, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, kind_at, "end") FILTER (kind_at < 4) AS base, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone FROM every GROUP BY key)
-  SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (key)"""
+    ok = f"""CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: NOT ({part}))) = 0
+    WHEN 'phone' THEN length({digits}) BETWEEN 10 AND 15 ELSE CASE WHEN length({digits}) BETWEEN 14 AND 19 THEN {luhn} ELSE false END END"""
+    listed = lambda kind, keep: f"""string_agg({kind} || ':' || start || ':' || "end", ',' ORDER BY start, kind_at, "end") FILTER ({keep})"""
+    counts, letters = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in patterns), r"'\p{L}{3,}'"
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), total AS (SELECT count(*)::DOUBLE AS n FROM d),
+  k AS ({each}), e AS (SELECT row, kind_at, kind, unnest(range(1, len(m) + 1)) AS i, m, g FROM k WHERE len(m) > 0),
+  a AS (SELECT row, kind_at, kind, m[i] AS value, sum(length(g[i])) OVER w + sum(length(m[i])) OVER w - length(m[i]) AS start FROM e WINDOW w AS (PARTITION BY row, kind_at ORDER BY i)),
+  b AS (SELECT row, kind_at, kind, value, start::BIGINT AS start, (start + length(value))::BIGINT AS "end" FROM a WHERE {ok}),
+  w0 AS (SELECT row, regexp_extract_all(text, {letters}) AS m, string_split_regex(text, {letters}) AS g FROM d WHERE row IN (SELECT row FROM b)), w1 AS (SELECT row, m, g, unnest(range(1, len(m) + 1)) AS i FROM w0),
+  o AS (SELECT row, lower(m[i]) AS word, (sum(length(g[i])) OVER w + sum(length(m[i])) OVER w - length(m[i]))::BIGINT AS start, length(m[i]) AS size FROM w1 WINDOW w AS (PARTITION BY row ORDER BY i)),
+  ent AS (SELECT DISTINCT row, kind || ':' || lower(value) AS entity FROM b), ne AS (SELECT entity, count(*) AS n_e FROM ent GROUP BY entity), cw AS (SELECT DISTINCT row, word FROM o),
+  wd AS (SELECT word, count(*) AS n_t FROM (SELECT DISTINCT row, lower(x) AS word FROM (SELECT row, unnest(regexp_extract_all(text, {letters})) AS x FROM d)) GROUP BY word),
+  pairs AS (SELECT entity, word, count(*) AS n_et FROM ent JOIN cw USING (row) GROUP BY ALL),
+  leaks AS (SELECT entity, word, round(log2((n_et + n_t / n) / (n_e + 1) * n / n_t) / log2(n / n_e), 9) AS share FROM pairs JOIN ne USING (entity) JOIN wd USING (word), total WHERE n_e < n),
+  most AS (SELECT row, word, max(share) AS share FROM ent JOIN cw USING (row) JOIN leaks USING (entity, word) GROUP BY row, word HAVING max(share) >= {pii.GENERALISE}),
+  terms AS (SELECT row, start, start + size AS stop, CASE WHEN share >= {pii.REMOVE} THEN 'removed' ELSE 'generalised' END AS action FROM o JOIN most USING (row, word)
+    WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.row = o.row AND b.start < o.start + size AND o.start < b."end")),
+  every AS (SELECT row, start, kind_at, "end", kind, NULL AS action FROM b UNION ALL SELECT row, start, 4, stop, 'term', action FROM terms),
+  s AS (SELECT row, {listed("kind", "true")} AS spans, {listed("kind", "kind_at < 4")} AS base, {listed("action", "kind_at = 4")} AS actions, {counts} FROM every GROUP BY row)
+  SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in patterns)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(actions, '') AS actions FROM d LEFT JOIN s USING (row)"""
 
 
 def _neighbours() -> str:
@@ -107,12 +110,13 @@ def _urls() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
     return f"""WITH u AS (SELECT page_id, {host} AS host, {path} AS path, {rest} AS rest, row_number() OVER () AS row FROM pages), t AS (SELECT *, {rule} AS rule, {verdict} AS listed,
-  list_sort(list_distinct(list_filter(list_concat(list_transform(string_split(host, '.'), lambda x: 'host:' || x), list_transform(flatten(list_transform(string_split(regexp_replace({LOWER.format("path")}, '[0-9]+', '#', 'g'), '/'), lambda x: string_split(x, '.'))), lambda x: 'path:' || x),
-  list_transform(regexp_extract_all(rest, '[?&]([^=&#]+)', 1), lambda x: 'query:' || x)), lambda x: NOT ends_with(x, ':')))) AS tokens FROM u),
+  list_sort(list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || x),
+  list_transform(list_filter(flatten(list_transform(string_split(regexp_replace({LOWER.format("path")}, '[0-9]+', '#', 'g'), '/'), lambda x: string_split(x, '.'))), lambda x: x <> ''), lambda x: 'path:' || x),
+  list_transform(regexp_extract_all(rest, '[?&]([^=&#]+)', 1), lambda x: 'query:' || x)))) AS tokens FROM u),
   subs AS (SELECT row, listed, array_to_string(list_filter(tokens, lambda x, i: (mask >> (i - 1)::BIGINT) & 1 = 1), ' ') AS mined, bit_count(mask)::INT AS k FROM (SELECT row, listed, tokens, unnest(range(1, (1::BIGINT << len(tokens)))) AS mask FROM t)),
   total AS (SELECT count(*) AS n FROM t WHERE listed IS NOT NULL), freq AS (SELECT mined, k, count(*) AS f FROM subs WHERE listed IS NOT NULL GROUP BY ALL), hit AS (SELECT mined, listed AS verdict, count(*) AS f FROM subs WHERE listed IS NOT NULL GROUP BY ALL),
   rules AS (SELECT mined, k, verdict, hit.f / freq.f AS confidence, hit.f / n AS support FROM hit JOIN freq USING (mined), total WHERE hit.f >= ceil({SUPPORT} * n) AND hit.f / freq.f >= {CONFIDENCE}),
-  best AS (SELECT row, arg_min((rules.mined, verdict), (-confidence, -support, rules.k, verdict <> 'block', rules.mined)) AS b FROM subs JOIN rules USING (mined) GROUP BY row)
+  best AS (SELECT row, arg_min((rules.mined, verdict), (-confidence, -support, -rules.k, verdict <> 'block', rules.mined)) AS b FROM subs JOIN rules USING (mined) GROUP BY row)
   SELECT page_id, host, path, rule, coalesce(listed, b[2], '{DEFAULT}') AS verdict, CASE WHEN rule IS NULL THEN b[1] END AS mined FROM t LEFT JOIN best USING (row)"""
 
 

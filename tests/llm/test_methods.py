@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,8 +45,8 @@ def plain_groups(values):
     return [top(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("shard_rows", [50_000, 4])
-def test_simhash_equals_all_pairs(spark, shard_rows):
+@pytest.mark.parametrize(("tree_rows", "hot_rows"), [(4096, 50_000), (30, 50_000), (3, 4), (2, 10**6)])
+def test_simhash_equals_all_pairs(spark, tree_rows, hot_rows):
     rng, rows = random.Random(3), []
     for i in range(60):
         text = words(rng, rng.choice((2, 5, 40, 300)))
@@ -56,7 +58,7 @@ def test_simhash_equals_all_pairs(spark, shard_rows):
     rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "Ä ä \x0b z")]
     prints = [plain_fingerprint(t) for _, t in rows]
     groups = plain_groups(prints)
-    out = {r.doc_id: r for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows).collect()}
+    out = {r.doc_id: r for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), tree_rows, hot_rows).collect()}
     assert [int(out[i].fingerprint, 16) for i in range(len(rows))] == prints
     assert [out[i].component_id for i in range(len(rows))] == groups
 
@@ -66,7 +68,29 @@ def test_bk_tree_equals_all_pairs():
     seeds = rng.integers(0, 2**63, 30, dtype=np.uint64)
     values = [int(s) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for s in seeds for k in (0, 1, 2, 2, 3, 4, 5) for _ in range(4)]
     values = sorted(set(values) | {int(x) for x in rng.integers(0, 2**63, 400, dtype=np.uint64)})
-    assert simhash.tree_groups(np.array(values, dtype=np.uint64)).tolist() == plain_groups(values)
+    tree = simhash.BKTree(np.array(values, dtype=np.uint64))
+    assert simhash.tree_groups(tree).tolist() == plain_groups(values)
+    assert len(values) < tree.followed < len(values) ** 2 / 2
+    for node in range(len(values)):
+        for edge, child in enumerate(tree.child[node].tolist()):
+            assert child < 0 or (values[node] ^ values[child]).bit_count() == edge - simhash.RADIUS
+
+
+def test_trees_hold_the_fingerprints_of_documents(spark):
+    """Nearly every fingerprint of the table hangs on an edge of a tree, and searches go along edges."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    values = np.unique(np.array([simhash.simhash(r.text) for r in docs.collect()], dtype=np.int64)).view(np.uint64)
+    tree = simhash.BKTree(values)
+    assert (tree.child >= 0).sum() == len(values) - 1
+    list(tree.links(values))
+    assert len(values) < tree.followed < 0.6 * len(values) ** 2
+
+
+def test_state_of_twenty_million_edges(spark):
+    """A sum of 40-bit hashes overflowed here."""
+    many = spark.range(20_000_000).selectExpr("id + 1 as u", "0L as v")
+    one, other = simhash.edge_state(many), simhash.edge_state(many.where("u <> 7").union(spark.sql("select 7L as u, 1L as v")))
+    assert one[0] == other[0] == 20_000_000 and one != other
 
 
 def test_components_of_chains_and_hubs(spark):
@@ -93,6 +117,39 @@ def test_shards_follow_weights(spark):
         sharding.added(tree, tree[1:])
 
 
+def test_slots_of_any_ids_have_no_gaps(spark, monkeypatch):
+    """Ids that are text, multiples of the number of buckets, null or the same in many rows are dealt to many buckets."""
+    monkeypatch.setattr(sharding, "REPEATS", 100)
+    rows = [(None, f"t{i}") for i in range(300)] + [("x", "same")] * 950 + [(str(256 * i), "y") for i in range(300)] + [("x", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    out = sharding.shard_slots(docs).collect()
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert sorted((r.doc_id or "", r.text_crc32) for r in out) == sorted((i or "", zlib.crc32((t or "").encode())) for i, t in rows)
+    buckets = docs.where("doc_id is null").select(sharding.bucket_of(sharding.F.lit(""), sharding.F.crc32("text"), sharding.F.lit(2))).distinct().count()
+    assert buckets > 100
+
+
+def test_movement_stays_in_subtrees_whose_weights_change(spark):
+    tree = [(f"g{g}", f"k{k}", 6 * g + 2 * k + s, 2.0) for g in range(3) for k in range(3) for s in range(2)]
+    less = [(*x[:3], {2: 0.5}.get(x[2], x[3])) for x in tree if x[2] != 7]  # shard 2 (g0, k1) shrinks, shard 7 (g1, k0) goes
+    keys = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    key = sharding.F.col("doc_id")
+    layers = sharding.resized([tree], less)
+    assert layers == [less]
+    moved = [(r.a, r.b) for r in keys.select(sharding.shard_of(key, [tree]).alias("a"), sharding.shard_of(key, layers).alias("b")).where("a <> b").collect()]
+    where = {x[2]: x[:2] for x in tree}
+    assert moved and 7 not in {b for _, b in moved}
+    for a, b in moved:  # out of a region that shrank; inside a region, out of a rack that shrank; inside a rack, out of the leaf
+        assert where[a][0] in ("g0", "g1")
+        assert where[a][0] != where[b][0] or where[a] in (("g0", "k1"), ("g1", "k0"))
+        assert where[a] != where[b] or a in (2, 7)
+    grown = sharding.resized(layers, [(*x[:3], 4.0 if x[2] == 2 else x[3]) for x in tree])
+    assert [sum(x[3] for layer in grown for x in layer if x[2] == s) for s in (0, 2, 7)] == [2.0, 4.0, 2.0]
+    back = [(r.a, r.b) for r in keys.select(sharding.shard_of(key, layers).alias("a"), sharding.shard_of(key, grown).alias("b")).where("a <> b").collect()]
+    assert {b for _, b in back} == {2, 7}
+
+
 def test_mix_follows_the_schedule(spark):
     rng = random.Random(5)
     docs = spark.createDataFrame([(i, words(rng, 20), f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
@@ -144,6 +201,27 @@ def test_salvage_finds_later_records_and_logs_gaps(packed):
     assert sum(r["length"] for r in found) == len(data)
 
 
+def test_members_with_several_records():
+    records = [warc.record("response", str(i), "u", warc.digest_of(b"x%d" % i), 2, b"x%d" % i) for i in range(6)]
+    broken = records[4][:-6] + b"y" + records[4][-5:]
+    data = warc.member(b"".join(records[:4])) + warc.member(records[5] + b"rest") + warc.member(broken + records[4] + broken)
+    found = list(warc.salvage(data))
+    assert [r["record_id"] for r in found if r["state"] == "record"] == ["0", "1", "2", "3", "5", "4"]
+    assert [(r["inner"], r["inner_length"]) for r in found if r["state"] == "gap"] == [(len(records[5]), 4), (0, len(broken)), (len(broken) + len(records[4]), len(broken))]
+    assert sum(r["length"] for r in found) == len(data)
+    large = warc.member(b"".join(records)) + warc.member(b"0" * 10**6) + warc.member(records[0])
+    assert [r["state"] for r in warc.salvage(large, 10_000)] == ["record"] * 6 + ["gap", "record"]
+
+
+def test_a_lost_record_is_an_error(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(9)], "page_id long, url string, html string")
+    assert warc.archived(pages).count() == 9
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: read(*a).where("record_id <> '4'"))
+    with pytest.raises(RuntimeError, match="9 pages were archived; 8 records and 0 gaps"):
+        warc.archived(pages)
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(9)
     centres = rng.standard_normal((40, 24))
@@ -220,6 +298,7 @@ def plain_windows(text, items):
 def test_decontamination_against_windows(spark, block_bytes):
     rng = random.Random(8)
     items = [(i, words(rng, n, 30)) for i, n in enumerate((1, 2, 5, 12, 13, 14, 30, 40))] + [(20, "Éa, b-C"), (21, "w1 " * 20)]
+    items += items[5:7] * 3 + [(3, items[7][1]), (99, items[7][1])]
     docs = []
     for i in range(60):
         parts = words(rng, rng.randrange(0, 120), 30).split()
@@ -269,6 +348,56 @@ def test_words_that_disclose_an_entity_go(spark):
     assert texts[0] == "please ask  about it at <email> today 0" and texts[20] == rows[15][1]
 
 
+def plain_terms(docs):
+    """Term spans by counting in Python; docs: rows (doc_id, text)."""
+    n = len(docs)
+    base = [[(int(a), int(b), k) for k, a, b in (x.split(":") for x in plain_base(t).split(",") if x)] for _, t in docs]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")] for _, t in docs]
+    names = [{f"{k}:{t[a:b].lower()}" for a, b, k in own} for own, (_, t) in zip(base, docs, strict=True)]
+    n_t, n_e, n_et = Counter(), Counter(), Counter()
+    for own, e in zip(words, names, strict=True):
+        kinds = {w for *_, w in own}
+        n_t.update(kinds)
+        n_e.update(e)
+        n_et.update((x, w) for x in e for w in kinds)
+    share = lambda e, w: math.log2((n_et[e, w] + n_t[w] / n) / (n_e[e] + 1) * n / n_t[w]) / math.log2(n / n_e[e]) if n_e[e] < n else 0
+    out = []
+    for own, spans, e in zip(words, base, names, strict=True):
+        got = []
+        for a, b, w in own:
+            most = max((round(share(x, w), 9) for x in e), default=0)
+            if most >= pii.GENERALISE and not any(s < b and a < t for s, t, _ in spans):
+                got.append(f"{'removed' if most >= pii.REMOVE else 'generalised'}:{a}:{b}")
+        out.append(",".join(got))
+    return out
+
+
+def test_terms_equal_plain_counts(spark):
+    """With entities of one document, of some and of very many, repeated rows, and words that stand in entities."""
+    rng, rows = random.Random(7), []
+    for i in range(300):
+        text = words(rng, rng.randrange(5, 30), 60)
+        if i % 3 == 0:
+            text += f" Mail box{'abcdefghij'[i % 10] * 3}@corp.example or {'zeb' if i % 10 < 3 else 'quux'}{'klmnop'[i % 6]} knows"
+        if i % 7 == 0:
+            text = f"lonely{'abcdefg'[i // 7 % 7]}x one{i}@one.example " + text + " Lonelyax twice"
+        if i % 4 == 0:
+            text += " call +1 234 567 8901"
+        rows.append((i, re.sub(r"w(\d+)", lambda m: "".join("abcdefghij"[int(c)] for c in m[1]) + "word", text)))
+    rows += [rows[0]] * 5 + [(None, rows[3][1]), (400, None), (401, "")]
+    out = pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter((i, t) for (i, _), t in zip(rows, plain_terms(rows), strict=True))
+    assert Counter((r.doc_id, r.actions) for r in out) == want
+    found = ",".join(t for _, t in want)
+    assert "removed" in found and "generalised" in found and "" in {t for _, t in want}
+
+
+def test_places_in_texts_with_many_matches(spark):
+    text = " ".join(f"a{i}@b.co" for i in range(5000))
+    row = pii.report(spark.createDataFrame([(1, text), (2, "é" + text)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.base_sha256 for r in row] == [hashlib.sha256(plain_base(t).encode()).hexdigest() for t in (text, "é" + text)]
+
+
 def test_url_rules_are_mined(spark):
     urls = [f"http://a{i}.net/casino/{i}" for i in range(20)] + [f"http://b{i}.example.net/en/news/{i}" for i in range(20)] + ["https://q.example.com/casino/7", "https://q.example.com/news/8", "https://q.example.com/other", "http://x.example.com/de/1", "http://x.org/fr", "http://x.org/fr/"]
     out = {r.url: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).join(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
@@ -297,6 +426,32 @@ def test_near_copies_are_found_to_similarity_080(spark):
     assert kept == set(range(0, 120, 2)) | set(far)
 
 
+@pytest.mark.parametrize(("texts", "size"), [(512, 1 << 24), (4, 1 << 24), (512, 4000)])
+def test_large_candidate_groups_lose_no_link(spark, monkeypatch, texts, size):
+    """A chain of texts, of which only neighbours are alike, and a hub with many copies, in units of any size."""
+    monkeypatch.setattr(simhash, "UNIT_TEXTS", texts)
+    monkeypatch.setattr(simhash, "UNIT_BYTES", size)
+    rng, rows = random.Random(9), []
+    chain = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+    for i in range(24):
+        rows.append(" ".join(chain))
+        at = (i * 37) % 130
+        chain[at : at + 8] = [f"c{rng.randrange(10**6)}" for _ in range(8)]
+    hub = [f"h{rng.randrange(10**6)}" for _ in range(150)]
+    for i in range(24):
+        rows.append(" ".join([*hub[: i * 5], f"x{i}", *hub[i * 5 + 1 :]]))
+    rows += rows[:3]
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    alike = {(i, j) for i, a in rows for j, b in rows if i < j and plain_similarity(a, b) >= 0.8}
+    group = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, j in alike:
+            group[i] = group[j] = min(group[i], group[j])
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted(set(group.values())) and 2 <= len(kept) < 12
+
+
 def test_alike_groups_equal_all_pairs():
     rng, sets = np.random.default_rng(2), []
     for _ in range(30):
@@ -321,3 +476,45 @@ def test_url_tokens_with_blanks_stay_whole(spark):
     out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert out[40].verdict == "block" and "path:my page" in out[40].mined
     assert out[41].verdict == "allow"
+
+
+def plain_verdict(url, urls):
+    """A mined verdict by trying every set of tokens on every labelled URL."""
+    from itertools import combinations
+
+    def parts(u):
+        m = re.search(r"(?s)://([^/?#]*)([^?#]*)(.*)", u or "")
+        return (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2], m[3]) if m else ("", "", "")
+
+    def tokens(u):
+        host, path, rest = parts(u)
+        found = ["host:" + x for x in host.split(".") if x] + ["path:" + x for s in re.sub("[0-9]+", "#", path.lower()).split("/") for x in s.split(".") if x]
+        return frozenset(found + ["query:" + x for x in re.findall(r"[?&]([^=&#]+)", rest.lower())])
+
+    def listed(u):
+        host, path, _ = parts(u)
+        fits = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    known = [(tokens(u), listed(u)) for u in urls if listed(u)]
+    best = None
+    for k in range(1, len(tokens(url)) + 1):
+        for some in combinations(sorted(tokens(url)), k):
+            has = [v for t, v in known if t >= set(some)]
+            for verdict in set(has):
+                n = has.count(verdict)
+                if n / len(known) >= url_filter.SUPPORT and n / len(has) >= url_filter.CONFIDENCE:
+                    rank = (-n / len(has), -n, -k, verdict != "block", " ".join(some), verdict)
+                    best = min(best, rank) if best else rank
+    return best[5] if best else url_filter.DEFAULT
+
+
+def test_mined_verdicts_equal_all_token_sets(spark):
+    rng, urls = random.Random(3), []
+    for i in range(400):
+        host = rng.choice(("a.net", "b.example.net", "x.org", "q.example.com", "c.example.com"))
+        urls.append(f"http://{host}/" + "/".join(rng.choice(("en", "fr", "de", "my casino", "casino:", "news.html", "7")) for _ in range(rng.randrange(1, 4))) + rng.choice(("", "?id=1", "?ref=2&id=3")))
+    out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    free = [i for i in range(len(urls)) if out[i].rule is None]
+    assert len(free) > 20 and len({out[i].verdict for i in free}) == 2
+    assert all(out[i].verdict == plain_verdict(urls[i], urls) for i in free)
