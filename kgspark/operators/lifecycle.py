@@ -10,7 +10,7 @@ from kgspark.operators.paths import bnode_owners, settle
 from kgspark.sources.quads import TERM
 
 TRIPLE = ("s", "s_kind", "p", *TERM)
-MAX_TERMS, MAX_BNODES = 50, 300
+MAX_TERMS = 50
 
 
 def subjects(quads: DataFrame) -> DataFrame:
@@ -34,15 +34,16 @@ def newly_deprecated(base: DataFrame, new: DataFrame) -> DataFrame:
     return deprecated_terms(new).join(deprecated_terms(base), "iri", "left_anti")
 
 
-def canonical_bnodes(quads: DataFrame, max_bnodes: int = MAX_BNODES) -> tuple[DataFrame, str]:
+def canonical_bnodes(quads: DataFrame, max_bnodes: int | None = None) -> tuple[DataFrame, str]:
     """Triples with blank nodes renamed by structure, and the status: computed, skipped-shared or skipped-too-many.
 
     From the leaves up, a blank node becomes the hash of its sorted triples; equal siblings keep their number. It is exact
-    for trees only: a blank node with two parents, or on a cycle, skips the whole. Skipped triples are as they were.
+    for trees only: a blank node with two parents, or on a cycle, skips the whole. Skipped triples are as they were. Hashing
+    has no limit of nodes, as a search for isomorphisms has; max_bnodes sets one for callers that want it.
     """
     rows = quads.select(*TRIPLE).distinct()
     nodes = rows.where("s_kind = 'bnode'").select(F.col("s").alias("node")).unionByName(rows.where("o_kind = 'bnode'").select(F.col("o").alias("node"))).distinct()
-    if nodes.limit(max_bnodes + 1).count() > max_bnodes:
+    if max_bnodes is not None and nodes.limit(max_bnodes + 1).count() > max_bnodes:
         return rows, "skipped-too-many"
     if not rows.where("o_kind = 'bnode'").groupBy("o").count().where("count > 1").isEmpty():
         return rows, "skipped-shared"
@@ -70,13 +71,14 @@ def canonical_bnodes(quads: DataFrame, max_bnodes: int = MAX_BNODES) -> tuple[Da
     final = alike.select("node", F.concat_ws("-", "name", F.when(F.col("k") > 1, F.col("k").cast("string"))).alias("name"))
     out = rows.join(final.select(F.col("node").alias("s"), F.col("name").alias("sn")), "s", "left").join(final.select(F.col("node").alias("o"), F.col("name").alias("on")), "o", "left")
     pick = lambda c, k, n: F.when(F.col(k) == "bnode", F.coalesce(n, c)).otherwise(F.col(c)).alias(c)
-    return out.select(pick("s", "s_kind", "sn"), "s_kind", "p", pick("o", "o_kind", "on"), "o_kind", "o_dt", "o_lang"), "computed"
+    return out.select(pick("s", "s_kind", "sn"), "s_kind", "p", pick("o", "o_kind", "on"), "o_kind", "o_dt", "o_lang").distinct(), "computed"
 
 
 def triple_diff(base: DataFrame, new: DataFrame) -> DataFrame:
-    """TRIPLE columns and side (base or new) of each triple in one graph alone. Blank nodes must be canonical."""
-    a, b = base.select(*TRIPLE), new.select(*TRIPLE)
-    return a.exceptAll(b).distinct().withColumn("side", F.lit("base")).unionByName(b.exceptAll(a).distinct().withColumn("side", F.lit("new")))
+    """TRIPLE columns and side (base or new) of each triple in one graph alone. Blank nodes must be canonical; repeated triples are one."""
+    both = base.select(*TRIPLE, F.lit(1).alias("side")).unionByName(new.select(*TRIPLE, F.lit(2).alias("side")))
+    sides = both.groupBy(*TRIPLE).agg(F.bit_or("side").alias("side")).where("side < 3")
+    return sides.withColumn("side", F.when(F.col("side") == 1, "base").otherwise("new"))
 
 
 def touched_terms(changed: DataFrame, whole: DataFrame) -> DataFrame:
@@ -94,30 +96,31 @@ def modified_terms(base: DataFrame, new: DataFrame) -> DataFrame:
     return touched.join(subjects(base), "iri", "left_semi").join(subjects(new), "iri", "left_semi")
 
 
-def diff_summary(base: DataFrame, new: DataFrame, max_terms: int = MAX_TERMS, max_bnodes: int = MAX_BNODES) -> DataFrame:
+def diff_summary(base: DataFrame, new: DataFrame, max_terms: int = MAX_TERMS, max_bnodes: int | None = None) -> DataFrame:
     """One row: a JSON summary with counts, the first terms of each list, truncated, and status.
 
-    Triple counts and modified terms are null where blank nodes could not be made canonical; then `empty` is false.
+    Triple counts and modified terms are null where blank nodes could not be made canonical; then `empty` is false. Only
+    the first max_terms of each list come together in the row.
     """
     a, first = canonical_bnodes(base, max_bnodes)
     b, second = canonical_bnodes(new, max_bnodes)
     done = first == second == "computed"
     lists = {"added": added_terms(base, new), "removed": removed_terms(base, new), "deprecated": newly_deprecated(base, new)}
     if done:
+        a, b = settle(a), settle(b)
         lists["modified"] = modified_terms(a, b)
-    row = None
+    row = base.sparkSession.range(1).select()
     for name, df in lists.items():
-        own = df.agg(F.array_sort(F.collect_set("iri")).alias(name))
-        row = own if row is None else row.crossJoin(own)
+        shown = df.orderBy("iri").limit(max_terms).agg(F.array_sort(F.collect_list("iri")).alias(name))
+        row = row.crossJoin(df.agg(F.count("*").alias(f"{name}_count"))).crossJoin(shown)
     if done:
         row = row.crossJoin(triple_diff(a, b).agg(F.count_if(F.col("side") == "new").alias("triples_added"), F.count_if(F.col("side") == "base").alias("triples_removed")))
     else:
-        row = row.withColumns({"modified": F.lit(None).cast("array<string>"), "triples_added": F.lit(None).cast("long"), "triples_removed": F.lit(None).cast("long")})
+        unknown = F.lit(None).cast("long")
+        row = row.withColumns({"modified_count": unknown, "modified": F.lit(None).cast("array<string>"), "triples_added": unknown, "triples_removed": unknown})
     names = ("added", "removed", "deprecated", "modified")
-    fields = [F.lit("computed" if done else (first if first != "computed" else second)).alias("status")]
-    for n in names:
-        fields += [F.when(F.col(n).isNotNull(), F.size(n)).alias(f"{n}_count"), F.slice(n, 1, max_terms).alias(n)]
-    cut = [F.coalesce(F.size(n) > max_terms, F.lit(False)) for n in names]
+    fields = [F.lit("computed" if done else (first if first != "computed" else second)).alias("status"), *[x for n in names for x in (f"{n}_count", n)]]
+    cut = [F.coalesce(F.col(f"{n}_count") > max_terms, F.lit(False)) for n in names]
     truncated = cut[0] | cut[1] | cut[2] | cut[3]
     empty = F.coalesce((F.col("triples_added") == 0) & (F.col("triples_removed") == 0), F.lit(False))
     return row.select(F.to_json(F.struct(*fields, "triples_added", "triples_removed", truncated.alias("truncated"), empty.alias("empty")), {"ignoreNullFields": "false"}).alias("summary"))
@@ -216,24 +219,53 @@ def reconcile_plan(expected: DataFrame, actual: DataFrame, namespaces: DataFrame
     return both.select("ns", "graph_iri", action.alias("action")).where("action is not null")
 
 
-def assign_versions(docs: DataFrame) -> DataFrame:
-    """ns, seq, version, repeated and edited_from of published bodies (ns, seq, body, edited_from), in order of seq.
+def reconcile_files(versions: DataFrame, blobs: DataFrame, manifests: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """path, ns and action where stored files differ from what should be there.
 
-    A body published before is repeated and keeps its version. The first is 1.0.0, each next raises the minor number.
-    recorded says whether the origin is known: the root has none, and that is known.
+    versions: blob_path of each revision; blobs and manifests: path; namespaces: ns. A body that no revision names is
+    orphan-blob, which is reported and never deleted. A manifest (<folder>/<ns>/<file>) of an unknown namespace is
+    drop-manifest, or report-manifest where that name can't be a namespace's, so that no path is built from it.
     """
-    hashed = docs.withColumn("hash", F.sha2("body", 256))
-    first = hashed.groupBy("ns", "hash").agg(F.min("seq").alias("first_seq"))
-    numbered = first.withColumn("k", F.row_number().over(Window.partitionBy("ns").orderBy("first_seq")))
-    named = numbered.select("ns", "hash", "first_seq", F.concat(F.lit("1."), (F.col("k") - 1).cast("string"), F.lit(".0")).alias("version"), F.col("k"))
-    rows = hashed.join(named, ["ns", "hash"])
-    return rows.select("ns", "seq", "version", (F.col("seq") > F.col("first_seq")).alias("repeated"), "edited_from", (F.col("edited_from").isNotNull() | (F.col("k") == 1)).alias("recorded"))
+    lost = blobs.select("path").distinct().join(versions.select(F.col("blob_path").alias("path")), "path", "left_anti")
+    lost = lost.select("path", F.lit(None).cast("string").alias("ns"), F.lit("orphan-blob").alias("action"))
+    steps = F.split(F.rtrim("path", F.lit("/")), "/")
+    named = manifests.select("path").distinct().where(F.size(steps) >= 2).withColumn("ns", F.element_at(steps, -2))
+    stray = named.join(namespaces.select("ns").distinct(), "ns", "left_anti")
+    return lost.unionByName(stray.select("path", "ns", F.when(T.valid_namespace(F.col("ns")), "drop-manifest").otherwise("report-manifest").alias("action")))
 
 
 def next_version(version: Column) -> Column:
     """major.(minor + 1).0, 1.0.0 for null; null where the version isn't numeric, which the caller must refuse."""
+    return F.when(version.isNull(), "1.0.0").otherwise(raised(version, F.lit(1)))
+
+
+def raised(version: Column, steps: Column) -> Column:
+    """major.(minor + steps).0; null where the version isn't numeric."""
     part = lambda i: F.regexp_extract(version, r"\A([0-9]+)\.([0-9]+)(?:\..*)?\z", i)
-    return F.when(version.isNull(), "1.0.0").when(part(1) != "", F.concat(part(1), F.lit("."), (part(2).cast("long") + 1).cast("string"), F.lit(".0")))
+    return F.when(part(1) != "", F.concat(part(1), F.lit("."), (part(2).try_cast("long") + steps).cast("string"), F.lit(".0")))
+
+
+def assign_versions(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """ns, seq, version, repeated, edited_from and recorded of published bodies (ns, seq, body, edited_from), in order of seq.
+
+    existing: ns, version, content_hash and created_at of revisions that are there. A body that is there, or was published
+    before, is repeated and keeps its version; the newest revision's number is raised for each other one. The first of a
+    namespace is 1.0.0. Where a number is needed and the newest version isn't numeric the version is null: the caller must
+    refuse it or name one. recorded says whether the origin is known: it is where it was declared, and for a namespace's
+    first revision, which has none.
+    """
+    hashed = docs.withColumn("hash", F.sha2("body", 256))
+    if existing is None:
+        existing = docs.sparkSession.createDataFrame([], "ns string, version string, content_hash string, created_at timestamp")
+    there = existing.groupBy("ns", F.col("content_hash").alias("hash")).agg(F.min_by("version", "created_at").alias("kept"))
+    newest = existing.groupBy("ns").agg(F.max_by("version", F.struct("created_at", "version")).alias("newest"))
+    first = hashed.groupBy("ns", "hash").agg(F.min("seq").alias("first_seq")).join(there, ["ns", "hash"], "left").join(newest, "ns", "left")
+    order = Window.partitionBy("ns").orderBy("first_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = first.withColumn("k", F.sum(F.when(F.col("kept").isNull(), 1).otherwise(0)).over(order))
+    version = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("newest").isNull(), raised(F.lit("1.0.0"), F.col("k") - 1)).otherwise(raised(F.col("newest"), F.col("k")))
+    named = named.select("ns", "hash", "first_seq", version.alias("version"), F.col("kept").isNotNull().alias("was"), (F.col("newest").isNull() & (F.col("k") == 1)).alias("root"))
+    rows = hashed.join(named, ["ns", "hash"])
+    return rows.select("ns", "seq", "version", (F.col("was") | (F.col("seq") > F.col("first_seq"))).alias("repeated"), "edited_from", (F.col("edited_from").isNotNull() | F.col("root")).alias("recorded"))
 
 
 # What each audit action makes of a revision, and the states that it may come from.
@@ -253,15 +285,21 @@ def replay_status(audit: DataFrame) -> DataFrame:
     return rows.groupBy("ns", "version").agg(F.max_by("state", "id").alias("status"), F.count_if(~legal).alias("illegal"))
 
 
-def available_actions(versions: DataFrame, principals: DataFrame) -> DataFrame:
-    """version, principal, action, enabled and reason of submit, approve and reject. versions: version, status, created_by, two_person; principals: principal (null: unknown)."""
-    pair = versions.crossJoin(principals)
+def available_actions(pairs: DataFrame) -> DataFrame:
+    """version, principal, action, enabled and reason of submit, approve and reject for given pairs.
+
+    pairs: version, status, created_by, two_person and principal (null: unknown).
+    """
     status, own = F.col("status"), F.col("principal") == F.col("created_by")
     review = status == "in-review"
     approve = F.when(~review, F.when(status == "draft", "not-submitted").otherwise("not-in-review")).when(~F.col("two_person"), None).when(F.col("principal").isNull(), "unknown-principal").when(own, "own-version")
     made = lambda name, ok, why: F.struct(F.lit(name).alias("action"), ok.alias("enabled"), why.alias("reason"))
-    actions = F.array(made("submit", status == "draft", F.when(status != "draft", "not-draft")), made("approve", review & (~F.col("two_person") | F.col("principal").isNull() | ~own), approve), made("reject", review, F.when(~review, "not-in-review")))
-    return pair.select("version", "principal", F.explode(actions).alias("a")).select("version", "principal", "a.*")
+    actions = F.array(
+        made("submit", status == "draft", F.when(status != "draft", "not-draft")),
+        made("approve", review & (~F.col("two_person") | F.col("principal").isNull() | ~own), approve),
+        made("reject", review, F.when(~review, "not-in-review")),
+    )
+    return pairs.select("version", "principal", F.explode(actions).alias("a")).select("version", "principal", "a.*")
 
 
 def criteria_self_revision(versions: DataFrame, questions: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -17,16 +18,31 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set where there is none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's shared folder: spark.checkpoint.dir, or what setCheckpointDir has set. A temporary one under a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="kgspark-"))
     spark.sparkContext.setCheckpointDir(_own[0])
     return _own[0]
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str, part_rows: int = 100_000) -> DataFrame:
+    """rows with their numbers from 1 in an order without ties. Ranges of about part_rows rows are numbered by themselves."""
+    rows = settle(rows)
+    parts = rows.count() // part_rows + 1
+    if parts == 1:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    rows = settle(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    sums = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_at", own).join(sums, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def edges_of(quads: DataFrame, predicate: str) -> DataFrame:
     """src and dst of one predicate's links between nodes."""
     return quads.where((F.col("p") == predicate) & (F.col("o_kind") != "literal")).select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()

@@ -28,6 +28,25 @@ def test_shared_or_too_many_blank_nodes_are_skipped(spark):
     assert summary["triples_added"] is None and summary["modified"] is None and summary["empty"] is False
 
 
+def test_repeated_triples_are_no_difference(spark):
+    base, new = graph(spark, (EX + "A", T.LABEL, '"a"'), (EX + "A", T.LABEL, '"a"')), graph(spark, (EX + "A", T.LABEL, '"a"'))
+    assert C.triple_diff(base, new).count() == C.triple_diff(new, base).count() == 0
+
+
+def test_a_thousand_blank_nodes(spark):
+    rows_ = [(EX + f"T{i}", EX + "has", f"_:a{i}") for i in range(1000)] + [(f"_:a{i}", EX + "size", f'"{i % 50}"') for i in range(1000)]
+    again = [tuple(x.replace("_:a", "_:z") for x in t) for t in reversed(rows_)]
+    again[0] = (again[0][0], EX + "size", '"many"')
+    summary = json.loads(C.diff_summary(graph(spark, *rows_), graph(spark, *again)).first().summary)
+    assert summary["status"] == "computed" and (summary["triples_added"], summary["triples_removed"], summary["modified"]) == (2, 1, [EX + "T999"])
+
+
+def test_long_lists_are_cut_in_order(spark):
+    base, new = graph(spark, (EX + "A", T.LABEL, '"a"')), graph(spark, *[(EX + f"N{i}", T.LABEL, '"n"') for i in range(30)])
+    summary = json.loads(C.diff_summary(base, new, 5).first().summary)
+    assert summary["added_count"] == 30 and summary["added"] == sorted(EX + f"N{i}" for i in range(30))[:5] and summary["truncated"]
+
+
 def test_touched_through_blank_nodes(spark):
     base = graph(spark, (EX + "A", "p", "_:x"), ("_:x", "q", "_:y"), ("_:y", "v", '"1"'), (EX + "B", T.LABEL, '"b"'))
     new = graph(spark, (EX + "A", "p", "_:x"), ("_:x", "q", "_:y"), ("_:y", "v", '"2"'), (EX + "B", T.LABEL, '"b"'))
@@ -65,9 +84,19 @@ def test_reconcile(spark):
     assert rows(C.reconcile_plan(expected, actual, spaces)) == [("n", "", "load-default"), ("n", "elsewhere", "foreign"), ("n", "g/n/1", "load"), ("n", "g/n/2", "drop-beyond-retention"), ("n", "g/n/9", "drop-residual"), ("old", "g/old/1", "drop-retired"), ("who", "x", "orphan-dataset")]
 
 
+def test_stray_files(spark):
+    versions = spark.createDataFrame([("v/n/1.ttl",)], "blob_path string")
+    blobs, manifests = spark.createDataFrame([("v/n/1.ttl",), ("v/n/2.ttl",)], "path string"), spark.createDataFrame([("v/n/_state.json",), ("v/gone/_state.json",), ("v/..Bad/_state.json",), ("alone",)], "path string")
+    found = C.reconcile_files(versions, blobs, manifests, spark.createDataFrame([("n",)], "ns string"))
+    assert rows(found) == [("v/..Bad/_state.json", "..Bad", "report-manifest"), ("v/gone/_state.json", "gone", "drop-manifest"), ("v/n/2.ttl", None, "orphan-blob")]
+
+
 def test_versions_and_states(spark):
     docs = spark.createDataFrame([("n", 1, "a", None), ("n", 2, "b", "1.0.0"), ("n", 3, "a", None), ("n", 4, "c", None)], "ns string, seq int, body string, edited_from string")
     assert rows(C.assign_versions(docs).select("seq", "version", "repeated", "recorded")) == [(1, "1.0.0", False, True), (2, "1.1.0", False, True), (3, "1.0.0", True, True), (4, "1.2.0", False, False)]
+    there = spark.createDataFrame([("n", "1.9.0", "x", 1), ("n", "2.3.1", "y", 2), ("m", "beta", "z", 1)], "ns string, version string, content_hash string, created_at int").selectExpr("ns", "version", "sha2(content_hash, 256) as content_hash", "created_at")
+    more = spark.createDataFrame([("n", 1, "x", None), ("n", 2, "a", None), ("n", 3, "b", "2.3.1"), ("m", 1, "z", None), ("m", 2, "q", None), ("k", 1, "q", None)], "ns string, seq int, body string, edited_from string")
+    assert rows(C.assign_versions(more, there).select("ns", "seq", "version", "repeated", "recorded")) == [("k", 1, "1.0.0", False, True), ("m", 1, "beta", True, False), ("m", 2, None, False, False), ("n", 1, "1.9.0", True, False), ("n", 2, "2.4.0", False, False), ("n", 3, "2.5.0", False, True)]
     nexts = spark.createDataFrame([(None,), ("2.9.1",), ("beta",)], "v string").select(C.next_version(C.F.col("v")))
     assert [r[0] for r in nexts.collect()] == ["1.0.0", "2.10.0", None]
     audit = spark.createDataFrame([(1, "published"), (2, "submitted"), (3, "rejected"), (4, "approved"), (5, "mapping-declared")], "id int, action string").selectExpr("id", "'n' as ns", "'1' as version", "action")
@@ -76,7 +105,7 @@ def test_versions_and_states(spark):
 
 def test_actions(spark):
     v = spark.createDataFrame([("1", "in-review", "me", True), ("2", "draft", "me", False)], "version string, status string, created_by string, two_person boolean")
-    out = {(r.version, r.principal, r.action): (r.enabled, r.reason) for r in C.available_actions(v, spark.createDataFrame([("me",), ("you",), (None,)], "principal string")).collect()}
+    out = {(r.version, r.principal, r.action): (r.enabled, r.reason) for r in C.available_actions(v.crossJoin(spark.createDataFrame([("me",), ("you",), (None,)], "principal string"))).collect()}
     assert out[("1", "me", "approve")] == (False, "own-version") and out[("1", "you", "approve")] == (True, None) and out[("1", None, "approve")] == (True, "unknown-principal")
     assert out[("2", "me", "submit")] == (True, None) and out[("2", "me", "approve")] == (False, "not-submitted") and len(out) == 18
 
