@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import terms as T
-from kgspark.operators.paths import path_star, settle
+from kgspark.operators.paths import numbered, path_star, settle
 
 PROBES = 100
 
@@ -136,22 +136,36 @@ def _list_items(quads: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def malformed_shapes(shapes: DataFrame) -> DataFrame:
-    """s and fault of what no data can be judged by: counts that are no integers, target classes that are no IRIs, patterns that can't compile."""
+    """s and fault of what no data can be judged by: counts that are no integers, target classes that are no IRIs, patterns that can't compile.
+
+    The shapes' distinct patterns come to the driver one after another to be compiled.
+    """
     count = shapes.where(F.col("p").isin(T.SH + "minCount", T.SH + "maxCount") & ~((F.col("o_kind") == "literal") & F.coalesce(F.col("o").try_cast("int") >= 0, F.lit(False)))).select("s", F.lit("count").alias("fault"))
     target = shapes.where((F.col("p") == T.SH + "targetClass") & (F.col("o_kind") != "iri")).select("s", F.lit("target").alias("fault"))
-    odd = lambda a, b: F.regexp_count(F.col("plain"), F.lit(a)) != F.regexp_count(F.col("plain"), F.lit(b))
-    plain = F.regexp_replace(F.regexp_replace("o", r"\\.", ""), r"\[\^?\]?[^\]]*\]", "c")
-    broken = shapes.where(F.col("p") == T.SH + "pattern").withColumn("plain", plain)
-    pattern = broken.where((F.col("o_kind") != "literal") | odd(r"\(", r"\)") | F.contains("plain", F.lit("[")) | F.col("plain").rlike(r"\A[*+?]|\\\z")).select("s", F.lit("pattern").alias("fault"))
+    found = shapes.where(F.col("p") == T.SH + "pattern").select("s", F.when(F.col("o_kind") == "literal", F.col("o")).alias("o"))
+    bad = [x for x in (r["o"] for r in found.where("o is not null").select("o").distinct().toLocalIterator()) if not compiles(shapes.sparkSession, x)]
+    pattern = found.where(F.col("o").isNull() | F.col("o").isin(bad)).select("s", F.lit("pattern").alias("fault"))
     return count.unionByName(target).unionByName(pattern).distinct()
 
 
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the JVM, whose patterns judge the values, takes a pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001 - whatever the compiler throws
+        return False
+    return True
+
+
 def shacl_report(shapes: DataFrame, data: DataFrame) -> DataFrame:
     """One row: shapes_conform, data_conform (null where shapes are malformed), conforms, violations (null likewise)."""
-    faults = malformed_shapes(shapes).agg(F.count("*").alias("faults"))
-    bad = {r["s"] for r in malformed_shapes(shapes).where("fault = 'pattern'").select("s").distinct().limit(1).collect()}
-    rows = shacl_validate(shapes if not bad else shapes.where(F.col("p") != T.SH + "pattern"), data).agg(F.count("*").alias("n"))
-    return faults.crossJoin(rows).select((F.col("faults") == 0).alias("shapes_conform"), F.when(F.col("faults") == 0, F.col("n") == 0).alias("data_conform"), ((F.col("faults") == 0) & (F.col("n") == 0)).alias("conforms"), F.when(F.col("faults") == 0, F.col("n")).alias("violations"))
+    malformed = settle(malformed_shapes(shapes))
+    faults = malformed.agg(F.count("*").alias("faults"))
+    if malformed.isEmpty():
+        rows = shacl_validate(shapes, data).agg(F.count("*").alias("n"))
+    else:  # nothing is judged by them
+        rows = shapes.sparkSession.range(1).select(F.lit(None).cast("long").alias("n"))
+    return faults.crossJoin(rows).select((F.col("faults") == 0).alias("shapes_conform"), F.when(F.col("faults") == 0, F.col("n") == 0).alias("data_conform"), F.coalesce((F.col("faults") == 0) & (F.col("n") == 0), F.lit(False)).alias("conforms"), F.when(F.col("faults") == 0, F.col("n")).alias("violations"))
 
 
 def class_probe(quads: DataFrame, cls: str) -> DataFrame:
@@ -174,8 +188,8 @@ def plan_probes(targets: DataFrame, paths: DataFrame, mapped: DataFrame, limit:
     classes = targets.join(mapped.select(F.col("iri").alias("class")), "class", "left_semi").select("class", "shape").distinct()
     props = classes.join(paths, "shape").join(mapped.select(F.col("iri").alias("path")), "path", "left_semi").select("class", "shape", "path").distinct()
     rows = classes.withColumn("path", F.lit(None).cast("string")).unionByName(props)
-    order = Window.orderBy("class", "shape", F.col("path").asc_nulls_first())
-    return rows.withColumn("n", F.row_number().over(order)).withColumn("planned", F.col("n") <= limit)
+    order = [F.col("class"), F.col("shape"), F.col("path").asc_nulls_first()]
+    return numbered(rows, order, "n").withColumn("n", F.col("n").cast("int")).withColumn("planned", F.col("n") <= limit)
 
 
 def divergence_report(shapes: DataFrame, data: DataFrame, mapped: DataFrame, limit: int = PROBES) -> DataFrame:
@@ -249,12 +263,13 @@ def competency_report(results: DataFrame) -> DataFrame:
     return results.agg(F.coalesce(F.bool_and(F.col("evaluated") & F.col("passed")), F.lit(True)).alias("conforms"), F.coalesce(F.bool_and("evaluated"), F.lit(True)).alias("evaluated_all"), ids(F.col("evaluated") & ~F.col("passed")).alias("failed"), ids(~F.col("evaluated")).alias("not_evaluated"))
 
 
-def contradictions(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kind, node) of contradictions, and a one-row verdict: consistent, conclusive, unsatisfiable_classes.
+def contradictions(quads: DataFrame, max_terms: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(kind, node) of contradictions, and a one-row verdict: consistent, conclusive, unsatisfiable, unsatisfiable_classes.
 
     Sound but incomplete: individuals in two disjoint classes, and classes below two disjoint ones. Unions on the left of a
     subclass axiom count as an edge for each member. Other axioms than types, subclass, disjointness, labels and
-    declarations leave the verdict inconclusive. The class list is null where there are contradictory individuals.
+    declarations leave the verdict inconclusive. The count and list of classes are null where there are
+    contradictory individuals; the list has the first max_terms, the rows of kind class are all.
     """
     iri = F.col("o_kind") == "iri"
     sub = quads.where((F.col("p") == T.SUBCLASS) & iri).select(F.col("s").alias("src"), F.col("o").alias("dst"))
@@ -268,12 +283,14 @@ def contradictions(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = quads.where((F.col("p") == T.TYPE) & iri & ~F.col("o").startswith(T.OWL)).select(F.col("s").alias("node"), F.col("o").alias("src"))
     of = typed.join(up, "src").select("node", F.col("dst").alias("class")).unionByName(typed.select("node", F.col("src").alias("class"))).distinct()
     clash = lambda df: df.select("node", F.col("class").alias("a")).join(apart, "a").join(df.select("node", F.col("class").alias("b")), ["node", "b"]).select("node").distinct()
-    people, kinds = clash(of), clash(up.select(F.col("src").alias("node"), F.col("dst").alias("class")))
+    people, kinds = settle(clash(of)), settle(clash(up.select(F.col("src").alias("node"), F.col("dst").alias("class"))))
     found = people.select(F.lit("individual").alias("kind"), "node").unionByName(kinds.select(F.lit("class").alias("kind"), "node"))
     known = (T.TYPE, T.SUBCLASS, T.DISJOINT, T.LABEL, T.COMMENT, T.UNION_OF, T.RDF + "first", T.RDF + "rest")
     other = quads.where((F.col("p").startswith(T.OWL) | F.col("p").startswith(T.RDFS)) & ~F.col("p").isin(*known)).agg(F.count("*").alias("other"))
-    verdict = people.agg(F.count("*").alias("people")).crossJoin(kinds.agg(F.array_sort(F.collect_set("node")).alias("classes"))).crossJoin(other)
-    return found, verdict.select((F.col("people") == 0).alias("consistent"), (F.col("other") == 0).alias("conclusive"), F.when(F.col("people") == 0, F.col("classes")).alias("unsatisfiable_classes"))
+    shown = kinds.orderBy("node").limit(max_terms).agg(F.array_sort(F.collect_list("node")).alias("classes"))
+    verdict = people.agg(F.count("*").alias("people")).crossJoin(kinds.agg(F.count("*").alias("n"))).crossJoin(shown).crossJoin(other)
+    fine = F.col("people") == 0
+    return found, verdict.select(fine.alias("consistent"), (F.col("other") == 0).alias("conclusive"), F.when(fine, F.col("n")).alias("unsatisfiable"), F.when(fine, F.col("classes")).alias("unsatisfiable_classes"))
 
 
 def foreign_subjects(quads: DataFrame, base: str) -> DataFrame:

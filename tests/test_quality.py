@@ -47,6 +47,10 @@ def test_counts_are_of_distinct_values_and_patterns_hold(spark):
 def test_malformed_shapes_judge_no_data(spark):
     broken = shape(spark, "A", ("p", "many"))
     assert tuple(V.shacl_report(broken, graph(spark, ("a", "p", "b"))).first()) == (False, None, False, None)
+    data = graph(spark, (EX + "x", T.TYPE, EX + "A"), (EX + "x", EX + "p", '"v"'))
+    for pattern in ("a{2,1}", "(?<n", "*"):
+        bad = shape(spark, "A", ("p", 1)).unionByName(graph(spark, ("_:A0", T.SH + "pattern", f'"{pattern}"')))
+        assert tuple(V.shacl_report(bad, data).first()) == (False, None, False, None)
     assert [r.fault for r in V.malformed_shapes(graph(spark, ("_:a", T.SH + "pattern", '"a(b"'), ("_:b", T.SH + "pattern", '"[a-z(]+\\(x\\)"'))).collect()] == ["pattern"]
 
 
@@ -60,9 +64,9 @@ def test_questions_that_can_not_be_asked_never_pass(spark):
 def test_contradictions(spark):
     disjoint = (EX + "A", T.DISJOINT, EX + "B")
     found, verdict = V.contradictions(graph(spark, disjoint, (EX + "i", T.TYPE, EX + "B"), (EX + "i", T.TYPE, EX + "C"), (EX + "C", T.SUBCLASS, EX + "A")))
-    assert rows(found) == [("individual", EX + "i")] and tuple(verdict.first()) == (False, True, None)
+    assert rows(found) == [("individual", EX + "i")] and tuple(verdict.first()) == (False, True, None, None)
     found, verdict = V.contradictions(graph(spark, disjoint, (EX + "U", T.SUBCLASS, EX + "A"), (EX + "U", T.SUBCLASS, EX + "B"), (EX + "p", T.RANGE, EX + "A")))
-    assert rows(found) == [("class", EX + "U")] and tuple(verdict.first()) == (True, False, [EX + "U"])
+    assert rows(found) == [("class", EX + "U")] and tuple(verdict.first()) == (True, False, 1, [EX + "U"])
     union = (("_:u", T.SUBCLASS, EX + "A"), ("_:u", T.UNION_OF, "_:l"), ("_:l", T.RDF + "first", EX + "M"), ("_:l", T.RDF + "rest", T.RDF + "nil"), (EX + "i", T.TYPE, EX + "M"), (EX + "i", T.TYPE, EX + "B"))
     assert rows(V.contradictions(graph(spark, disjoint, *union))[0]) == [("individual", EX + "i")]
 
