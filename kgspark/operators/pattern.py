@@ -16,15 +16,16 @@ from kgspark.operators.paths import path_plus, path_seq, path_star
 
 
 class GraphQuery:
-    def __init__(self, quads: DataFrame, ns: str, rows: DataFrame | None = None, g: str | None = ""):
-        self.quads, self.ns, self.rows, self.g = quads, ns, rows, g
+    def __init__(self, quads: DataFrame, ns: str, rows: DataFrame | None = None, g: str | None = "", loose: frozenset[str] = frozenset()):
+        """loose: variables that some rows may leave unbound."""
+        self.quads, self.ns, self.rows, self.g, self.loose = quads, ns, rows, g, loose
 
-    def _with(self, rows: DataFrame) -> GraphQuery:
-        return GraphQuery(self.quads, self.ns, rows, self.g)
+    def _with(self, rows: DataFrame, loose: frozenset[str] | None = None) -> GraphQuery:
+        return GraphQuery(self.quads, self.ns, rows, self.g, self.loose if loose is None else loose)
 
     def graph(self, g: str) -> GraphQuery:
         """Patterns from here on read this named graph, or bind the variable to the named graph's label."""
-        return GraphQuery(self.quads, self.ns, self.rows, g)
+        return GraphQuery(self.quads, self.ns, self.rows, g, self.loose)
 
     def pattern(self, s: str, p: str, o: str, o_kind: str | None = None, details: bool = False) -> DataFrame:
         """Rows of one triple pattern. A repeated variable must be equal. Quads are a set, so rows need no distinct."""
@@ -51,27 +52,53 @@ class GraphQuery:
         more = [F.col(f"o_{x}").alias(f"{o[1:]}_{x}") for x in ("kind", "dt", "lang")] if details and o.startswith("?") else []
         return rows.select(*[F.col(c).alias(v) for v, c in bound.items()], *more)
 
+    def _joined(self, rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        """rows joined with other on the shared variables. A variable that a row leaves unbound fits any value, and takes it.
+
+        Rows with the same unbound variables are joined by equality on the rest of them, so that each part stays a hash join.
+        """
+        shared = [c for c in other.columns if c in rows.columns]
+        loose = [c for c in shared if c in self.loose]
+        out = None
+        for free in ([c for i, c in enumerate(loose) if k >> i & 1] for k in range(1 << len(loose))):
+            part, keys = rows, [c for c in shared if c not in free]
+            for c in loose:
+                part = part.where(F.col(c).isNull() if c in free else F.col(c).isNotNull())
+            part = part.drop(*free) if how in ("inner", "left") else part
+            if keys:
+                part = part.join(other, keys, how)
+            else:
+                part = part.crossJoin(other) if how == "inner" else part.join(other, F.lit(True), how)
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def _join(self, other: DataFrame, how: str = "inner") -> GraphQuery:
         if self.rows is None:
             return self._with(other)
-        shared = [c for c in other.columns if c in self.rows.columns]
-        if not shared and how == "inner":
-            return self._with(self.rows.crossJoin(other))
-        if not shared:
-            return self._with(self.rows.join(other, F.lit(True), how))
-        return self._with(self.rows.join(other, shared, how))
+        new = frozenset(c for c in other.columns if c not in self.rows.columns)
+        # a variable is bound after an inner join; an optional pattern may leave it, and its own, unbound
+        return self._with(self._joined(self.rows, other, how), self.loose | new if how == "left" else self.loose - frozenset(other.columns))
 
     def match(self, s: str, p: str, o: str, **more) -> GraphQuery:
         """Joins a pattern on the shared variables; without any, all combinations."""
         return self._join(self.pattern(s, p, o, **more))
 
     def bgp(self, patterns) -> GraphQuery:
-        out = self
-        for x in patterns:
+        """All patterns, in an order in which each shares a variable with those before it wherever there is one.
+
+        So patterns that share none but through a later one don't make all combinations first.
+        """
+        out, todo = self, list(patterns)
+        while todo:
+            known = set(out.rows.columns) if out.rows is not None else set()
+            ties = [x for x in todo if known & {t[1:] for t in x[:3] if t.startswith("?")}]
+            x = (ties or todo)[0]
+            todo.remove(x)
             out = out.match(*x)
         return out
 
     def join(self, other: GraphQuery | DataFrame) -> GraphQuery:
+        """Joins solutions; other binds the variables that it shares with these."""
         return self._join(other.rows if isinstance(other, GraphQuery) else other)
 
     def optional(self, s: str, p: str, o: str, **more) -> GraphQuery:
@@ -83,12 +110,11 @@ class GraphQuery:
         inner = self.pattern(s, p, o, details=True, **more)
         inner = inner.where(where) if where is not None else inner
         shared = [c for c in inner.columns if c in self.rows.columns]
-        return self._with(self.rows.join(inner.select(*shared).distinct(), shared, "left_anti"))
+        return self._with(self._joined(self.rows, inner.select(*shared).distinct(), "left_anti"))
 
     def exists(self, s: str, p: str, o: str, **more) -> GraphQuery:
         inner = self.pattern(s, p, o, **more)
-        shared = [c for c in inner.columns if c in self.rows.columns]
-        return self._with(self.rows.join(inner, shared, "left_semi"))
+        return self._with(self._joined(self.rows, inner, "left_semi"))
 
     def lacks_any(self, *patterns: tuple[str, str, str]) -> GraphQuery:
         """Keeps rows for which at least one of the patterns has no match."""
@@ -111,7 +137,8 @@ class GraphQuery:
 
     def union(self, other: GraphQuery) -> GraphQuery:
         """Both branches' rows, repeats kept; a variable that one branch lacks is null there."""
-        return self._with(self.rows.unionByName(other.rows, allowMissingColumns=True))
+        either = frozenset(self.rows.columns) ^ frozenset(other.rows.columns)
+        return self._with(self.rows.unionByName(other.rows, allowMissingColumns=True), self.loose | other.loose | either)
 
     def path(self, s: str, p: str, o: str, kind: str = "+", first: str | None = None) -> GraphQuery:
         """Joins the property path p+ or p*, or first/p* where first is given. From a constant s only its paths are followed."""

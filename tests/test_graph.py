@@ -65,6 +65,33 @@ def test_negation_union_and_repeated_variables(spark, shop):
     assert rows(loop.match("?x", "p", "?y").exists("?y", "p", "?z").select("y")) == [("a",)]
 
 
+def test_an_unbound_variable_fits_any_value(spark):
+    made = graph(spark, (EX + "a", EX + "p", EX + "x"), (EX + "b", EX + "p", EX + "y"), (EX + "a", EX + "q", EX + "v"), (EX + "r", EX + "s", EX + "v"), (EX + "r", EX + "s", EX + "w"))
+    start = G.GraphQuery(made, "n").match("?a", EX + "p", "?x").optional("?a", EX + "q", "?o")
+    found = rows(start.match("?r", EX + "s", "?o").select("a", "o"))
+    assert found == [(EX + "a", EX + "v"), (EX + "b", EX + "v"), (EX + "b", EX + "w")]
+    assert rows(start.not_exists("?r", EX + "s", "?o").select("a")) == [] and len(rows(start.exists("?r", EX + "s", "?o").select("a"))) == 2
+    again = start.optional("?r", EX + "s", "?o").match("?a", EX + "p", "?x").select("a", "o", "r")
+    assert rows(again) == [(EX + "a", EX + "v", EX + "r"), (EX + "b", EX + "v", EX + "r"), (EX + "b", EX + "w", EX + "r")]
+    both = G.GraphQuery(made, "n").match("?a", EX + "q", "?o").union(G.GraphQuery(made, "n").match("?a", EX + "p", "?x"))
+    assert len(rows(both.match("?r", EX + "s", "?o").select("a", "o"))) == 5
+
+
+def test_patterns_are_joined_where_they_share_a_variable(spark):
+    made = graph(spark, *[(f"{EX}a{i}", EX + "p", f"{EX}x{i}") for i in range(9)], *[(f"{EX}b{i}", EX + "q", f"{EX}y{i}") for i in range(9)], *[(f"{EX}x{i}", EX + "r", f"{EX}b{i}") for i in range(9)])
+    q = G.GraphQuery(made, "n").bgp([("?a", EX + "p", "?x"), ("?b", EX + "q", "?y"), ("?x", EX + "r", "?b")])
+    assert len(rows(q.select("a", "y"))) == 9
+    plan = q.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and "Join Cross" not in plan
+    assert len(rows(G.GraphQuery(made, "n").bgp([("?a", EX + "p", "?x"), ("?b", EX + "q", "?y")]).select("a", "b"))) == 81
+
+
+def test_numbers_in_ranges(spark):
+    made = spark.range(500).selectExpr("(id * 7919) % 500 as k")
+    for part in (100_000, 40):
+        assert [r.n for r in P.numbered(made, [made.k], "n", part).orderBy("k").collect()] == list(range(1, 501))
+
+
 def test_construct_leaves_out_unbound(shop):
     q = G.GraphQuery(shop, "n").match("?c", T.SUBCLASS, "?d").optional("?c", T.LABEL, "?l")
     assert rows(q.construct(("?c", "urn:l", "?l"), ("?d", "urn:k", EX + "Thing"))) == [(EX + "Customer", "urn:k", EX + "Thing"), (EX + "Customer", "urn:l", "顧客"), (EX + "Party", "urn:k", EX + "Thing")]
