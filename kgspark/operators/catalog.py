@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgspark.operators.paths import settle
+
 # Names of relation kinds, and the digest's limit.
 KINDS = {"r": "table", "p": "partitioned-table", "v": "view", "m": "materialized-view", "f": "foreign-table"}
 MAX_COLUMNS = 60
@@ -95,14 +97,24 @@ def catalog_digest(observations: DataFrame) -> DataFrame:
     return rows.select(*TABLE, F.concat_ws("\n", head, F.concat(F.lit("comment: "), F.nullif(F.col("table_comment"), F.lit(""))), F.when(F.size("c") > 0, shown), more).alias("text")).orderBy(*TABLE)
 
 
-def sweep(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, list[tuple[str, str, str | None]]]:
-    """The union of all sources' observations, and (source, status, error) of each; a failure doesn't stop the others."""
+def sweep(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+    """The union of all sources' observations, and source, status and error of each; a failure doesn't stop the others.
+
+    Each source is read once, to the shared folder, so that one which fails while it is read is counted, and leaves
+    nothing behind in the union.
+    """
     out, states = None, []
     for name, read in sources.items():
         try:
-            rows = read().withColumn("source", F.lit(name))
-            rows.schema  # noqa: B018
-            out, states = rows if out is None else out.unionByName(rows, allowMissingColumns=True), [*states, (name, "succeeded", None)]
+            rows = settle(read().withColumn("source", F.lit(name)))
         except Exception as problem:  # noqa: BLE001
             states.append((name, "failed", str(problem)[:500]))
-    return out, states
+        else:
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+            states.append((name, "succeeded", None))
+    return out, spark.createDataFrame(states, "source string, status string, error string")
+
+
+def sweep_summary(states: DataFrame) -> DataFrame:
+    """One row: total, succeeded and failed."""
+    return states.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == x).alias(x) for x in ("succeeded", "failed")])

@@ -64,10 +64,10 @@ def target_lifecycles(targets: DataFrame, namespaces: DataFrame, permitted: Data
     `most` in order are not looked up. What can't be known is `unknown`, with the reason in note.
     """
     rows = owning_namespace(targets.select("iri").distinct(), namespaces)
-    order = rows.where("owner is not null").select("owner").distinct().withColumn("place", F.row_number().over(Window.orderBy("owner")))
+    first = rows.where("owner is not null").select("owner").distinct().orderBy("owner").limit(most).withColumn("looked", F.lit(True))
     flag = lambda df, name: df.select(F.col("ns").alias("owner"), F.lit(True).alias(name)).distinct()
-    rows = rows.join(order, "owner", "left").join(flag(permitted, "may"), "owner", "left").join(flag(approved, "has"), "owner", "left").join(flag(readable, "reads"), "owner", "left").join(lifecycle.select("iri", F.col("status").alias("found"), F.col("successor").alias("next")), "iri", "left")
-    note = F.when(F.col("owner").isNull(), "external").when(F.col("place") > most, "beyond-limit").when(F.col("may").isNull(), "no-permission").when(F.col("has").isNull(), "no-approved-version").when(F.col("reads").isNull(), "unreadable")
+    rows = rows.join(first, "owner", "left").join(flag(permitted, "may"), "owner", "left").join(flag(approved, "has"), "owner", "left").join(flag(readable, "reads"), "owner", "left").join(lifecycle.select("iri", F.col("status").alias("found"), F.col("successor").alias("next")), "iri", "left")
+    note = F.when(F.col("owner").isNull(), "external").when(F.col("looked").isNull(), "beyond-limit").when(F.col("may").isNull(), "no-permission").when(F.col("has").isNull(), "no-approved-version").when(F.col("reads").isNull(), "unreadable")
     return rows.select("iri", "owner", F.when(note.isNotNull(), "unknown").otherwise(F.coalesce("found", F.lit("absent"))).alias("status"), F.when(note.isNull(), F.col("next")).alias("successor"), note.alias("note"))
 
 
@@ -84,12 +84,21 @@ def role_rank(role: Column) -> Column:
     return F.element_at(F.create_map(*[x for i, r in enumerate(ROLES, 1) for x in (F.lit(r), F.lit(i))]), role)
 
 
-def effective_role(principals: DataFrame, grants: DataFrame, namespaces: DataFrame) -> DataFrame:
-    """principal_id, namespace and role (null: none) of each pair. principals: principal_id, platform_admin. An admin is an owner."""
-    best = grants.groupBy("principal_id", "namespace").agg(F.max_by("role", role_rank(F.col("role"))).alias("granted"))
-    pairs = principals.crossJoin(namespaces.select(F.col("ns").alias("namespace")))
-    rows = pairs.join(best, ["principal_id", "namespace"], "left")
-    return rows.select("principal_id", "namespace", F.when(F.col("platform_admin"), "owner").when(role_rank(F.col("granted")).isNotNull(), F.col("granted")).alias("role"))
+def effective_role(principals: DataFrame, grants: DataFrame, namespaces: DataFrame, every: bool = False) -> DataFrame:
+    """principal_id, namespace and role. principals: principal_id, platform_admin. An admin is an owner everywhere.
+
+    Pairs without a role have no row; with `every` they have one with a null role, which makes as many rows as principals
+    times namespaces.
+    """
+    spaces = namespaces.select(F.col("ns").alias("namespace"))
+    known = grants.where(role_rank(F.col("role")).isNotNull())
+    best = known.groupBy("principal_id", "namespace").agg(F.max_by("role", role_rank(F.col("role"))).alias("role"))
+    if every:
+        rows = principals.crossJoin(spaces).join(best, ["principal_id", "namespace"], "left")
+        return rows.select("principal_id", "namespace", F.when(F.col("platform_admin"), "owner").otherwise(F.col("role")).alias("role"))
+    admins = principals.where("platform_admin").select("principal_id").crossJoin(spaces).withColumn("role", F.lit("owner"))
+    others = best.join(principals.where("not platform_admin").select("principal_id"), "principal_id", "left_semi").join(spaces, "namespace", "left_semi")
+    return admins.unionByName(others.select("principal_id", "namespace", "role"))
 
 
 def covers(role: Column, needed: str) -> Column:
@@ -100,7 +109,8 @@ def covers(role: Column, needed: str) -> Column:
 def visible_namespaces(principals: DataFrame, grants: DataFrame, namespaces: DataFrame) -> DataFrame:
     """principal_id and the sorted namespaces in which it may read; none is an empty array."""
     rows = effective_role(principals, grants, namespaces)
-    return rows.groupBy("principal_id").agg(F.array_sort(F.collect_set(F.when(covers(F.col("role"), "analyst"), F.col("namespace")))).alias("namespaces"))
+    own = rows.where(covers(F.col("role"), "analyst")).groupBy("principal_id").agg(F.array_sort(F.collect_set("namespace")).alias("namespaces"))
+    return principals.select("principal_id").distinct().join(own, "principal_id", "left").select("principal_id", F.coalesce("namespaces", F.array().cast("array<string>")).alias("namespaces"))
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -90,9 +90,9 @@ def materialize(spec: list[MapRow], tables: dict[str, DataFrame], ns: str, g: st
 
 def instances_of(quads: DataFrame, cls: str, hierarchy: DataFrame) -> DataFrame:
     """Distinct instances of a class and of the classes below it. hierarchy: src and dst of subclass edges, not data."""
-    below = path_star(hierarchy).where(F.col("dst") == cls).select(F.col("src").alias("o"))
-    own = hierarchy.sparkSession.createDataFrame([(cls,)], "o string")
-    return quads.where(F.col("p") == T.TYPE).join(below.unionByName(own).distinct(), "o", "left_semi").select("s").distinct()
+    down = hierarchy.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    below = path_star(down, hierarchy.sparkSession.createDataFrame([(cls,)], "src string")).select(F.col("dst").alias("o"))
+    return quads.where(F.col("p") == T.TYPE).join(below, "o", "left_semi").select("s").distinct()
 
 
 def mapping_summary(spec: DataFrame) -> DataFrame:
