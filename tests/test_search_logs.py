@@ -119,8 +119,11 @@ def test_relations_and_sweep(spark):
     def lost():
         raise OSError("no route")
 
-    out, states = K.sweep({"a": lambda: spark.range(2), "b": lost})
-    assert out.count() == 2 and [s[:2] for s in states] == [("a", "succeeded"), ("b", "failed")]
+    breaks = lambda: spark.range(2).selectExpr("raise_error('gone while read') as id")
+    out, states = K.sweep(spark, {"a": lambda: spark.range(2), "b": lost, "c": breaks})
+    assert out.count() == 2 and rows(states.select("source", "status")) == [("a", "succeeded"), ("b", "failed"), ("c", "failed")]
+    assert "gone while read" in states.where("source = 'c'").first().error
+    assert tuple(K.sweep_summary(states).first()) == (3, 1, 2)
 
 
 def test_generation_marks(spark):
@@ -137,5 +140,25 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
         A.stream_term_access(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     want = rows(L.term_access(events))
     assert rows(A.read_term_access(spark, f"{tmp_path}/out")) == want
-    A.compact(spark, f"{tmp_path}/out", f"{tmp_path}/less")
-    assert rows(A.read_term_access(spark, f"{tmp_path}/less")) == want
+    A.compact(spark, f"{tmp_path}/out", 0)
+    assert rows(A.read_term_access(spark, f"{tmp_path}/out")) == want
+
+
+def test_batches_are_merged(spark, tmp_path):
+    """Every second batch merges; a merge that stopped half way is not seen, and repeated deletes nothing that counts."""
+    events = spark.range(60).selectExpr("id", "'n' as namespace", "timestamp_seconds(1000000 + id) as occurred_at", "array('t' || id % 3) as terms")
+    for i in range(5):
+        events.where(f"id % 5 = {i}").coalesce(1).write.parquet(f"{tmp_path}/in/f={i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    A.stream_term_access(stream, f"{tmp_path}/out", f"{tmp_path}/cp", "1 hour", 2).awaitTermination()
+    last = A.newest_merged(spark, f"{tmp_path}/out")
+    folders = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").glob("*/*")}
+    assert last in (3, 5) and f"kind=merged/number={last}" in folders and folders <= {f"kind=merged/number={last}", *(f"kind=batch/number={n}" for n in range(last + 1, 9))}
+    want = rows(L.term_access(events))
+    assert rows(A.read_term_access(spark, f"{tmp_path}/out")) == want
+    events.limit(3).selectExpr("namespace", "'t0' as term_iri", "1L as access_count", "occurred_at as last_accessed_at").write.parquet(f"{tmp_path}/out/kind=merged/number=8")
+    (tmp_path / "out/kind=merged/number=8/_SUCCESS").unlink()
+    assert rows(A.read_term_access(spark, f"{tmp_path}/out")) == want
+    A.compact(spark, f"{tmp_path}/out", 8)
+    A.compact(spark, f"{tmp_path}/out", 8)
+    assert rows(A.read_term_access(spark, f"{tmp_path}/out")) == want
