@@ -76,16 +76,27 @@ def k07(spark, sf_dir):
     return K.catalog_digest(K.build_observations(*catalog(spark, sf_dir))).select("table_name", "text")
 
 
-@query("k08_sweep")
-def k08(spark, sf_dir):
-    """Observations of two sources that answer; one that doesn't is counted, not fatal."""
+def swept(spark, sf_dir):
+    """Four sources: two that answer, one that can't be reached, and one that fails while it is read."""
 
-    def broken():
+    def unreachable():
         raise OSError("unreachable")
 
     own = lambda t: lambda: K.profile_table(D.table(spark, sf_dir, t), t)
-    rows, _ = K.sweep({"customer": own("customer"), "lost": broken, "part": own("part")})
-    return rows
+    breaks = lambda: K.profile_table(D.table(spark, sf_dir, "orders").select(F.assert_true(F.col("o_orderkey") < 0).alias("x")), "orders")
+    return K.sweep(spark, {"customer": own("customer"), "lost": unreachable, "orders": breaks, "part": own("part")})
+
+
+@query("k08_sweep", "SELECT 'customer' AS source, 'succeeded' AS status, 5 AS columns, count(*) AS row_count FROM customer UNION ALL SELECT 'part', 'succeeded', 6, count(*) FROM part UNION ALL SELECT unnest(['lost', 'orders']), 'failed', 0, NULL")
+def k08(spark, sf_dir):
+    rows, states = swept(spark, sf_dir)
+    counts = rows.groupBy("source").agg(F.count("*").alias("columns"), F.max("row_count").alias("row_count"))
+    return states.join(counts, "source", "left").select("source", "status", F.coalesce("columns", F.lit(0)).alias("columns"), "row_count")
+
+
+@query("k08_sweep_summary", "SELECT 4 AS total, count(DISTINCT t) AS succeeded, 4 - count(DISTINCT t) AS failed FROM (SELECT 'customer' AS t FROM customer UNION ALL SELECT 'part' FROM part)")
+def k08_summary(spark, sf_dir):
+    return K.sweep_summary(swept(spark, sf_dir)[1])
 
 
 @query("k09_referenced_relations", "SELECT p_partkey AS k, array_to_string(list_sort(list_distinct(['t' || (p_partkey % 9), 'pg_catalog.x', 'u' || p_size])), ',') AS names FROM part")

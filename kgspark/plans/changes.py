@@ -32,37 +32,58 @@ def c02(spark, sf_dir):
     return C.newly_deprecated(*both(spark, sf_dir))
 
 
-DIFF = "diff AS (SELECT *, 'base' AS side FROM (SELECT * FROM base EXCEPT SELECT * FROM new) UNION ALL SELECT *, 'new' FROM (SELECT * FROM new EXCEPT SELECT * FROM base))"
+def both_described(spark, sf_dir):
+    return D.described(spark, sf_dir, False), D.described(spark, sf_dir, True)
 
 
-@query("c03_triple_diff", f"WITH {D.REVISIONS}, {DIFF} SELECT s, p, o, side FROM diff")
+def canonical(spark, sf_dir):
+    """Both revisions with their blank nodes named by structure."""
+    made = []
+    for graph in both_described(spark, sf_dir):
+        quads, status = C.canonical_bnodes(graph)
+        assert status == "computed"
+        made.append(P.settle(quads))
+    return made
+
+
+@query("c03_triple_diff", f"WITH {D.DESCRIBED} SELECT s, p, o, side FROM diff")
 def c03(spark, sf_dir):
-    return C.triple_diff(*both(spark, sf_dir)).select("s", "p", "o", "side")
+    return C.triple_diff(*canonical(spark, sf_dir)).select("s", "p", "o", "side")
+
 
+SHAPE = f"'{D.BASE}C' || p_partkey || 'S'"
+COUNT = "CASE p_partkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE 'many' END"
+PATH = f"'{D.BASE}q' || (p_partkey % 30)"
+NODE = D.bnode_name((T.SH + "minCount", f"({COUNT})", "literal"), (T.SH + "path", PATH, "iri"))
 
-@query("c04_canonical_bnodes")
+
+@query(
+    "c04_canonical_bnodes",
+    f"""SELECT {SHAPE} AS s, '{T.TYPE}' AS p, '{T.SH}NodeShape' AS o FROM part UNION SELECT {SHAPE}, '{T.SH}targetClass', CASE WHEN p_partkey % 5 = 0 THEN sha256(chr(31)) ELSE '{D.BASE}C' || p_partkey END FROM part
+  UNION SELECT {SHAPE}, '{T.SH}property', {NODE} FROM part UNION SELECT {NODE}, '{T.SH}path', {PATH} FROM part UNION SELECT {NODE}, '{T.SH}minCount', {COUNT} FROM part""",
+)
 def c04(spark, sf_dir):
     from kgspark.plans.quality import shaped
 
-    return C.canonical_bnodes(shaped(spark, sf_dir), 10**9)[0]
+    return C.canonical_bnodes(shaped(spark, sf_dir))[0].select("s", "p", "o")
 
 
-@query("c05_modified_terms", f"WITH {D.REVISIONS}, {DIFF} SELECT s AS iri FROM diff INTERSECT SELECT s FROM base INTERSECT SELECT s FROM new")
+@query("c05_modified_terms", f"WITH {D.DESCRIBED} SELECT s AS iri FROM changed")
 def c05(spark, sf_dir):
-    return C.modified_terms(*both(spark, sf_dir))
+    return C.modified_terms(*canonical(spark, sf_dir))
 
 
 @query(
     "c06_diff_summary",
-    f"""WITH {D.REVISIONS}, {DIFF}, added AS (SELECT s FROM new EXCEPT SELECT s FROM base), removed AS (SELECT s FROM base EXCEPT SELECT s FROM new),
-  changed AS (SELECT s FROM diff INTERSECT SELECT s FROM base INTERSECT SELECT s FROM new)
-  SELECT 'computed' AS status, (SELECT count(*) FROM added) AS added_count, (SELECT count(*) FROM removed) AS removed_count, (SELECT count(*) FROM changed) AS modified_count, (SELECT array_to_string(list(s ORDER BY s)[1:50], ',') FROM added) AS added,
-  (SELECT count(*) FROM diff WHERE side = 'new') AS triples_added, (SELECT count(*) FROM diff WHERE side = 'base') AS triples_removed, true AS truncated, false AS "empty" """,
+    f"""WITH {D.DESCRIBED}, added AS (SELECT s FROM new EXCEPT SELECT s FROM base), removed AS (SELECT s FROM base EXCEPT SELECT s FROM new), old AS (SELECT s FROM new WHERE p = '{T.DEPRECATED}' EXCEPT SELECT s FROM base WHERE p = '{T.DEPRECATED}'),
+  n AS (SELECT (SELECT count(*) FROM added) AS added_count, (SELECT count(*) FROM removed) AS removed_count, (SELECT count(*) FROM old) AS deprecated_count, (SELECT count(*) FROM changed) AS modified_count, (SELECT array_to_string(list(s ORDER BY s)[1:50], ',') FROM added) AS added,
+  (SELECT array_to_string(list(s ORDER BY s)[1:50], ',') FROM changed) AS modified, (SELECT count(*) FROM diff WHERE side = 'new') AS triples_added, (SELECT count(*) FROM diff WHERE side = 'base') AS triples_removed)
+  SELECT 'computed' AS status, *, added_count > 50 OR removed_count > 50 OR deprecated_count > 50 OR modified_count > 50 AS truncated, triples_added = 0 AND triples_removed = 0 AS "empty" FROM n""",
 )
 def c06(spark, sf_dir):
-    row = C.diff_summary(*both(spark, sf_dir))
-    schema = "status string, added_count long, removed_count long, modified_count long, added array<string>, triples_added long, triples_removed long, truncated boolean, empty boolean"
-    return row.select(F.from_json("summary", schema).alias("x")).select("x.*").withColumn("added", F.array_join("added", ","))
+    row = C.diff_summary(*both_described(spark, sf_dir))
+    schema = "status string, added_count long, removed_count long, deprecated_count long, modified_count long, added array<string>, modified array<string>, triples_added long, triples_removed long, truncated boolean, empty boolean"
+    return row.select(F.from_json("summary", schema).alias("x")).select("x.*").withColumns({"added": F.array_join("added", ","), "modified": F.array_join("modified", ",")})
 
 
 @query("c07_deprecated_terms", f"WITH {D.REVISIONS} SELECT s AS iri FROM new WHERE p = '{T.DEPRECATED}'")
@@ -91,9 +112,9 @@ def c09(spark, sf_dir):
     return C.check_deprecation(new, base)
 
 
-@query("c10_mapped_by_others", f"WITH {D.MAPPINGS}, old AS (SELECT 'https://e.example/n0#t' || (r_regionkey * 5) AS iri FROM region) SELECT iri, array_to_string(list_sort(list(DISTINCT namespace)), ',') AS namespaces FROM old JOIN mappings ON target_term = iri WHERE namespace <> 'n0' GROUP BY iri")
+@query("c10_mapped_by_others", f"WITH {D.MAPPINGS}, old AS (SELECT 'https://e.example/n0#t' || s_suppkey AS iri FROM supplier WHERE s_suppkey % 10 = 0) SELECT iri, array_to_string(list_sort(list(DISTINCT namespace)), ',') AS namespaces FROM old JOIN mappings ON target_term = iri WHERE namespace <> 'n0' GROUP BY iri")
 def c10(spark, sf_dir):
-    old = D.table(spark, sf_dir, "region").select(F.concat(F.lit("https://e.example/n0#t"), (F.col("r_regionkey") * 5).cast("string")).alias("iri"))
+    old = D.table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("https://e.example/n0#t"), F.col("s_suppkey").cast("string")).alias("iri"))
     return C.mapped_by_others(old, D.mappings(spark, sf_dir), "n0").select("iri", F.array_join("namespaces", ",").alias("namespaces"))
 
 
@@ -124,6 +145,23 @@ def c12(spark, sf_dir):
     return C.reconcile_plan(expected, actual, spaces.select("ns", F.concat(F.lit("urn:g/"), "ns", F.lit("/")).alias("graph_prefix"), F.lit(False).alias("retired")))
 
 
+FILES = """f AS (SELECT ns, id, 'versions/' || ns || '/' || version || '.ttl' AS path FROM versions)"""
+
+
+@query(
+    "c12_reconcile_files",
+    f"""WITH {D.VERSIONS}, {FILES} SELECT 'versions/' || ns || '/lost' || id || '.ttl' AS path, NULL::VARCHAR AS ns, 'orphan-blob' AS action FROM f WHERE id % 9 = 0
+  UNION ALL SELECT 'versions/gone' || id || '/_state.json', 'gone' || id, 'drop-manifest' FROM f WHERE id % 17 = 0 UNION ALL SELECT 'versions/No_' || id || '/_state.json', 'No_' || id, 'report-manifest' FROM f WHERE id % 19 = 0""",
+)
+def c12_files(spark, sf_dir):
+    v = D.versions(spark, sf_dir)
+    path = lambda *parts: F.concat(F.lit("versions/"), *[F.col(x).cast("string") if x in ("ns", "id", "version") else F.lit(x) for x in parts]).alias("path")
+    named = v.select("id", "ns", F.concat(F.lit("versions/"), "ns", F.lit("/"), "version", F.lit(".ttl")).alias("blob_path"))
+    blobs = named.where("id % 3 <> 0").select(F.col("blob_path").alias("path")).unionByName(v.where("id % 9 = 0").select(path("ns", "/lost", "id", ".ttl")))
+    manifests = v.select(path("ns", "/_state.json")).distinct().unionByName(v.where("id % 17 = 0").select(path("gone", "id", "/_state.json"))).unionByName(v.where("id % 19 = 0").select(path("No_", "id", "/_state.json")))
+    return C.reconcile_files(named, blobs, manifests, v.select("ns"))
+
+
 @query("c13_unprojected", f"WITH {D.VERSIONS} SELECT ns, version FROM versions WHERE projected_at IS NULL AND status <> 'draft'")
 def c13(spark, sf_dir):
     return C.unprojected(D.versions(spark, sf_dir)).select("ns", "version")
@@ -139,6 +177,21 @@ def c14(spark, sf_dir):
     return C.assign_versions(docs).select("ns", "seq", "version", "repeated", "recorded")
 
 
+@query(
+    "c14_assign_versions_after_others",
+    """WITH d AS (SELECT source AS ns, doc_id AS seq, sha256(text) AS h FROM documents), f AS (SELECT ns, h, min(seq) AS first_seq FROM d WHERE seq % 2 = 0 GROUP BY ALL), e AS (SELECT *, row_number() OVER (PARTITION BY ns ORDER BY first_seq) - 1 AS minor FROM f),
+  top AS (SELECT ns, max(minor) AS top FROM e GROUP BY ns), g AS (SELECT ns, h, min(seq) AS first_seq FROM d WHERE seq % 2 = 1 GROUP BY ALL), n AS (SELECT g.*, e.minor, top, row_number() OVER (PARTITION BY g.ns, e.minor IS NULL ORDER BY g.first_seq) AS k FROM g LEFT JOIN e USING (ns, h) LEFT JOIN top ON top.ns = g.ns)
+  SELECT d.ns, seq, '1.' || coalesce(minor, coalesce(top, -1) + k) || '.0' AS version, minor IS NOT NULL OR seq > first_seq AS repeated, top IS NULL AND k = 1 AS recorded FROM d JOIN n ON n.ns = d.ns AND n.h = d.h WHERE seq % 2 = 1""",
+)
+def c14_after(spark, sf_dir):
+    """Half of the documents are published, then the other half onto that history."""
+    docs = D.table(spark, sf_dir, "documents").select(F.col("source").alias("ns"), F.col("doc_id").alias("seq"), F.col("text").alias("body"), F.lit(None).cast("string").alias("edited_from"))
+    first = C.assign_versions(docs.where("seq % 2 = 0")).where("not repeated").select("ns", "seq", "version")
+    hashes = docs.select("ns", "seq", F.sha2("body", 256).alias("content_hash"))
+    there = P.settle(first.join(hashes, ["ns", "seq"]).select("ns", "version", "content_hash", F.col("seq").alias("created_at")))
+    return C.assign_versions(docs.where("seq % 2 = 1"), there).select("ns", "seq", "version", "repeated", "recorded")
+
+
 @query("c15_current_approved", f"WITH {D.VERSIONS} SELECT ns, version FROM versions WHERE status = 'approved' QUALIFY row_number() OVER (PARTITION BY ns ORDER BY approved_at DESC NULLS LAST, version DESC) = 1")
 def c15(spark, sf_dir):
     return C.current_approved(D.versions(spark, sf_dir)).select("ns", "version")
@@ -178,14 +231,15 @@ def c18(spark, sf_dir):
 
 @query(
     "c19_available_actions",
-    f"""WITH {D.VERSIONS}, pair AS (SELECT ns || '@' || version AS version, status, created_by, id % 2 = 0 AS two, principal FROM versions CROSS JOIN (VALUES ('u1'), ('u2'), (NULL)) p(principal))
-  SELECT version, principal, 'submit' AS action, false AS enabled, 'not-draft' AS reason FROM pair
-  UNION ALL SELECT version, principal, 'approve', status = 'in-review' AND (NOT two OR principal IS NULL OR principal <> created_by), CASE WHEN status <> 'in-review' THEN 'not-in-review' WHEN NOT two THEN NULL WHEN principal IS NULL THEN 'unknown-principal' WHEN principal = created_by THEN 'own-version' END FROM pair
+    f"""WITH {D.VERSIONS}, pair AS (SELECT ns || '@' || version AS version, CASE WHEN id % 5 = 0 THEN 'draft' ELSE status END AS status, created_by, id % 2 = 0 AS two, principal FROM versions CROSS JOIN (VALUES ('u1'), ('u2'), (NULL)) p(principal))
+  SELECT version, principal, 'submit' AS action, status = 'draft' AS enabled, CASE WHEN status <> 'draft' THEN 'not-draft' END AS reason FROM pair
+  UNION ALL SELECT version, principal, 'approve', status = 'in-review' AND (NOT two OR principal IS NULL OR principal <> created_by), CASE WHEN status = 'draft' THEN 'not-submitted' WHEN status <> 'in-review' THEN 'not-in-review' WHEN NOT two THEN NULL WHEN principal IS NULL THEN 'unknown-principal' WHEN principal = created_by THEN 'own-version' END FROM pair
   UNION ALL SELECT version, principal, 'reject', status = 'in-review', CASE WHEN status <> 'in-review' THEN 'not-in-review' END FROM pair""",
 )
 def c19(spark, sf_dir):
-    v = D.versions(spark, sf_dir).select(F.concat("ns", F.lit("@"), "version").alias("version"), "status", "created_by", (F.col("id") % 2 == 0).alias("two_person"))
-    return C.available_actions(v, spark.createDataFrame([("u1",), ("u2",), (None,)], "principal string"))
+    status = F.when(F.col("id") % 5 == 0, "draft").otherwise(F.col("status")).alias("status")
+    who = F.explode(F.array(F.lit("u1"), F.lit("u2"), F.lit(None))).alias("principal")
+    return C.available_actions(D.versions(spark, sf_dir).select(F.concat("ns", F.lit("@"), "version").alias("version"), status, "created_by", (F.col("id") % 2 == 0).alias("two_person"), who))
 
 
 @query(

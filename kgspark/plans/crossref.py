@@ -73,22 +73,25 @@ def x06(spark, sf_dir):
 
 
 def grants(spark, sf_dir):
-    c = D.table(spark, sf_dir, "customer").where("c_custkey < 200")
+    """Three customers are one principal, each with a grant in a namespace by its remainder; one role is unknown."""
     k = F.col("c_custkey")
     role = F.element_at(F.array(*[F.lit(r) for r in ("analyst", "steward", "maintainer", "owner", "guest")]), (k % 5 + 1).cast("int"))
-    return c.select(F.concat(F.lit("u"), (k % 50).cast("string")).alias("principal_id"), F.concat(F.lit("n"), (k % 4).cast("string")).alias("namespace"), role.alias("role"))
+    return D.table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), (k - k % 3).cast("string")).alias("principal_id"), F.concat(F.lit("n"), (k % 4).cast("string")).alias("namespace"), role.alias("role"))
 
 
-GRANTS = """g AS (SELECT 'u' || (c_custkey % 50) AS principal_id, 'n' || (c_custkey % 4) AS namespace, c_custkey % 5 AS rank FROM customer WHERE c_custkey < 200),
-  best AS (SELECT principal_id, namespace, max(rank) FILTER (rank < 4) AS rank FROM g GROUP BY ALL), p AS (SELECT DISTINCT 'u' || (c_custkey % 60) AS principal_id, c_custkey % 60 % 25 = 0 AS admin FROM customer)"""
+GRANTS = """g AS (SELECT 'u' || (c_custkey - c_custkey % 3) AS principal_id, 'n' || (c_custkey % 4) AS namespace, c_custkey % 5 AS rank FROM customer),
+  best AS (SELECT principal_id, namespace, max(rank) AS rank FROM g WHERE rank < 4 GROUP BY ALL), p AS (SELECT DISTINCT 'u' || (c_custkey - c_custkey % 3) AS principal_id, (c_custkey - c_custkey % 3) % 75 = 0 AS admin FROM customer UNION ALL SELECT 'v' || c_custkey, false FROM customer WHERE c_custkey % 7 = 0),
+  roles AS (SELECT principal_id, ns AS namespace, 3 AS rank FROM p CROSS JOIN namespaces WHERE admin UNION ALL SELECT principal_id, namespace, rank FROM best JOIN p USING (principal_id) JOIN namespaces ON ns = namespace WHERE NOT admin)"""
 
 
 def principals(spark, sf_dir):
-    k = F.col("c_custkey") % 60
-    return D.table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), k.cast("string")).alias("principal_id"), (k % 25 == 0).alias("platform_admin")).distinct()
+    """Those that have grants, an admin among each 25 of them, and some that have none."""
+    k, c = F.col("c_custkey"), D.table(spark, sf_dir, "customer")
+    some = c.select(F.concat(F.lit("u"), (k - k % 3).cast("string")).alias("principal_id"), ((k - k % 3) % 75 == 0).alias("platform_admin")).distinct()
+    return some.unionByName(c.where(k % 7 == 0).select(F.concat(F.lit("v"), k.cast("string")).alias("principal_id"), F.lit(False).alias("platform_admin")))
 
 
-@query("x07_effective_role", f"WITH {D.NAMESPACES}, {GRANTS} SELECT p.principal_id, n.ns AS namespace, CASE WHEN admin THEN 'owner' ELSE ['analyst', 'steward', 'maintainer', 'owner'][rank + 1] END AS role, CASE WHEN admin THEN true ELSE coalesce(rank >= 2, false) END AS maintains FROM p CROSS JOIN namespaces n LEFT JOIN best ON best.principal_id = p.principal_id AND best.namespace = n.ns")
+@query("x07_effective_role", f"WITH {D.NAMESPACES}, {GRANTS} SELECT principal_id, namespace, ['analyst', 'steward', 'maintainer', 'owner'][rank + 1] AS role, rank >= 2 AS maintains FROM roles")
 def x07(spark, sf_dir):
     rows = X.effective_role(principals(spark, sf_dir), grants(spark, sf_dir), D.namespaces(spark, sf_dir))
     return rows.withColumn("maintains", X.covers(F.col("role"), "maintainer"))
@@ -112,7 +115,7 @@ def x09(spark, sf_dir):
     return X.mapping_triples(D.mappings(spark, sf_dir)).select("s", "p", "o")
 
 
-@query("x10_visible_namespaces", f"WITH {D.NAMESPACES}, {GRANTS} SELECT p.principal_id, coalesce(array_to_string(list_sort(list(DISTINCT n.ns) FILTER (admin OR rank IS NOT NULL)), ','), '') AS namespaces FROM p CROSS JOIN namespaces n LEFT JOIN best ON best.principal_id = p.principal_id AND best.namespace = n.ns GROUP BY p.principal_id")
+@query("x10_visible_namespaces", f"WITH {D.NAMESPACES}, {GRANTS} SELECT principal_id, coalesce(array_to_string(list_sort(list(DISTINCT namespace) FILTER (namespace IS NOT NULL)), ','), '') AS namespaces FROM p LEFT JOIN roles USING (principal_id) GROUP BY principal_id")
 def x10(spark, sf_dir):
     rows = X.visible_namespaces(principals(spark, sf_dir), grants(spark, sf_dir), D.namespaces(spark, sf_dir))
     return rows.select("principal_id", F.array_join("namespaces", ",").alias("namespaces"))

@@ -62,12 +62,12 @@ HIERARCHY = f"""hierarchy AS (SELECT '{BASE}' || n_name AS src, '{BASE}' || r_na
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between part numbers with cycles."""
+    """A link from each part to another of its twenty neighbours by number, so that there are cycles in each twenty."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select((k % 120).cast("string").alias("src"), ((k * 7) % 50).cast("string").alias("dst")).distinct()
+    return table(spark, sf_dir, "part").select(k.cast("string").alias("src"), (k - k % 20 + (k * 7 + 3) % 20).cast("string").alias("dst")).distinct()
 
 
-EDGES = "edges AS (SELECT DISTINCT CAST(p_partkey % 120 AS VARCHAR) AS src, CAST((p_partkey * 7) % 50 AS VARCHAR) AS dst FROM part)"
+EDGES = "edges AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS src, CAST(p_partkey - p_partkey % 20 + (p_partkey * 7 + 3) % 20 AS VARCHAR) AS dst FROM part)"
 CLOSURE = "plus AS (SELECT src, dst FROM edges UNION SELECT plus.src, edges.dst FROM plus JOIN edges ON plus.dst = edges.src)"
 
 
@@ -98,6 +98,45 @@ def _revision_sql(name: str, keep: str, size: str, old: str) -> str:
 REVISIONS = _revision_sql("base", "p_partkey % 10 <> 0", "p_size", "p_partkey % 22 = 0") + ", " + _revision_sql("new", "p_partkey % 7 <> 0", "CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END", "p_partkey % 11 = 0")
 
 
+def described(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    """A revision whose terms have blank nodes too, under other labels in each: every fourth a twin, every third one below."""
+    k = F.col("p_partkey")
+    label = "x" if new else "b"
+    depth = F.col("p_size") + F.when(k % 6 == 0, 1).otherwise(0) if new else F.col("p_size")
+    t = lambda s, sk, p, o, ok, here: F.when(here, F.struct(s.alias("s"), F.lit(sk).alias("s_kind"), F.lit(BASE + p).alias("p"), o.cast("string").alias("o"), F.lit(ok).alias("o_kind")))
+    made = []
+    for twin, here in (("", F.lit(True)), ("t", k % 4 == 0)):
+        own, below = (F.concat(F.lit(label + twin + x), k.cast("string")) for x in ("", "c"))
+        made += [
+            t(F.concat(F.lit(BASE + "p"), k.cast("string")), "iri", "has", own, "bnode", here), t(own, "bnode", "depth", depth % 8, "literal", here),
+            t(own, "bnode", "inner", below, "bnode", here & (k % 3 == 0)), t(below, "bnode", "note", F.concat(F.lit("n"), (k % 2).cast("string")), "literal", here & (k % 3 == 0)),
+        ]
+    rows = table(spark, sf_dir, "part").where(k % 7 != 0 if new else k % 10 != 0).select(F.explode(F.array(*made)).alias("t")).where("t is not null").select("t.*")
+    none = F.lit(None).cast("string")
+    blank = rows.select(F.lit(NS).alias("ns"), F.lit("").alias("g"), "s", "s_kind", "p", "o", "o_kind", none.alias("o_dt"), none.alias("o_lang"))
+    return revision(spark, sf_dir, new).unionByName(blank.select(*COLUMNS))
+
+
+def bnode_name(*lines: tuple[str, str, str]) -> str:
+    """SQL for a blank node's canonical name, from (predicate, value, kind) of its triples in order."""
+    return "sha256(" + " || chr(10) || ".join(f"'{p}' || chr(31) || {o} || chr(31) || '{kind}' || chr(31) || chr(31)" for p, o, kind in lines) + ")"
+
+
+def _described_sql(name: str, keep: str, depth: str) -> str:
+    leaf, inner = (BASE + "depth", "d", "literal"), (BASE + "inner", "c", "bnode")
+    return f"""{name}_p AS (SELECT '{BASE}p' || p_partkey AS iri, p_partkey AS k, CAST(({depth}) % 8 AS VARCHAR) AS d, CASE WHEN p_partkey % 3 = 0 THEN {bnode_name((BASE + "note", "'n' || (p_partkey % 2)", "literal"))} END AS c FROM part WHERE {keep}),
+  {name}_n AS (SELECT *, CASE WHEN c IS NULL THEN {bnode_name(leaf)} ELSE {bnode_name(leaf, inner)} END AS one FROM {name}_p), {name}_t AS (SELECT *, unnest(CASE WHEN k % 4 = 0 THEN [one, one || '-2'] ELSE [one] END) AS n FROM {name}_n),
+  {name}_all AS (SELECT s, 'iri' AS s_kind, p, o, o_kind FROM {name} UNION SELECT iri, 'iri', '{BASE}has', n, 'bnode' FROM {name}_t UNION SELECT n, 'bnode', '{BASE}depth', d, 'literal' FROM {name}_t
+  UNION SELECT n, 'bnode', '{BASE}inner', c, 'bnode' FROM {name}_t WHERE c IS NOT NULL UNION SELECT c, 'bnode', '{BASE}note', 'n' || (k % 2), 'literal' FROM {name}_t WHERE c IS NOT NULL)"""
+
+
+DESCRIBED = f"""{REVISIONS}, {_described_sql("base", "p_partkey % 10 <> 0", "p_size")}, {_described_sql("new", "p_partkey % 7 <> 0", "p_size + CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 0 END")},
+  diff AS (SELECT *, 'base' AS side FROM (SELECT * FROM base_all EXCEPT SELECT * FROM new_all) UNION ALL SELECT *, 'new' FROM (SELECT * FROM new_all EXCEPT SELECT * FROM base_all)),
+  links AS (SELECT s, s_kind, o FROM base_all WHERE o_kind = 'bnode' UNION SELECT s, s_kind, o FROM new_all WHERE o_kind = 'bnode'), near AS (SELECT s AS owner, o AS node FROM links WHERE s_kind = 'iri'),
+  owners AS (SELECT * FROM near UNION SELECT owner, links.o FROM near JOIN links ON links.s = node AND links.s_kind = 'bnode'),
+  changed AS (SELECT s FROM (SELECT s FROM diff WHERE s_kind = 'iri' UNION SELECT owner FROM diff JOIN owners ON s = node WHERE s_kind = 'bnode') INTERSECT SELECT s FROM base INTERSECT SELECT s FROM new)"""
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as revisions, customers as namespaces; every third revision's origin is not recorded."""
     rows = table(spark, sf_dir, "orders")
@@ -156,8 +195,8 @@ PREDICATES = ("exactMatch", "closeMatch", "broadMatch", "narrowMatch", "relatedM
 
 
 def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of customers and suppliers, by remainder, as mappings between five namespaces."""
-    pairs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b")).distinct()
+    """Pairs of customers and suppliers of their orders as mappings between five namespaces."""
+    pairs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     term = lambda c: F.concat(F.lit("https://e.example/n"), (c % 5).cast("string"), F.lit("#t"), c.cast("string"))
     predicate = F.element_at(F.array(*[F.lit(p) for p in PREDICATES]), ((F.col("a") * F.col("b")) % 5 + 1).cast("int"))
     return pairs.select(F.concat(F.lit("n"), (F.col("a") % 5).cast("string")).alias("namespace"), term(F.col("a")).alias("source_term"), term(F.col("b")).alias("target_term"), predicate.alias("predicate"), F.when(F.col("a") % 2 == 0, "same thing").alias("reason"), F.concat(F.lit("u"), (F.col("b") % 3).cast("string")).alias("declared_by"))
@@ -165,7 +204,7 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MAPPINGS = """mappings AS (SELECT 'n' || (a % 5) AS namespace, 'https://e.example/n' || (a % 5) || '#t' || a AS source_term, 'https://e.example/n' || (b % 5) || '#t' || b AS target_term,
   ['exactMatch', 'closeMatch', 'broadMatch', 'narrowMatch', 'relatedMatch'][(a * b) % 5 + 1] AS predicate, CASE WHEN a % 2 = 0 THEN 'same thing' END AS reason, 'u' || (b % 3) AS declared_by
-  FROM (SELECT DISTINCT o_custkey % 40 AS a, l_suppkey % 40 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey))"""
+  FROM (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey))"""
 
 
 def namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:

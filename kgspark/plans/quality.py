@@ -174,7 +174,13 @@ def v08(spark, sf_dir):
     return V.divergence_report(domain_shapes(spark, sf_dir), D.graph(spark, sf_dir), mapped(spark, sf_dir))
 
 
-@query("v09_divergence_summary", f"SELECT false AS no_shapes, count(*) FILTER (status IN ('empty', 'unmapped')) AS diverged, count(*) FILTER (status = 'unknown') AS \"unknown\", 6 AS issued, 1 AS skipped, false AS conclusive FROM ({DIVERGENCE}) WHERE NOT (class = '{SHIPMENT}' AND path IS NOT NULL)")
+@query(
+    "v09_divergence_summary",
+    f"""WITH report AS ({DIVERGENCE}), plan AS (SELECT *, row_number() OVER (ORDER BY class, path NULLS FIRST) AS n FROM (VALUES ('{D.CUSTOMER}', NULL), ('{D.CUSTOMER}', '{D.NAME}'), ('{D.CUSTOMER}', '{D.SEGMENT}'), ('{D.ORDER}', NULL), ('{D.ORDER}', '{D.OF}'), ('{SHIPMENT}', NULL), ('{SHIPMENT}', '{D.NAME}')) t(class, path)),
+  used AS (SELECT count(*) FILTER (n <= 6 AND (path IS NULL OR class IN (SELECT class FROM report WHERE path IS NULL AND status = 'matched'))) AS issued, count(*) FILTER (n > 6) AS skipped FROM plan),
+  r AS (SELECT count(*) AS n, count(*) FILTER (status IN ('empty', 'unmapped')) AS diverged, count(*) FILTER (status = 'unknown') AS "unknown" FROM report)
+  SELECT n = 0 AS no_shapes, diverged, "unknown", issued, skipped, "unknown" = 0 AND skipped = 0 AS conclusive FROM r, used""",
+)
 def v09(spark, sf_dir):
     q = domain_shapes(spark, sf_dir)
     plan = V.plan_probes(V.shacl_targets(q), V.required_paths(q), mapped(spark, sf_dir), 6)
@@ -188,12 +194,16 @@ def questions(spark, sf_dir):
     return V.evaluate_questions(asked, g)
 
 
-@query("v10_evaluate_questions", "SELECT * FROM (VALUES ('q1', 'ask_true', (SELECT count(*) > 0 FROM customer), true), ('q2', 'non_empty', (SELECT count(*) > 0 FROM customer WHERE c_mktsegment <> 'BUILDING'), true), ('q3', 'empty', true, true), ('q4', 'empty', (SELECT count(*) = 0 FROM customer), true), ('q5', 'ask_true', false, true), ('q6', 'non_empty', false, false)) t(id, expect, passed, evaluated)")
+ANSWERS = """(VALUES ('q1', 'ask_true', (SELECT count(*) > 0 FROM customer), true), ('q2', 'non_empty', (SELECT count(*) > 0 FROM customer WHERE c_mktsegment <> 'BUILDING'), true), ('q3', 'empty', true, true),
+  ('q4', 'empty', (SELECT count(*) = 0 FROM customer), true), ('q5', 'ask_true', false, true), ('q6', 'non_empty', false, false)) t(id, expect, passed, evaluated)"""
+
+
+@query("v10_evaluate_questions", f"SELECT * FROM {ANSWERS}")
 def v10(spark, sf_dir):
     return questions(spark, sf_dir)
 
 
-@query("v11_competency_report", "SELECT false AS conforms, false AS evaluated_all, CASE WHEN count(*) > 0 THEN 'q4,q5' ELSE 'q1,q2,q5' END AS failed, 'q6' AS not_evaluated FROM customer")
+@query("v11_competency_report", f"SELECT bool_and(evaluated AND passed) AS conforms, bool_and(evaluated) AS evaluated_all, coalesce(string_agg(id, ',' ORDER BY id) FILTER (evaluated AND NOT passed), '') AS failed, coalesce(string_agg(id, ',' ORDER BY id) FILTER (NOT evaluated), '') AS not_evaluated FROM {ANSWERS}")
 def v11(spark, sf_dir):
     return V.competency_report(questions(spark, sf_dir)).select("conforms", "evaluated_all", F.array_join("failed", ",").alias("failed"), F.array_join("not_evaluated", ",").alias("not_evaluated"))
 
@@ -216,10 +226,23 @@ def v13(spark, sf_dir):
     return V.contradictions(ontology(spark, sf_dir))[0]
 
 
-@query("v14_valid_identifiers", "SELECT doc_id, length(left(text, 40)) <= 1024 AND regexp_matches(left(text, 40), '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(left(text, 40), '[\\x00-\\x20\\x7f<>\"{}|^`\\\\]') AS iri, regexp_full_match(lower(source), '[a-z0-9][a-z0-9-]{1,62}') AS ns, regexp_full_match(left(text, 8), '[A-Za-z0-9][A-Za-z0-9.+-]{0,63}') AS version FROM documents")
+IRI = "length({0}) <= 1024 AND regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches({0}, '[\\x00-\\x20\\x7f<>\"{{}}|^`\\\\]')"
+
+
+@query(
+    "v14_valid_identifiers",
+    f"""SELECT doc_id AS id, 'document' AS kind, {IRI.format("text")} AS iri, regexp_full_match(lower(source), '[a-z0-9][a-z0-9-]{{1,62}}') AS ns, regexp_full_match(text, '[A-Za-z0-9][A-Za-z0-9.+-]{{0,63}}') AS version FROM documents
+  UNION ALL SELECT page_id, 'page', {IRI.format("url")}, regexp_full_match(url, '[a-z0-9][a-z0-9-]{{1,62}}'), regexp_full_match(url, '[A-Za-z0-9][A-Za-z0-9.+-]{{0,63}}') FROM pages
+  UNION ALL SELECT p_partkey, 'part', {IRI.format("(p_type || ':' || p_name)")}, regexp_full_match(lower(p_type), '[a-z0-9][a-z0-9-]{{1,62}}'), regexp_full_match(p_size || '.' || p_type, '[A-Za-z0-9][A-Za-z0-9.+-]{{0,63}}') FROM part""",
+)
 def v14(spark, sf_dir):
-    d = D.table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.valid_term_iri(F.substring("text", 1, 40)).alias("iri"), T.valid_namespace(F.lower("source")).alias("ns"), T.valid_version(F.substring("text", 1, 8)).alias("version"))
+    def judged(rows, kind, key, iri, ns, version):
+        return rows.select(F.col(key).alias("id"), F.lit(kind).alias("kind"), T.valid_term_iri(iri).alias("iri"), T.valid_namespace(ns).alias("ns"), T.valid_version(version).alias("version"))
+
+    docs, pages, parts = (D.table(spark, sf_dir, x) for x in ("documents", "pages", "part"))
+    text, url = F.col("text"), F.col("url")
+    made = judged(parts, "part", "p_partkey", F.concat("p_type", F.lit(":"), "p_name"), F.lower("p_type"), F.concat(F.col("p_size").cast("string"), F.lit("."), "p_type"))
+    return judged(docs, "document", "doc_id", text, F.lower("source"), text).unionByName(judged(pages, "page", "page_id", url, url, url)).unionByName(made)
 
 
 @query("v15_foreign_subjects", f"SELECT {D.order('o_orderkey')} AS s FROM orders UNION SELECT '{D.DATA}nation/' || n_nationkey FROM nation")
