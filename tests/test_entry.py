@@ -23,6 +23,12 @@ def test_stands_without_the_training_package(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
 
 
+def test_a_missing_dependency_is_an_error(tmp_path):
+    """Only the package and the pipeline may be gone; without xxhash the import fails."""
+    code = "import sys; sys.modules['xxhash'] = None\ntry:\n import __spark_entry__\nexcept ImportError as e:\n assert e.name == 'xxhash'\nelse:\n import importlib.util as u; assert u.find_spec('kgspark.llm') is None"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env=os.environ | {"PYTHONPATH": ROOT})
+
+
 def test_nothing_else_imports_the_training_package():
     for folder, _, files in os.walk(f"{ROOT}/kgspark"):
         if "llm" not in folder:
