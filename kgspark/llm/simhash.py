@@ -34,6 +34,8 @@ QUERY_ROWS = 512
 BLOCKS6 = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: keep_one: words in a shingle, and the similarity of near copies as numerator and denominator.
 COPY_WORDS, ALIKE = 5, (4, 5)
+#: Texts, and bytes of them, that a task compares with each other at a time.
+UNIT_TEXTS, UNIT_BYTES = 512, 16 << 20
 #: MinHash bands and values in each: a pair at similarity 0.8 agrees on no band with probability (1 - 0.8 ** 4) ** 20, 0.00003.
 BANDS, BAND_ROWS = 20, 4
 _seeds = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
@@ -312,48 +314,115 @@ def alike_groups(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
-def alike_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (root, node, text), sorted by root and node, to the stars (u, v) of near copies in each candidate group."""
-
-    def stars(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        label = alike_groups(sets)
-        own = np.array(nodes, dtype=np.int64)
-        linked = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[label[linked]])], names=["u", "v"])
-
-    root, nodes, sets = None, [], []
+def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows (unit, node, text), sorted by unit, as the nodes and shingle sets of each unit."""
+    unit, nodes, sets = None, [], []
     for batch in batches:
-        for r, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if nodes and r != root:
-                yield stars(nodes, sets)
+        for u, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if nodes and u != unit:
+                yield nodes, sets
                 nodes, sets = [], []
-            root = r
+            unit = u
             nodes.append(node)
             sets.append(shingle_set(text))
     if nodes:
-        yield stars(nodes, sets)
+        yield nodes, sets
+
+
+def alike_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars (u, v) of near copies in each unit."""
+    for nodes, sets in by_unit(batches):
+        label = alike_groups(sets)
+        own = np.array(nodes, dtype=np.int64)
+        linked = label != np.arange(len(label))
+        yield pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[label[linked]])], names=["u", "v"])
+
+
+def near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each text of a unit is a near copy of the unit's first."""
+    for nodes, sets in by_unit(batches):
+        first = sets[0]
+        shared = np.array([len(np.intersect1d(first, x, assume_unique=True)) for x in sets[1:]], dtype=np.int64)
+        sizes = np.array([len(x) for x in sets[1:]], dtype=np.int64)
+        near = ALIKE[1] * shared >= ALIKE[0] * (len(first) + sizes - shared)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[1:], pa.int64()), pa.array(near)], names=["node", "near"])
+
+
+def compared(rows: DataFrame, compare, schema: str) -> DataFrame:
+    """What compare makes of rows (unit, at, node, text), of each unit in the order of at and node."""
+    return rows.repartition("unit").sortWithinPartitions("unit", "at", "node").select("unit", "node", "text").mapInArrow(compare, schema)
+
+
+def large_links(texts: DataFrame) -> DataFrame:
+    """Links (u, v) of candidate groups of several parts, (root, node, parts, text); components join them to groups.
+
+    A part's texts are compared with the group's first one, beside which each part gets a copy of. What isn't near it is
+    then compared with all of the group, part by part, so that no link is lost and no task gets a group.
+    """
+    unit = lambda *parts: F.concat_ws("/", F.col("root").cast("string"), *[p.cast("string") for p in parts]).alias("unit")
+    part = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    first = texts.where("node = root").withColumn("part", every(F.col("parts"))).select(unit(F.col("part")), F.lit(0).alias("at"), "node", "text")
+    others = texts.where("node <> root").select(unit(part(F.col("parts"))), F.lit(1).alias("at"), "node", "text")
+    judged = compared(first.unionByName(others), near_first, "node long, near boolean")
+    judged = written(texts.where("node <> root").select("node", "root").join(judged, "node"), "near-the-first")
+    links = judged.where("near").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    far = judged.where("not near")
+    groups = written(far.groupBy("root").agg(F.ceil(F.count("*") / UNIT_TEXTS).alias("far_parts")), "far-groups")
+    if groups.isEmpty():
+        return links
+    counts = texts.groupBy("root").agg(F.count("*").alias("n")).join(groups, "root")
+    rows = attach(texts, counts, "root", "n", texts.count(), "node").where("found is not null").select("root", "node", "parts", "text", "found.far_parts")
+    rows = written(rows.join(far.select("node", F.lit(True).alias("far")), "node", "left"), "far-texts")
+    left = rows.where("far").withColumn("b", every(F.col("parts"))).select(unit(part(F.col("far_parts")), F.col("b")), F.lit(0).alias("at"), "node", "text")
+    right = rows.withColumn("a", every(F.col("far_parts"))).select(unit(F.col("a"), part(F.col("parts"))), F.lit(1).alias("at"), "node", "text")
+    return links.unionByName(compared(left.unionByName(right), alike_links, "u long, v long").where("u <> v"))
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with a row key `_copy_row` and `_copy`, written; and (node, copies): the node of the group, for all distinct shingle sets.
+    """(doc_id, key, node) for all rows of docs, and (node, copies): the node of the group, for all distinct shingle sets.
 
-    Two texts are in one group if a chain of pairs, each of similarity ALIKE or more, joins them among their candidates.
-    Texts of fewer than COPY_WORDS words are one shingle; null and empty texts are alike.
+    key is the md5 of the text. Two texts are in one group if a chain of pairs, each of similarity ALIKE or more, joins
+    them among their candidates. Texts of fewer than COPY_WORDS words are one shingle; null and empty texts are alike.
     """
-    base = written(docs.select("*", F.monotonically_increasing_id().alias("_copy_row"), F.pandas_udf(sketches, "node long, bands array<long>")("text").alias("_copy")), "sketches")
-    nodes = written(base.groupBy(F.col("_copy.node").alias("node")).agg(F.min("_copy_row").alias("first_row")), "shingle-sets")
-    bands = written(base.select(F.col("_copy.node").alias("node"), F.explode("_copy.bands").alias("band")).distinct(), "bands")
+    key = F.md5(F.coalesce("text", F.lit(""))).alias("key")
+    copy = F.pandas_udf(sketches, "node long, bands array<long>")("text").alias("copy")
+    base = written(docs.select("doc_id", key, F.octet_length("text").alias("n_bytes"), copy), "sketches")
+    base = base.select("doc_id", "key", "n_bytes", F.col("copy.node").alias("node"), F.col("copy.bands").alias("bands"))
+    nodes = written(base.groupBy("node").agg(F.min(F.struct("key", "n_bytes")).alias("one")).select("node", "one.*"), "shingle-sets")
+    bands = written(base.select("node", F.explode("bands").alias("band")).distinct(), "bands")
     least = written(bands.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1"), "least-in-bands")
     edges = attach(bands, least, "band", "n", bands.count(), "node").where("found is not null").select(F.col("node").alias("u"), F.col("found.m").alias("v"))
-    candidates = written(components(edges).join(nodes, "node"), "candidates")
-    texts = candidates.join(base.select("_copy_row", "text"), F.col("first_row") == F.col("_copy_row")).select("root", "node", "text")
-    links = written(texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(alike_links, "u long, v long"), "alike")
-    return base, nodes.join(links, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("copies"))
+    found = written(components(edges).join(nodes, "node"), "candidates")
+    sizes = found.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / UNIT_TEXTS), F.ceil(F.sum("n_bytes") / UNIT_BYTES)).alias("parts"))
+    found = attach(found, written(sizes, "candidate-groups"), "root", "n", found.count(), "node").select("key", "root", "node", "found.parts")
+    # one text of each key goes to where its candidate is; by merging at every size, as the texts are never small enough to broadcast to
+    texts = docs.where("text is not null").select(key, "text").groupBy("key").agg(F.first("text").alias("text"))
+    texts = written(texts.hint("merge").join(found, "key").select("root", "node", "parts", "text"), "candidate-texts")
+    small = compared(texts.where("parts = 1").select(F.col("root").cast("string").alias("unit"), F.lit(0).alias("at"), "node", "text"), alike_links, "u long, v long")
+    links = small.select(F.col("u").alias("node"), F.col("v").alias("copies"))
+    large = texts.where("parts > 1")
+    if not large.isEmpty():
+        links = links.unionByName(components(large_links(large)).select("node", F.col("root").alias("copies")))
+    links = written(links, "alike").withColumnRenamed("node", "linked")
+    groups = nodes.select("node").join(links, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("copies", "node").alias("copies"))
+    return base.select("doc_id", "key", "node"), groups
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, with one row of each group of near copies: the one with the least doc_id. Rows without a doc_id stay."""
+    """docs, with one row of each group of near copies: one with the least doc_id. Rows without a doc_id stay.
+
+    Of rows equal in doc_id and text, which one stays is left open. Columns of any names are kept.
+    """
     base, groups = near_copies(docs)
-    least = base.where("doc_id is not null").groupBy(F.col("_copy.node").alias("node")).agg(F.min(F.struct("doc_id", F.col("_copy.node").alias("node"), "_copy_row")).alias("least"))
-    kept = written(least.join(groups, "node").groupBy("copies").agg(F.min("least")["_copy_row"].alias("_copy_row")).select("_copy_row"), "kept-rows")
-    return base.join(kept, "_copy_row", "left_semi").unionByName(base.where("doc_id is null")).select(*docs.columns)
+    rows = base.where("doc_id is not null").groupBy("node", "doc_id", "key").agg(F.count("*").alias("n"))
+    least = F.min(F.struct("doc_id", "node", "key", "n")).alias("least")
+    own = rows.groupBy("node").agg(least).select("node", "least")
+    kept = written(own.join(groups, "node").groupBy("copies").agg(F.min("least").alias("least")).select("least.doc_id", "least.key", "least.n"), "kept-rows")
+    packed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.struct(*docs.columns).alias("row"))
+    named = packed.where("doc_id is not null").hint("merge")
+    out = packed.where("doc_id is null").select("row").unionByName(named.join(kept.where("n = 1"), ["doc_id", "key"], "left_semi").select("row"))
+    more = kept.where("n > 1")
+    if not more.isEmpty():
+        out = out.unionByName(named.join(more, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")
