@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import written
 
-#: Centroids are fitted on at most FIT_ROWS distinct vectors, those with the least hash, and are at most MAX_LISTS.
-FIT_ROWS, MAX_LISTS, LIST_ROWS = 20_000, 1024, 400
+#: A list has LIST_ROWS vectors up to MANY lists; from there on the lists' number and their rows both grow with the root
+#: of the vectors' number, up to MAX_LISTS lists.
+LIST_ROWS, MANY, MAX_LISTS = 400, 1024, 8192
+#: Centroids are fitted on the distinct vectors with the least hash: FIT_ROWS, or FIT_EACH for each list if those are more.
+FIT_ROWS, FIT_EACH = 20_000, 20
 #: The lists that a query probes are so many that this share of neighbours is in them, in a trial of TRIAL sampled queries.
 FOUND, TRIAL, LEAST_PROBES = 0.98, 400, 8
 #: A list's vectors and a list's queries meet in blocks of so many.
@@ -34,12 +37,17 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
+def list_count(n: int) -> int:
+    root = int(MANY * (n / (MANY * LIST_ROWS)) ** 0.5)
+    return max(1, min(n // LIST_ROWS, max(MANY, root), MAX_LISTS))
+
+
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means on unit rows."""
     rng = np.random.default_rng(7)
     centres = x[rng.choice(len(x), size=min(lists, len(x)), replace=False)]
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
+        own = np.concatenate([(x[a : a + 2048] @ centres.T).argmax(axis=1) for a in range(0, len(x), 2048)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -149,18 +157,18 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     distinct = written(rows.join(few.select("id", "ids"), "id").select("id", "v", "ids"), "distinct-vectors")
 
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toPandas()
-    lists = max(1, min(MAX_LISTS, n // LIST_ROWS))
-    fitted = unit(np.array(sample["v"].tolist(), dtype=np.float64))
+    lists = list_count(n)
+    sample = distinct.orderBy(F.xxhash64("id"), "id").limit(max(FIT_ROWS, FIT_EACH * lists)).select("v").toArrow()
+    fitted = unit(np.concatenate([c.flatten().to_numpy() for c in sample.column("v").chunks]).reshape(-1, length[0]["n"]))
     centres = fit_centroids(fitted, lists)
-    probes = min(len(centres), max(LEAST_PROBES, probes_needed(fitted, centres, k)))
+    probes = min(len(centres), max(LEAST_PROBES, probes_needed(fitted[:FIT_ROWS], centres, k)))
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 2048):
-                    part = batch.slice(a, 2048)
+                for a in range(0, batch.num_rows, 512):
+                    part = batch.slice(a, 512)
                     x = unit(np.array(part.column("v").to_pylist(), dtype=np.float64)) @ shared.value.T
                     best = np.argpartition(-x, count - 1, axis=1)[:, :count].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best.tolist(), pa.list_(pa.int32()))], names=[*part.schema.names, "lists"])

@@ -241,6 +241,29 @@ def test_neighbours_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_lists_grow_with_the_root():
+    assert [neighbours.list_count(n) for n in (0, 1000, 400_000, 409_600, 4 * 409_600, 10**12)] == [1, 2, 1000, 1024, 2048, 8192]
+
+
+def test_probing_some_lists_of_many(spark, monkeypatch):
+    """Of about a hundred lists a query probes some; long vectors are scanned in blocks of columns like short ones."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 20)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((50, 300))
+    x = centres[rng.integers(0, 50, 2000)] + 0.3 * rng.standard_normal((2000, 300))
+    seen = []
+    needed = neighbours.probes_needed
+    monkeypatch.setattr(neighbours, "probes_needed", lambda *a: seen.append(needed(*a)) or seen[-1])
+    out = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    assert max(*seen, neighbours.LEAST_PROBES) < 50 == neighbours.list_count(2000) / 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(x), 50):
+        order = [j for j in np.argsort(-(u @ u[i]), kind="stable") if j != i][:5]
+        hits += len(set(out[out.query_id == i].vec_id) & set(order))
+    assert hits / (5 * len(range(0, len(x), 50))) >= 0.9
+
+
 def test_scan_abandons_only_what_is_far():
     rng = np.random.default_rng(2)
     x = neighbours.unit(rng.standard_normal((2000, 64))) @ neighbours.rotation(64)
