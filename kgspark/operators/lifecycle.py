@@ -41,13 +41,13 @@ def canonical_bnodes(quads: DataFrame, max_bnodes: int | None = None) -> tuple[D
     for trees only: a blank node with two parents, or on a cycle, skips the whole. Skipped triples are as they were. Hashing
     has no limit of nodes, as a search for isomorphisms has; max_bnodes sets one for callers that want it.
     """
-    rows = quads.select(*TRIPLE).distinct()
+    rows = settle(quads.select(*TRIPLE).distinct())
     nodes = rows.where("s_kind = 'bnode'").select(F.col("s").alias("node")).unionByName(rows.where("o_kind = 'bnode'").select(F.col("o").alias("node"))).distinct()
     if max_bnodes is not None and nodes.limit(max_bnodes + 1).count() > max_bnodes:
         return rows, "skipped-too-many"
     if not rows.where("o_kind = 'bnode'").groupBy("o").count().where("count > 1").isEmpty():
         return rows, "skipped-shared"
-    todo, names = settle(nodes), None
+    todo, names = nodes, None
     while not todo.isEmpty():
         mine = rows.where("s_kind = 'bnode'").join(todo.select(F.col("node").alias("s")), "s", "left_semi")
         waiting = mine.where("o_kind = 'bnode'").join(todo.select(F.col("node").alias("o")), "o", "left_semi").select("s").distinct()
@@ -61,8 +61,8 @@ def canonical_bnodes(quads: DataFrame, max_bnodes: int | None = None) -> tuple[D
         named = settle(own.groupBy(F.col("s").alias("node")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("name")))
         if named.isEmpty():
             return rows, "skipped-shared"
-        names = named if names is None else settle(names.unionByName(named))
-        todo = settle(todo.join(named, "node", "left_anti"))
+        names = named if names is None else names.unionByName(named)  # one written table for each level
+        todo = nodes.join(names, "node", "left_anti")
     if names is None:
         return rows, "computed"
     # siblings alike: the same parent and predicate lead to equal subtrees, which stay apart by number

@@ -4,17 +4,31 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder, so that loops neither grow their plans nor lose work with an executor."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
+    """df, written once to the shared folder, so that loops neither grow their plans nor lose work with an executor.
+
+    Unlike a checkpoint, a table has sizes, by which joins with small ones are broadcast. clear() deletes the tables.
+    """
+    path = f"{scratch(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    _made.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that settle() has written in this process; results that still read them must be written by then."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch(spark: SparkSession) -> str:

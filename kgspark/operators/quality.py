@@ -79,46 +79,46 @@ def shacl_validate(shapes: DataFrame, data: DataFrame) -> DataFrame:
 
     # instances of the classes that shapes name, and no others
     both = shapes.select("s", "p", "o", "o_kind").unionByName(data.select("s", "p", "o", "o_kind"))
-    above = path_star(both.where((F.col("p") == T.SUBCLASS) & (F.col("o_kind") == "iri")).select(F.col("s").alias("src"), F.col("o").alias("dst")))
     named = targets.select("class").unionByName(objects(shapes, T.SH + "class", "class").select("class")).distinct()
-    types = data.where(F.col("p") == T.TYPE).select(F.col("s").alias("focus"), F.col("o").alias("src"))
-    up = above.where("src <> dst").join(named.withColumnRenamed("class", "dst"), "dst", "left_semi")
-    own = types.select("focus", F.col("src").alias("class")).join(named, "class", "left_semi").select("focus", "class")
-    member = settle(types.join(up, "src").select("focus", F.col("dst").alias("class")).unionByName(own).distinct())
+    down = both.where((F.col("p") == T.SUBCLASS) & (F.col("o_kind") == "iri")).select(F.col("o").alias("src"), F.col("s").alias("dst"))
+    below = path_star(down, named.select(F.col("class").alias("src"))).select(F.col("src").alias("class"), "dst")
+    types = data.where(F.col("p") == T.TYPE).select(F.col("s").alias("focus"), F.col("o").alias("dst"))
+    member = settle(types.join(below, "dst").select("focus", "class").distinct())
     at = targets.join(member, "class").select("focus", "shape").distinct().join(props, "shape")
     values = data.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
     has = settle(at.join(values.join(props.select("path").distinct(), "path", "left_semi").distinct(), ["focus", "path"]))
 
-    keep = lambda df, component, value: df.select("focus", "shape", "prop", "path", F.lit(component).alias("component"), value.alias("value")).distinct()
+    keep = lambda df, component, value: df.select("focus", "shape", "prop", "path", component.alias("component"), value.alias("value"))
     none = F.lit(None).cast("string")
+    facts = lambda names: shapes.where(F.col("p").isin(*[T.SH + n for n in names])).select(F.col("s").alias("prop"), F.substring_index("p", "#", -1).alias("component"), F.col("o").alias("wanted"))
     found = []
-    for name in ("minCount", "maxCount"):
-        if name in used:
-            limit = of(name, "limit").select("prop", F.col("limit").try_cast("int").alias("limit"))
-            counted = at.join(limit, "prop").join(has.groupBy("focus", "shape", "prop").agg(F.count("*").alias("n")), ["focus", "shape", "prop"], "left")
-            n = F.coalesce("n", F.lit(0))
-            found.append(keep(counted.where(n < F.col("limit") if name == "minCount" else n > F.col("limit")), name, none))
+    if used & {"minCount", "maxCount"}:
+        counted = at.join(facts(("minCount", "maxCount")), "prop").join(has.groupBy("focus", "shape", "prop").agg(F.count("*").alias("n")), ["focus", "shape", "prop"], "left")
+        n, limit, least = F.coalesce("n", F.lit(0)), F.col("wanted").try_cast("int"), F.col("component") == "minCount"
+        found.append(keep(counted.where((least & (n < limit)) | (~least & (n > limit))), F.col("component"), none))
     if "hasValue" in used:
         want = of("hasValue", "value")
-        found.append(keep(at.join(want, "prop").join(has.select("focus", "prop", "value").distinct(), ["focus", "prop", "value"], "left_anti"), "hasValue", none))
-    for name, violated in checks.items():
-        if name in used:
-            found.append(keep(has.join(of(name, "wanted"), "prop").where(violated), name, F.col("value")))
+        found.append(keep(at.join(want, "prop").join(has.select("focus", "prop", "value").distinct(), ["focus", "prop", "value"], "left_anti"), F.lit("hasValue"), none))
+    if single := used & checks.keys():  # all of them in one pass over the values
+        violated = F.lit(False)
+        for name in single:
+            violated = F.when(F.col("component") == name, checks[name]).otherwise(violated)
+        found.append(keep(has.join(facts(single), "prop").where(violated), F.col("component"), F.col("value")))
     classes = member.select(F.col("focus").alias("value"), F.col("class").alias("wanted"), F.lit(True).alias("is"))
     if "class" in used:
         judged = has.join(of("class", "wanted"), "prop").join(classes, ["value", "wanted"], "left")
-        found.append(keep(judged.where((F.col("kind") == "literal") | F.col("is").isNull()), "class", F.col("value")))
+        found.append(keep(judged.where((F.col("kind") == "literal") | F.col("is").isNull()), F.lit("class"), F.col("value")))
     if "in" in used:
         listed = _list_items(shapes, of("in", "head")).select("prop", F.col("item").alias("value"), F.lit(True).alias("is"))
         judged = has.join(of("in", "head").select("prop").distinct(), "prop").join(listed, ["prop", "value"], "left")
-        found.append(keep(judged.where("is is null"), "in", F.col("value")))
+        found.append(keep(judged.where("is is null"), F.lit("in"), F.col("value")))
     if "or" in used:
         items = _list_items(shapes, of("or", "head"))
         dtypes, kinds = of("datatype", "dtype").withColumnRenamed("prop", "item"), of("class", "wanted").withColumnRenamed("prop", "item")
         choice = items.join(dtypes, "item", "left").join(kinds, "item", "left").select("prop", "dtype", "wanted")
         fits = F.coalesce(_typed("value", "kind", "dt", F.col("dtype")), F.lit(False)) | ((F.col("kind") != "literal") & F.col("is").isNotNull())
         folded = has.join(choice, "prop").join(classes, ["value", "wanted"], "left").groupBy("focus", "shape", "prop", "path", "value", "kind", "dt", "lang").agg(F.bool_or(fits).alias("fits"))
-        found.append(keep(folded.where("not fits"), "or", F.col("value")))
+        found.append(keep(folded.where("not fits"), F.lit("or"), F.col("value")))
 
     out = at.limit(0).select("focus", "shape", "prop", "path", none.alias("component"), none.alias("value"))
     for x in found:

@@ -87,9 +87,11 @@ def test_patterns_are_joined_where_they_share_a_variable(spark):
 
 
 def test_numbers_in_ranges(spark):
+    from pyspark.sql import functions as F
+
     made = spark.range(500).selectExpr("(id * 7919) % 500 as k")
     for part in (100_000, 40):
-        assert [r.n for r in P.numbered(made, [made.k], "n", part).orderBy("k").collect()] == list(range(1, 501))
+        assert [r.n for r in P.numbered(made, [F.col("k")], "n", part).orderBy("k").collect()] == list(range(1, 501))
 
 
 def test_construct_leaves_out_unbound(shop):
