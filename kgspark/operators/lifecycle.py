@@ -41,9 +41,25 @@ def canonical_bnodes(quads: DataFrame, max_bnodes: int | None = None) -> tuple[D
     for trees only: a blank node with two parents, or on a cycle, skips the whole. Skipped triples are as they were. Hashing
     has no limit of nodes, as a search for isomorphisms has; max_bnodes sets one for callers that want it.
     """
-    rows = settle(quads.select(*TRIPLE).distinct())
+    return _canonical(quads.select(*TRIPLE), (), F.lit(0), max_bnodes)
+
+
+def canonical_pair(base: DataFrame, new: DataFrame, max_bnodes: int | None = None) -> tuple[DataFrame, DataFrame, str]:
+    """Both graphs' triples with blank nodes renamed, as canonical_bnodes() does, in one pass; and the status of the two."""
+    own = lambda c, side: F.when(F.col(f"{c}_kind") == "bnode", F.concat(F.lit(f"{side} "), c)).otherwise(F.col(c)).alias(c)
+    mark = lambda df, side: df.select(own("s", side), "s_kind", "p", own("o", side), "o_kind", "o_dt", "o_lang", F.lit(side).alias("side"))
+    both, status = _canonical(mark(base, "base").unionByName(mark(new, "new")), ("side",), F.substring_index("node", " ", 1), max_bnodes)
+    if status != "computed":
+        return base.select(*TRIPLE), new.select(*TRIPLE), status
+    both = settle(both)
+    return both.where("side = 'base'").drop("side"), both.where("side = 'new'").drop("side"), status
+
+
+def _canonical(triples: DataFrame, keep: tuple[str, ...], graph: Column, max_bnodes: int | None) -> tuple[DataFrame, str]:
+    """canonical_bnodes of one or more graphs; graph tells a node's graph, and the columns keep stay."""
+    rows = settle(triples.distinct())
     nodes = rows.where("s_kind = 'bnode'").select(F.col("s").alias("node")).unionByName(rows.where("o_kind = 'bnode'").select(F.col("o").alias("node"))).distinct()
-    if max_bnodes is not None and nodes.limit(max_bnodes + 1).count() > max_bnodes:
+    if max_bnodes is not None and not nodes.groupBy(graph.alias("graph")).count().where(F.col("count") > max_bnodes).isEmpty():
         return rows, "skipped-too-many"
     if not rows.where("o_kind = 'bnode'").groupBy("o").count().where("count > 1").isEmpty():
         return rows, "skipped-shared"
@@ -67,11 +83,11 @@ def canonical_bnodes(quads: DataFrame, max_bnodes: int | None = None) -> tuple[D
         return rows, "computed"
     # siblings alike: the same parent and predicate lead to equal subtrees, which stay apart by number
     parents = rows.where("o_kind = 'bnode'").select(F.col("o").alias("node"), "s", "p")
-    alike = names.join(parents, "node", "left").withColumn("k", F.row_number().over(Window.partitionBy("name", "s", "p").orderBy("node")))
+    alike = names.join(parents, "node", "left").withColumn("k", F.row_number().over(Window.partitionBy("name", graph, "s", "p").orderBy("node")))
     final = alike.select("node", F.concat_ws("-", "name", F.when(F.col("k") > 1, F.col("k").cast("string"))).alias("name"))
     out = rows.join(final.select(F.col("node").alias("s"), F.col("name").alias("sn")), "s", "left").join(final.select(F.col("node").alias("o"), F.col("name").alias("on")), "o", "left")
     pick = lambda c, k, n: F.when(F.col(k) == "bnode", F.coalesce(n, c)).otherwise(F.col(c)).alias(c)
-    return out.select(pick("s", "s_kind", "sn"), "s_kind", "p", pick("o", "o_kind", "on"), "o_kind", "o_dt", "o_lang").distinct(), "computed"
+    return out.select(pick("s", "s_kind", "sn"), "s_kind", "p", pick("o", "o_kind", "on"), "o_kind", "o_dt", "o_lang", *keep).distinct(), "computed"
 
 
 def triple_diff(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -102,12 +118,10 @@ def diff_summary(base: DataFrame, new: DataFrame, max_terms: int = MAX_TERMS, ma
     Triple counts and modified terms are null where blank nodes could not be made canonical; then `empty` is false. Only
     the first max_terms of each list come together in the row.
     """
-    a, first = canonical_bnodes(base, max_bnodes)
-    b, second = canonical_bnodes(new, max_bnodes)
-    done = first == second == "computed"
+    a, b, status = canonical_pair(base, new, max_bnodes)
+    done = status == "computed"
     lists = {"added": added_terms(base, new), "removed": removed_terms(base, new), "deprecated": newly_deprecated(base, new)}
     if done:
-        a, b = settle(a), settle(b)
         lists["modified"] = modified_terms(a, b)
     row = base.sparkSession.range(1).select()
     for name, df in lists.items():
@@ -119,7 +133,7 @@ def diff_summary(base: DataFrame, new: DataFrame, max_terms: int = MAX_TERMS, ma
         unknown = F.lit(None).cast("long")
         row = row.withColumns({"modified_count": unknown, "modified": F.lit(None).cast("array<string>"), "triples_added": unknown, "triples_removed": unknown})
     names = ("added", "removed", "deprecated", "modified")
-    fields = [F.lit("computed" if done else (first if first != "computed" else second)).alias("status"), *[x for n in names for x in (f"{n}_count", n)]]
+    fields = [F.lit(status).alias("status"), *[x for n in names for x in (f"{n}_count", n)]]
     cut = [F.coalesce(F.col(f"{n}_count") > max_terms, F.lit(False)) for n in names]
     truncated = cut[0] | cut[1] | cut[2] | cut[3]
     empty = F.coalesce((F.col("triples_added") == 0) & (F.col("triples_removed") == 0), F.lit(False))

@@ -38,12 +38,9 @@ def both_described(spark, sf_dir):
 
 def canonical(spark, sf_dir):
     """Both revisions with their blank nodes named by structure."""
-    made = []
-    for graph in both_described(spark, sf_dir):
-        quads, status = C.canonical_bnodes(graph)
-        assert status == "computed"
-        made.append(P.settle(quads))
-    return made
+    base, new, status = C.canonical_pair(*both_described(spark, sf_dir))
+    assert status == "computed"
+    return base, new
 
 
 @query("c03_triple_diff", f"WITH {D.DESCRIBED} SELECT s, p, o, side FROM diff")
