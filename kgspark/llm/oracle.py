@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from kgspark.llm import pii
+from kgspark.llm.collocations import LEAST, TOP
+from kgspark.llm.collocations import SHARE as PART
 from kgspark.llm.mixing import MOST, SHARE, SLOPES, WEIGHTS
 from kgspark.llm.url_filter import CONFIDENCE, DEFAULT, RULES, SUPPORT
 
@@ -120,4 +122,18 @@ def _urls() -> str:
   SELECT page_id, host, path, rule, coalesce(listed, b[2], '{DEFAULT}') AS verdict, CASE WHEN rule IS NULL THEN b[1] END AS mined FROM t LEFT JOIN best USING (row)"""
 
 
-ORACLE: dict[str, str] = {"op1_url_rules": _urls(), "op5_adaptive_scan_neighbours": _neighbours(), "op2_hash_tree_shards": _shards(), "op3_curriculum_mix": _mix(), "op4_warc_salvage": _warc(), "op8_pii": _pii(), "op10_decontamination": _decontamination()}
+def _collocations() -> str:
+    score = "CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r::HUGEINT) AS BIGINT)"
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^.,;:!?\\x0A-\\x0D]+'), lambda x: regexp_extract_all(x, '[^\\x20\\x09]+'))) AS w FROM documents),
+  g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS ph FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
+  every AS MATERIALIZED (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL), total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM every WHERE k = 1 GROUP BY lang),
+  f AS MATERIALIZED (SELECT lang, ph, f, k AS words FROM every WHERE f >= {LEAST}), c AS (SELECT lang, ph AS phrase, f AS a, words, string_split(ph, ' ') AS w FROM f WHERE words > 1),
+  parts AS (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:words], ' ') AS tail FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+  cut AS (SELECT parts.*, x.f AS l, y.f AS r FROM parts JOIN f x ON x.lang = parts.lang AND x.ph = head JOIN f y ON y.lang = parts.lang AND y.ph = tail),
+  s AS (SELECT *, {score} AS score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY {score}, k) = 1),
+  longer AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longest FROM c WHERE words = 3), most AS (SELECT lang, phrase, max(longest) AS longest FROM longer GROUP BY ALL),
+  o AS (SELECT s.* FROM s LEFT JOIN most USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < {PART} * a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN total USING (lang) QUALIFY rank <= {TOP}"""
+
+
+ORACLE: dict[str, str] = {"op1_url_rules": _urls(), "op5_adaptive_scan_neighbours": _neighbours(), "op2_hash_tree_shards": _shards(), "op3_curriculum_mix": _mix(), "op4_warc_salvage": _warc(), "op8_pii": _pii(), "op10_decontamination": _decontamination(), "op11_collocations": _collocations()}

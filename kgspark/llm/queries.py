@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import decontamination, language, mixing, neighbours, pii, quality, sharding, simhash, url_filter, warc
+from kgspark.llm import alignment, bpe, collocations, decontamination, language, mixing, neighbours, pii, quality, sharding, simhash, url_filter, warc
 from kgspark.llm.common import table
 from kgspark.llm.oracle import ORACLE
+from kgspark.llm.vocabularies import sent
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,8 +54,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (sent(spark, public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.scored(table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), sent(spark, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_url_rules, op2_hash_tree_shards, op3_curriculum_mix, op4_warc_salvage, op5_adaptive_scan_neighbours, op6_simhash_groups, op7_language, op8_pii, op9_quality, op10_decontamination)
+    every = (
+        op1_url_rules, op2_hash_tree_shards, op3_curriculum_mix, op4_warc_salvage, op5_adaptive_scan_neighbours, op6_simhash_groups, op7_language,
+        op8_pii, op9_quality, op10_decontamination, op11_collocations, op12_token_alignment, op13_bpe,
+    )
     return {f.__name__: f for f in every}
 
 
