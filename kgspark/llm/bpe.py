@@ -18,6 +18,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import ahocorasick
@@ -25,14 +26,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kgspark.llm.vocabularies import byte_alphabet
 
-#: Words, pieces or pairs of tokens that a worker remembers.
-REMEMBERED = 300_000
+#: Words and pieces that a worker remembers, and pairs of tokens.
+REMEMBERED, PAIRS = 60_000, 300_000
 #: Longer words are encoded each time.
 LONG_WORD = 100
 #: Tokens decoded in one step.
@@ -54,7 +55,7 @@ class Merges:
         self.rank = {i: -1 for i, s in self.symbols.items() if len(s) == 1}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by a << 32 | b
         reached = set(self.rank)
         for rank, (a, b) in enumerate(merges):
             pair = (vocabulary[a], vocabulary[b])
@@ -81,11 +82,11 @@ class Merges:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges of a's and b's joined text give a and b."""
-        found = self._fits.get((a, b))
+        found = self._fits.get(a << 32 | b)
         if found is None:
-            if len(self._fits) >= REMEMBERED:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            found = self._fits[a, b] = self._undisturbed(a, b)
+            found = self._fits[a << 32 | b] = self._undisturbed(a, b)
         return found
 
     def _undisturbed(self, a: int, b: int, joined: int | None = None) -> bool:
@@ -127,7 +128,7 @@ class Merges:
         while place < n:
             while token is not None:
                 if not dead[place + length[token]]:
-                    fits = before is None or known.get((before, token))
+                    fits = before is None or known.get(before << 32 | token)
                     if fits or (fits is None and self.fits(before, token)):
                         break
                 token = shorter[token]
@@ -290,13 +291,23 @@ def decoded(ids: Column, vocabulary: Broadcast) -> Column:
     return run(F.coalesce(ids, F.array().cast("array<int>")))
 
 
-def round_trip(docs, vocabulary: Broadcast):
+def round_trip(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: its text encoded, and these tokens decoded.
 
-    Null and empty texts have no tokens and decode to an empty text; repeated rows are encoded each. Other columns are not read.
+    Null and empty texts have no tokens and decode to an empty text; repeated rows are encoded each. Other columns are not
+    read. Tokens and decoded texts stay in the worker, a few texts at a time.
     """
-    rows = docs.select("doc_id", encoded(F.col("text"), vocabulary).alias("ids"))
-    rows = rows.select("doc_id", "ids", decoded(F.col("ids"), vocabulary).alias("decoded"))
-    digest = lambda c: F.sha2(c, 256)
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(listed).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(vocabulary.value), _decoder(vocabulary.value)
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                ids = np.frombuffer(encoder.encode(text.as_py()), np.int32)
+                listed = " ".join(map(str, ids.tolist()))
+                rows.append((len(ids), sha256(listed.encode()).hexdigest(), sha256(decoder.decode(ids).encode()).hexdigest()))
+            n, ids_, texts = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(digests, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
