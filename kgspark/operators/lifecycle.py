@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import terms as T
-from kgspark.operators.paths import bnode_owners, settle
+from kgspark.operators.paths import path_star, settle
 from kgspark.sources.quads import TERM
 
 TRIPLE = ("s", "s_kind", "p", *TERM)
@@ -35,11 +35,13 @@ def newly_deprecated(base: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def canonical_bnodes(quads: DataFrame, max_bnodes: int | None = None) -> tuple[DataFrame, str]:
-    """Triples with blank nodes renamed by structure, and the status: computed, skipped-shared or skipped-too-many.
+    """Triples with blank nodes renamed by structure and place, and the status: computed, skipped-shared or skipped-too-many.
 
-    From the leaves up, a blank node becomes the hash of its sorted triples; equal siblings keep their number. It is exact
-    for trees only: a blank node with two parents, or on a cycle, skips the whole. Skipped triples are as they were. Hashing
-    has no limit of nodes, as a search for isomorphisms has; max_bnodes sets one for callers that want it.
+    From the leaves up, a blank node gets the hash of its sorted triples. From the roots down, its name becomes the hash of
+    that, its parent's name, the predicate and a number among equal siblings; so equal nodes in different places stay apart,
+    and no triple is lost. It is exact for trees only: a blank node with two parents, or on a cycle, skips the whole. Skipped
+    triples are as they were. Hashing has no limit of nodes, as a search for isomorphisms has; max_bnodes sets one for
+    callers that want it.
     """
     return _canonical(quads.select(*TRIPLE), (), F.lit(0), max_bnodes)
 
@@ -58,36 +60,70 @@ def canonical_pair(base: DataFrame, new: DataFrame, max_bnodes: int | None = Non
 def _canonical(triples: DataFrame, keep: tuple[str, ...], graph: Column, max_bnodes: int | None) -> tuple[DataFrame, str]:
     """canonical_bnodes of one or more graphs; graph tells a node's graph, and the columns keep stay."""
     rows = settle(triples.distinct())
-    nodes = rows.where("s_kind = 'bnode'").select(F.col("s").alias("node")).unionByName(rows.where("o_kind = 'bnode'").select(F.col("o").alias("node"))).distinct()
+    parents = rows.where("o_kind = 'bnode'").select(F.col("o").alias("node"), "s", "s_kind", "p")
+    nodes = rows.where("s_kind = 'bnode'").select(F.col("s").alias("node")).unionByName(parents.select("node")).distinct()
     if max_bnodes is not None and not nodes.groupBy(graph.alias("graph")).count().where(F.col("count") > max_bnodes).isEmpty():
         return rows, "skipped-too-many"
-    if not rows.where("o_kind = 'bnode'").groupBy("o").count().where("count > 1").isEmpty():
+    if not parents.groupBy("node").count().where("count > 1").isEmpty():
         return rows, "skipped-shared"
-    todo, names = nodes, None
-    while not todo.isEmpty():
-        mine = rows.where("s_kind = 'bnode'").join(todo.select(F.col("node").alias("s")), "s", "left_semi")
-        waiting = mine.where("o_kind = 'bnode'").join(todo.select(F.col("node").alias("o")), "o", "left_semi").select("s").distinct()
-        ready = todo.join(waiting.select(F.col("s").alias("node")), "node", "left_anti")
-        own = ready.select(F.col("node").alias("s")).join(rows, "s", "left")
-        value = F.col("o")
+    places = _places(nodes.join(parents, "node", "left"))
+    if places is None:
+        return rows, "skipped-shared"
+    deepest = places.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return rows, "computed"
+    names = _structure(rows, places, deepest)
+    same = Window.partitionBy("name", graph, "s", "p").orderBy("node")  # equal siblings, whose subtrees are equal too
+    numbered_ = settle(places.join(names, "node").withColumn("k", F.row_number().over(same)))
+    final = None
+    for depth in range(deepest + 1):
+        own = numbered_.where(F.col("depth") == depth)
+        if final is None:
+            own = own.withColumn("parent", F.col("s"))
+        else:
+            own = own.join(level.select(F.col("node").alias("s"), F.col("final").alias("parent")), "s")
+        place = [F.coalesce(c, F.lit("")) for c in (F.col("parent"), F.col("p"))]
+        level = own.select("node", F.sha2(F.concat_ws("\x1f", "name", *place, F.col("k").cast("string")), 256).alias("final"))
+        level = settle(level) if depth < deepest else level
+        final = level if final is None else final.unionByName(level)
+    final = settle(final)
+    out = rows.join(final.select(F.col("node").alias("s"), F.col("final").alias("sn")), "s", "left").join(final.select(F.col("node").alias("o"), F.col("final").alias("on")), "o", "left")
+    pick = lambda c, k, n: F.when(F.col(k) == "bnode", F.coalesce(n, c)).otherwise(F.col(c)).alias(c)
+    return out.select(pick("s", "s_kind", "sn"), "s_kind", "p", pick("o", "o_kind", "on"), "o_kind", "o_dt", "o_lang", *keep), "computed"
+
+
+def _places(nodes: DataFrame) -> DataFrame | None:
+    """node, s, p (its parent and the way there, if any) and depth: how many blank nodes are above. None where nodes are on a cycle.
+
+    Each round looks twice as far up as the one before it.
+    """
+    above = F.when(F.col("s_kind") == "bnode", F.col("s"))
+    at = settle(nodes.select("node", "s", "p", above.alias("up"), F.when(above.isNotNull(), 1).otherwise(0).alias("depth")))
+    far = 1
+    while True:
+        total, waiting = at.agg(F.count("*"), F.count("up")).first()
+        if not waiting:
+            return at.drop("up")
+        if far > total:
+            return None
+        higher = at.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        at = settle(at.join(higher, "up", "left").select("node", "s", "p", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        far *= 2
+
+
+def _structure(rows: DataFrame, places: DataFrame, deepest: int) -> DataFrame:
+    """node and name: the hash of its sorted triples, with blank objects by their names, from the deepest nodes up."""
+    own = settle(places.select(F.col("node").alias("s"), "depth").join(rows.select("s", "p", "o", "o_kind", "o_dt", "o_lang"), "s", "left"))
+    names = None
+    for depth in range(deepest, -1, -1):
+        lines, value = own.where(F.col("depth") == depth), F.col("o")
         if names is not None:
-            own = own.join(names.select(F.col("node").alias("o"), "name"), "o", "left")
+            lines = lines.join(level.select(F.col("node").alias("o"), "name"), "o", "left")
             value = F.when(F.col("o_kind") == "bnode", F.col("name")).otherwise(F.col("o"))
         line = F.concat_ws("\x1f", "p", value, "o_kind", F.coalesce("o_dt", F.lit("")), F.coalesce("o_lang", F.lit("")))
-        named = settle(own.groupBy(F.col("s").alias("node")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("name")))
-        if named.isEmpty():
-            return rows, "skipped-shared"
-        names = named if names is None else names.unionByName(named)  # one written table for each level
-        todo = nodes.join(names, "node", "left_anti")
-    if names is None:
-        return rows, "computed"
-    # siblings alike: the same parent and predicate lead to equal subtrees, which stay apart by number
-    parents = rows.where("o_kind = 'bnode'").select(F.col("o").alias("node"), "s", "p")
-    alike = names.join(parents, "node", "left").withColumn("k", F.row_number().over(Window.partitionBy("name", graph, "s", "p").orderBy("node")))
-    final = alike.select("node", F.concat_ws("-", "name", F.when(F.col("k") > 1, F.col("k").cast("string"))).alias("name"))
-    out = rows.join(final.select(F.col("node").alias("s"), F.col("name").alias("sn")), "s", "left").join(final.select(F.col("node").alias("o"), F.col("name").alias("on")), "o", "left")
-    pick = lambda c, k, n: F.when(F.col(k) == "bnode", F.coalesce(n, c)).otherwise(F.col(c)).alias(c)
-    return out.select(pick("s", "s_kind", "sn"), "s_kind", "p", pick("o", "o_kind", "on"), "o_kind", "o_dt", "o_lang", *keep).distinct(), "computed"
+        level = settle(lines.groupBy(F.col("s").alias("node")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("name")))
+        names = level if names is None else names.unionByName(level)
+    return names
 
 
 def triple_diff(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -98,11 +134,16 @@ def triple_diff(base: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def touched_terms(changed: DataFrame, whole: DataFrame) -> DataFrame:
-    """IRIs that own changed triples, through any number of blank nodes. whole: both graphs' triples."""
+    """IRIs that own changed triples, through any number of blank nodes. whole: both graphs' triples.
+
+    Only what is above changed blank nodes is walked.
+    """
     direct = changed.where("s_kind = 'iri'").select(F.col("s").alias("iri"))
-    inner = changed.where("s_kind = 'bnode'").select(F.col("s").alias("node")).distinct()
-    owners = bnode_owners(whole.withColumns({"ns": F.lit(""), "g": F.lit("")}))
-    return direct.unionByName(inner.join(owners, "node").select(F.col("owner").alias("iri"))).distinct()
+    inner = settle(changed.where("s_kind = 'bnode'").select(F.col("s").alias("src")).distinct())
+    links = whole.where("o_kind = 'bnode'").select("s", "s_kind", "o")
+    above = path_star(links.where("s_kind = 'bnode'").select(F.col("o").alias("src"), F.col("s").alias("dst")), inner)
+    owners = links.where("s_kind = 'iri'").join(above.select(F.col("dst").alias("o")).distinct(), "o", "left_semi").select(F.col("s").alias("iri"))
+    return direct.unionByName(owners).distinct()
 
 
 def modified_terms(base: DataFrame, new: DataFrame) -> DataFrame:

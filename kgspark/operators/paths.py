@@ -115,14 +115,5 @@ def lineage(versions: DataFrame) -> DataFrame:
     return seen.join(roots, ["ns", "ancestor"], "left").select("ns", "version", "ancestor", "depth", "root")
 
 
-def bnode_owners(quads: DataFrame) -> DataFrame:
-    """node and owner: the IRIs that lead to each blank node through blank nodes."""
-    links = quads.where("o_kind = 'bnode'").select("ns", "g", "s", "s_kind", "o")
-    up = links.where("s_kind = 'bnode'").select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    direct = links.where("s_kind = 'iri'").select(F.col("s").alias("owner"), F.col("o").alias("node")).distinct()
-    deeper = path_plus(up).select(F.col("src").alias("node"), F.col("dst").alias("below"))
-    return direct.unionByName(direct.join(deeper, "node").select("owner", F.col("below").alias("node"))).distinct()
-
-
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import terms as T
 from kgspark.operators.lifecycle import deprecated_terms
+from kgspark.sources import snapshots
 
 # Term types, and the constants of search.
 TERM_TYPES = (T.OWL + "Class", T.OWL + "ObjectProperty", T.OWL + "DatatypeProperty", T.OWL + "AnnotationProperty", T.RDF + "Property")
@@ -135,13 +136,27 @@ def embedding_validate(rows: DataFrame, dim: int) -> DataFrame:
     return rows.select("iri", fault.alias("fault")).where("fault is not null")
 
 
-def rebuild_embeddings(quads: DataFrame, ns: str, version: str, embed: Callable[[list[str]], list[list[float]]], model: str, path: str, batch: int = 64) -> None:
-    """Replaces all embeddings of a namespace in a table by those of one revision's term texts; embed gets up to `batch` texts."""
+#: The table of embeddings.
+EMBEDDINGS = "iri string, source_text string, truncated boolean, deprecated boolean, embedding array<float>, built_from_version string, model string, ns string"
+
+
+def rebuild_embeddings(quads: DataFrame, ns: str, version: str, embed: Callable[[list[str]], list[list[float]]], model: str, path: str, batch: int = 64) -> int:
+    """Replaces all embeddings of a namespace in a table by those of one revision's term texts, and gives the commit's number.
+
+    embed gets up to `batch` texts. A revision without terms leaves none. Readers see the old rows until all new ones are
+    written; where embed fails they stay.
+    """
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts = part.tolist()
             yield pd.Series([v for a in range(0, len(texts), batch) for v in embed(texts[a : a + batch])])
 
-    rows = term_texts(quads).withColumn("embedding", F.pandas_udf(run, "array<float>")("source_text")).withColumns({"built_from_version": F.lit(version), "model": F.lit(model), "ns": F.lit(ns)})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ns").parquet(path)
+    made = F.pandas_udf(run, "array<float>")("source_text")
+    rows = term_texts(quads).withColumns({"embedding": made, "built_from_version": F.lit(version), "model": F.lit(model), "ns": F.lit(ns)})
+    return snapshots.replace(rows, path, ("ns",), [(ns,)])
+
+
+def embeddings(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
+    """The rows of a table that rebuild_embeddings made, now or as of a commit."""
+    return snapshots.current(spark, path, EMBEDDINGS, ("ns",), until)

@@ -51,13 +51,14 @@ def c03(spark, sf_dir):
 SHAPE = f"'{D.BASE}C' || p_partkey || 'S'"
 COUNT = "CASE p_partkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE 'many' END"
 PATH = f"'{D.BASE}q' || (p_partkey % 30)"
-NODE = D.bnode_name((T.SH + "minCount", f"({COUNT})", "literal"), (T.SH + "path", PATH, "iri"))
+NODE = D.bnode_final(D.bnode_name((T.SH + "minCount", f"({COUNT})", "literal"), (T.SH + "path", PATH, "iri")), SHAPE, T.SH + "property")
+BARE = D.bnode_final("sha256(chr(31))", SHAPE, T.SH + "targetClass")
 
 
 @query(
     "c04_canonical_bnodes",
-    f"""SELECT {SHAPE} AS s, '{T.TYPE}' AS p, '{T.SH}NodeShape' AS o FROM part UNION SELECT {SHAPE}, '{T.SH}targetClass', CASE WHEN p_partkey % 5 = 0 THEN sha256(chr(31)) ELSE '{D.BASE}C' || p_partkey END FROM part
-  UNION SELECT {SHAPE}, '{T.SH}property', {NODE} FROM part UNION SELECT {NODE}, '{T.SH}path', {PATH} FROM part UNION SELECT {NODE}, '{T.SH}minCount', {COUNT} FROM part""",
+    f"""SELECT {SHAPE} AS s, '{T.TYPE}' AS p, '{T.SH}NodeShape' AS o FROM part UNION ALL SELECT {SHAPE}, '{T.SH}targetClass', CASE WHEN p_partkey % 5 = 0 THEN {BARE} ELSE '{D.BASE}C' || p_partkey END FROM part
+  UNION ALL SELECT {SHAPE}, '{T.SH}property', {NODE} FROM part UNION ALL SELECT {NODE}, '{T.SH}path', {PATH} FROM part UNION ALL SELECT {NODE}, '{T.SH}minCount', {COUNT} FROM part""",
 )
 def c04(spark, sf_dir):
     from kgspark.plans.quality import shaped

@@ -122,16 +122,22 @@ def bnode_name(*lines: tuple[str, str, str]) -> str:
     return "sha256(" + " || chr(10) || ".join(f"'{p}' || chr(31) || {o} || chr(31) || '{kind}' || chr(31) || chr(31)" for p, o, kind in lines) + ")"
 
 
+def bnode_final(name: str, parent: str, p: str, k: str = "'1'") -> str:
+    """SQL for a blank node's name in its place: the structure's name, the parent, the predicate and the number among equal siblings."""
+    return f"sha256({name} || chr(31) || {parent} || chr(31) || '{p}' || chr(31) || {k})"
+
+
 def _described_sql(name: str, keep: str, depth: str) -> str:
     leaf, inner = (BASE + "depth", "d", "literal"), (BASE + "inner", "c", "bnode")
     return f"""{name}_p AS (SELECT '{BASE}p' || p_partkey AS iri, p_partkey AS k, CAST(({depth}) % 8 AS VARCHAR) AS d, CASE WHEN p_partkey % 3 = 0 THEN {bnode_name((BASE + "note", "'n' || (p_partkey % 2)", "literal"))} END AS c FROM part WHERE {keep}),
-  {name}_n AS (SELECT *, CASE WHEN c IS NULL THEN {bnode_name(leaf)} ELSE {bnode_name(leaf, inner)} END AS one FROM {name}_p), {name}_t AS (SELECT *, unnest(CASE WHEN k % 4 = 0 THEN [one, one || '-2'] ELSE [one] END) AS n FROM {name}_n),
-  {name}_all AS (SELECT s, 'iri' AS s_kind, p, o, o_kind FROM {name} UNION SELECT iri, 'iri', '{BASE}has', n, 'bnode' FROM {name}_t UNION SELECT n, 'bnode', '{BASE}depth', d, 'literal' FROM {name}_t
-  UNION SELECT n, 'bnode', '{BASE}inner', c, 'bnode' FROM {name}_t WHERE c IS NOT NULL UNION SELECT c, 'bnode', '{BASE}note', 'n' || (k % 2), 'literal' FROM {name}_t WHERE c IS NOT NULL)"""
+  {name}_n AS (SELECT *, CASE WHEN c IS NULL THEN {bnode_name(leaf)} ELSE {bnode_name(leaf, inner)} END AS one FROM {name}_p), {name}_k AS (SELECT *, unnest(CASE WHEN k % 4 = 0 THEN ['1', '2'] ELSE ['1'] END) AS twin FROM {name}_n),
+  {name}_u AS (SELECT *, {bnode_final("one", "iri", BASE + "has", "twin")} AS n FROM {name}_k), {name}_t AS (SELECT *, {bnode_final("c", "n", BASE + "inner")} AS below FROM {name}_u),
+  {name}_all AS (SELECT s, 'iri' AS s_kind, p, o, o_kind FROM {name} UNION ALL SELECT iri, 'iri', '{BASE}has', n, 'bnode' FROM {name}_t UNION ALL SELECT n, 'bnode', '{BASE}depth', d, 'literal' FROM {name}_t
+  UNION ALL SELECT n, 'bnode', '{BASE}inner', below, 'bnode' FROM {name}_t WHERE c IS NOT NULL UNION ALL SELECT below, 'bnode', '{BASE}note', 'n' || (k % 2), 'literal' FROM {name}_t WHERE c IS NOT NULL)"""
 
 
 DESCRIBED = f"""{REVISIONS}, {_described_sql("base", "p_partkey % 10 <> 0", "p_size")}, {_described_sql("new", "p_partkey % 7 <> 0", "p_size + CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 0 END")},
-  diff AS (SELECT *, 'base' AS side FROM (SELECT * FROM base_all EXCEPT SELECT * FROM new_all) UNION ALL SELECT *, 'new' FROM (SELECT * FROM new_all EXCEPT SELECT * FROM base_all)),
+  diff AS (SELECT *, 'base' AS side FROM (SELECT * FROM base_all EXCEPT ALL SELECT * FROM new_all) UNION ALL SELECT *, 'new' FROM (SELECT * FROM new_all EXCEPT ALL SELECT * FROM base_all)),
   links AS (SELECT s, s_kind, o FROM base_all WHERE o_kind = 'bnode' UNION SELECT s, s_kind, o FROM new_all WHERE o_kind = 'bnode'), near AS (SELECT s AS owner, o AS node FROM links WHERE s_kind = 'iri'),
   owners AS (SELECT * FROM near UNION SELECT owner, links.o FROM near JOIN links ON links.s = node AND links.s_kind = 'bnode'),
   changed AS (SELECT s FROM (SELECT s FROM diff WHERE s_kind = 'iri' UNION SELECT owner FROM diff JOIN owners ON s = node WHERE s_kind = 'bnode') INTERSECT SELECT s FROM base INTERSECT SELECT s FROM new)"""

@@ -201,11 +201,49 @@ def s03(spark, sf_dir):
 
     path = f"{P.scratch(spark)}/graphs-{uuid4().hex}"
     quads = two_graphs(spark, sf_dir)
-    S.write_graph(quads, path)
-    S.write_graph(quads.where("g = 'https://e.example/graph/even'").withColumn("o", F.concat(F.upper("o"), F.lit("!"))), path)
+    S.write_graphs(quads, path)
+    S.write_graph(quads.where(F.col("g") == EVEN).withColumn("o", F.concat(F.upper("o"), F.lit("!"))), path, D.NS, EVEN)
     return S.read_graphs(spark, path).where(F.col("ns") == D.NS).select("g", "s", "o")
 
 
+EVEN, ODD = "https://e.example/graph/even", "https://e.example/graph/odd"
+KEPT = f"SELECT {TWO} AS g, {D.cust('c_custkey')} AS s, c_mktsegment AS o FROM customer WHERE c_mktsegment <> 'BUILDING'"
+
+
+def stored(spark, sf_dir):
+    """The two graphs in a table, and its path."""
+    from uuid import uuid4
+
+    path = f"{P.scratch(spark)}/graphs-{uuid4().hex}"
+    S.write_graphs(two_graphs(spark, sf_dir), path)
+    return path
+
+
+@query("s03_put_empty_graph", f"SELECT * FROM ({KEPT}) WHERE g <> '{EVEN}'")
+def s03_empty(spark, sf_dir):
+    """One of two graphs is replaced by an empty one."""
+    path = stored(spark, sf_dir)
+    S.write_graph(two_graphs(spark, sf_dir).limit(0), path, D.NS, EVEN)
+    return S.read_graphs(spark, path).select("g", "s", "o")
+
+
+@query("s03_read_as_of", KEPT)
+def s03_until(spark, sf_dir):
+    """The table as it was before a graph was replaced."""
+    path = stored(spark, sf_dir)
+    S.write_graph(two_graphs(spark, sf_dir).where(F.col("g") == ODD), path, D.NS, EVEN)
+    return S.read_graphs(spark, path, until=1).select("g", "s", "o")
+
+
+@query("s04_delete_stored_graph", f"SELECT * FROM ({KEPT}) WHERE g <> '{ODD}'")
+def s04_stored(spark, sf_dir):
+    """One of two graphs is removed from the table, and one that isn't there."""
+    path = stored(spark, sf_dir)
+    S.delete_graph(spark, path, D.NS, ODD)
+    S.delete_graph(spark, path, D.NS, "urn:absent")
+    return S.read_graphs(spark, path).select("g", "s", "o")
+
+
 @query("s04_drop_graph", f"SELECT {D.cust('c_custkey')} AS s, c_mktsegment AS o FROM customer WHERE c_custkey % 2 = 1 AND c_mktsegment <> 'BUILDING'")
 def s04(spark, sf_dir):
     return S.drop_graph(two_graphs(spark, sf_dir), D.NS, "https://e.example/graph/even").select("s", "o")

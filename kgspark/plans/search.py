@@ -95,17 +95,36 @@ def r08(spark, sf_dir):
     return row.select("hits", F.array_join("deprecated_hits", ",").alias("deprecated_hits"), "conclusive")
 
 
-@query("r09_rebuild_embeddings", f"WITH {D.REVISIONS} SELECT s AS iri, CAST(length(s) - {len(D.BASE)} AS INTEGER) AS first, '1.1.0' AS built_from_version FROM new GROUP BY s")
-def r09(spark, sf_dir):
-    """A namespace is built from one revision, then replaced by the next. The model gives the length of the local name."""
+def first_length(texts: list[str]) -> list[list[float]]:
+    """A model that gives the length of the local name."""
+    return [[float(len(t.split(" / ")[0]))] for t in texts]
+
+
+def rebuilt(spark, revisions) -> str:
+    """The table of embeddings after each (namespace, version, quads) was built in turn."""
     from uuid import uuid4
 
     from kgspark.operators.paths import scratch
 
     path = f"{scratch(spark)}/embeddings-{uuid4().hex}"
-    for new, version in ((False, "1.0.0"), (True, "1.1.0")):
-        R.rebuild_embeddings(D.revision(spark, sf_dir, new), D.NS, version, lambda texts: [[float(len(t.split(" / ")[0]))] for t in texts], "length", path)
-    return spark.read.parquet(path).where(F.col("ns") == D.NS).select("iri", F.col("embedding")[0].cast("int").alias("first"), "built_from_version")
+    for ns, version, quads in revisions:
+        R.rebuild_embeddings(quads, ns, version, first_length, "length", path)
+    return path
+
+
+@query("r09_rebuild_embeddings", f"WITH {D.REVISIONS} SELECT s AS iri, CAST(length(s) - {len(D.BASE)} AS INTEGER) AS first, '1.1.0' AS built_from_version FROM new GROUP BY s")
+def r09(spark, sf_dir):
+    """A namespace is built from one revision, then replaced by the next."""
+    path = rebuilt(spark, [(D.NS, "1.0.0", D.revision(spark, sf_dir, False)), (D.NS, "1.1.0", D.revision(spark, sf_dir, True))])
+    return R.embeddings(spark, path).select("iri", F.col("embedding")[0].cast("int").alias("first"), "built_from_version")
+
+
+@query("r09_rebuild_by_none", f"WITH {D.REVISIONS} SELECT 'other' AS ns, s AS iri, '1.0.0' AS built_from_version FROM base GROUP BY s")
+def r09_none(spark, sf_dir):
+    """Two namespaces are built, then one of them from a revision that has no terms."""
+    base = D.revision(spark, sf_dir, False)
+    path = rebuilt(spark, [(D.NS, "1.0.0", base), ("other", "1.0.0", base), (D.NS, "1.1.0", base.where(F.col("p") == T.LABEL))])
+    return R.embeddings(spark, path).select("ns", "iri", "built_from_version")
 
 
 @query("r10_embedding_validate", f"SELECT '{D.BASE}p' || vec_id AS iri, CASE WHEN vec_id % 7 = 0 THEN 'missing' WHEN vec_id % 5 = 0 THEN 'dimension' ELSE 'gap' END AS fault FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 5 = 0 OR vec_id % 11 = 0")

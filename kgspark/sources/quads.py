@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.sources import snapshots
+
 COLUMNS = ("ns", "g", "s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
 SCHEMA = ", ".join(f"{c} string" for c in COLUMNS)
 TERM = ("o", "o_kind", "o_dt", "o_lang")
+#: What names a graph in a table.
+BY = ("ns", "g")
 
 _NODE = r'<([^<>"{}|^`\\\x00-\x20]*)>|_:([^\s<>"]+)'
 _LINE = rf'\A\s*(?:{_NODE})\s*<([^<>"{{}}|^`\\\x00-\x20]*)>\s*(?:{_NODE}|"([^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+)"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?\z'
@@ -71,16 +75,30 @@ def write_ntriples(quads: DataFrame, path: str) -> None:
     quads.select(ntriples(quads).alias("value")).write.text(path)
 
 
-def write_graph(quads: DataFrame, path: str) -> None:
-    """Replaces the graphs (ns, g) that quads has rows of; other graphs in the table stay. The default graph is g = ''."""
-    rows = quads.select(*COLUMNS).distinct().withColumn("g", F.when(F.col("g") == "", "-").otherwise(F.concat(F.lit("="), "g")))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ns", "g").parquet(path)
+def write_graph(quads: DataFrame, path: str, ns: str, g: str = "") -> int:
+    """Makes quads the whole of one graph of a table, and gives the commit's number; other graphs stay.
+
+    No quads make the graph empty, which is as if it weren't there. The names ns and g of the quads are replaced by those
+    given. Readers see the graph as it was until the commit. The default graph is g = ''.
+    """
+    rows = quads.withColumns({"ns": F.lit(ns), "g": F.lit(g)}).select(*COLUMNS).distinct()
+    return snapshots.replace(rows, path, BY, [(ns, g)])
+
+
+def write_graphs(quads: DataFrame, path: str) -> int:
+    """Replaces all the graphs (ns, g) that quads has rows of, in one commit. Their names pass the driver."""
+    rows = quads.select(*COLUMNS).distinct()
+    return snapshots.replace(rows, path, BY, [tuple(r) for r in rows.select(*BY).distinct().collect()])
+
+
+def read_graphs(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
+    """Quads of a table that write_graph made, now or as of a commit; filters on ns and g reach the files."""
+    return snapshots.current(spark, path, SCHEMA, BY, until)
 
 
-def read_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """Quads of a table that write_graph made; a filter on ns prunes partitions."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    return rows.withColumn("g", F.when(F.col("g") == "-", "").otherwise(F.expr("substring(g, 2)"))).select(*COLUMNS)
+def delete_graph(spark: SparkSession, path: str, ns: str, g: str = "") -> int:
+    """Removes one graph of a table; a graph that isn't there is no error."""
+    return snapshots.drop(spark, path, [(ns, g)])
 
 
 def drop_graph(quads: DataFrame, ns: str, g: str) -> DataFrame:

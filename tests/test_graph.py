@@ -1,12 +1,16 @@
 """Patterns, paths, files and mapping on small graphs."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from kgspark.functions import terms as T
 from kgspark.operators import mapping as M
 from kgspark.operators import paths as P
 from kgspark.operators import pattern as G
 from kgspark.sources import quads as S
+from kgspark.sources import snapshots
 from tests.conftest import rows
 
 EX = "https://e.example/r#"
@@ -153,14 +157,58 @@ def test_ntriples_round_trip(spark, tmp_path):
 
 def test_graphs_are_replaced_alone(spark, tmp_path):
     path = f"{tmp_path}/graphs"
-    S.write_graph(graph(spark, ("a", "p", "b")).unionByName(graph(spark, ("a", "p", "c"), g="urn:g/1")).unionByName(graph(spark, ("x", "p", "y"), ns="m")), path)
-    S.write_graph(graph(spark, ("a", "p", "d"), g="urn:g/1"), path)
+    S.write_graphs(graph(spark, ("a", "p", "b")).unionByName(graph(spark, ("a", "p", "c"), g="urn:g/1")).unionByName(graph(spark, ("x", "p", "y"), ns="m")), path)
+    S.write_graph(graph(spark, ("a", "p", "d"), g="urn:g/1"), path, "n", "urn:g/1")
     out = S.read_graphs(spark, path)
     assert rows(out.select("ns", "g", "o")) == [("m", "", "y"), ("n", "", "b"), ("n", "urn:g/1", "d")]
     assert rows(S.list_graphs(out, "n")) == [("urn:g/1",)] and S.has_default_graph_content(out, "n") and not S.has_default_graph_content(out, "q")
     assert S.drop_graph(out, "n", "urn:absent").count() == 3
 
 
+def test_snapshots(spark, tmp_path):
+    """Empty puts and drops count, failed puts don't, and earlier commits stay readable until they are cleared."""
+    path = f"{tmp_path}/graphs"
+    assert S.read_graphs(spark, path).count() == 0
+    S.write_graph(graph(spark, ("a", "p", "b"), ("a", "p", "b")), path, "n")
+    S.write_graph(graph(spark, ("a", "p", "c")), path, "n", "urn:g/é 1")
+    assert rows(S.read_graphs(spark, path).select("g", "o")) == [("", "b"), ("urn:g/é 1", "c")]
+    before = S.read_graphs(spark, path).where("g = ''")
+    broken = graph(spark, ("a", "p", "d")).withColumn("o", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        S.write_graph(broken, path, "n")
+    assert rows(S.read_graphs(spark, path).where("g = ''").select("o")) == [("b",)]
+    number = S.write_graph(graph(spark, ("a", "p", "b")).limit(0), path, "n")
+    assert rows(S.read_graphs(spark, path).select("g", "o")) == [("urn:g/é 1", "c")]
+    assert rows(S.read_graphs(spark, path, until=number - 1).select("o")) == [("b",), ("c",)] and before.count() == 1
+    S.delete_graph(spark, path, "n", "urn:g/é 1")
+    S.delete_graph(spark, path, "n", "urn:absent")
+    assert S.read_graphs(spark, path).count() == 0
+    with pytest.raises(ValueError, match="not of the parts"):
+        snapshots.replace(graph(spark, ("a", "p", "b"), ns="m"), path, S.BY, [("n", "")])
+    S.write_graph(graph(spark, ("a", "p", "e")), path, "n")
+    assert snapshots.clear_old(spark, path) > 0
+    assert rows(S.read_graphs(spark, path).select("o")) == [("e",)]
+
+
+def test_snapshots_are_pruned(spark, tmp_path):
+    """Folders of puts that are no more current are not read."""
+    path = f"{tmp_path}/graphs"
+    for i in range(4):
+        S.write_graph(graph(spark, ("a", "p", f"o{i}")), path, "n")
+    out = S.read_graphs(spark, path)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out.select("o")) == [("o3",)] and re.search(r"PartitionFilters: \[[^\]]*put#", plan)
+
+
+def test_two_writers_make_two_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/graphs"
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda i: S.write_graph(graph(spark, ("a", "p", f"o{i}")), path, "n", f"urn:g/{i}"), range(4)))
+    assert sorted(numbers) == [1, 2, 3, 4] and S.read_graphs(spark, path).count() == 4
+
+
 def test_mapping_like_the_three_customers(spark):
     customer = spark.createDataFrame([(1, "A b*~", "gold"), (2, "C/d", "silver"), (3, "é", None)], "id int, full_name string, tier string")
     order = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id int, customer_id int")

@@ -38,7 +38,45 @@ def test_a_thousand_blank_nodes(spark):
     again = [tuple(x.replace("_:a", "_:z") for x in t) for t in reversed(rows_)]
     again[0] = (again[0][0], EX + "size", '"many"')
     summary = json.loads(C.diff_summary(graph(spark, *rows_), graph(spark, *again)).first().summary)
-    assert summary["status"] == "computed" and (summary["triples_added"], summary["triples_removed"], summary["modified"]) == (2, 1, [EX + "T999"])
+    assert summary["status"] == "computed" and (summary["triples_added"], summary["triples_removed"], summary["modified"]) == (2, 2, [EX + "T999"])
+
+
+def counted(spark, base, new):
+    summary = json.loads(C.diff_summary(graph(spark, *base), graph(spark, *new)).first().summary)
+    assert summary["status"] == "computed"
+    return summary["triples_added"], summary["triples_removed"], summary["modified"]
+
+
+def test_equal_nodes_in_other_places_stay_apart(spark):
+    one = [(EX + "T1", "p", "_:a"), ("_:a", "q", '"v"'), (EX + "T2", T.LABEL, '"t"')]
+    assert counted(spark, one, [*one, (EX + "T2", "p", "_:b"), ("_:b", "q", '"v"')]) == (2, 0, [EX + "T2"])
+    assert counted(spark, one, [*one, (EX + "T1", "p2", "_:b"), ("_:b", "q", '"v"')]) == (2, 0, [EX + "T1"])
+    assert counted(spark, one, [*one, (EX + "T1", "p", "_:b"), ("_:b", "q", '"v"')]) == (2, 0, [EX + "T1"])
+    # below blank nodes: each has an equal child, and one more child is as many triples more
+    deep = [(EX + "T1", "p", "_:a"), (EX + "T2", "p", "_:b"), ("_:a", "in", "_:c"), ("_:b", "in", "_:d"), ("_:c", "q", '"v"'), ("_:d", "q", '"v"')]
+    assert counted(spark, deep, [tuple(x.replace("_:", "_:z") for x in t) for t in reversed(deep)]) == (0, 0, [])
+    assert counted(spark, deep[:1] + deep[2:3] + deep[4:5], deep) == (3, 0, [])
+    # nodes that nothing leads to
+    assert counted(spark, [("_:a", "q", '"v"')], [("_:k", "q", '"v"'), ("_:l", "q", '"v"')]) == (1, 0, [])
+
+
+def test_names_count_nodes(spark):
+    """As many canonical triples as there were, whatever repeats."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(6):
+        made = [(EX + f"T{rng.randrange(3)}" if i < 4 else f"_:n{rng.randrange(i)}", f"p{rng.randrange(2)}", f"_:n{i}") for i in range(30)]
+        made += [(f"_:n{rng.randrange(30)}", "q", f'"{rng.randrange(2)}"') for _ in range(20)]
+        made = list(dict.fromkeys(made))
+        other = [tuple(x.replace("_:n", "_:m") for x in t) for t in rng.sample(made, len(made))]
+        a, b, status = C.canonical_pair(graph(spark, *made), graph(spark, *other))
+        assert status == "computed" and a.distinct().count() == len(made) and C.triple_diff(a, b).isEmpty()
+
+
+def test_long_chain_of_blank_nodes(spark):
+    chain = [(EX + "A", "p", "_:n0"), *[(f"_:n{i}", "rest", f"_:n{i + 1}") for i in range(12)]]
+    assert counted(spark, chain, [*chain, ("_:n12", "v", '"1"')])[2] == [EX + "A"]
 
 
 def test_long_lists_are_cut_in_order(spark):

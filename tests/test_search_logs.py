@@ -50,7 +50,16 @@ def test_rebuild_replaces_a_namespace(spark, tmp_path):
     embed = lambda texts: [[float(len(t))] for t in texts]
     for ns, rows_ in (("n", q), ("m", q), ("n", q.where(f"s = '{EX}A'"))):
         R.rebuild_embeddings(rows_, ns, "1.0.0", embed, "len", f"{tmp_path}/e")
-    assert rows(spark.read.parquet(f"{tmp_path}/e").groupBy("ns").count()) == [("m", 2), ("n", 1)]
+    assert rows(R.embeddings(spark, f"{tmp_path}/e").groupBy("ns").count()) == [("m", 2), ("n", 1)]
+    R.rebuild_embeddings(q.limit(0), "m", "1.1.0", embed, "len", f"{tmp_path}/e")
+    assert rows(R.embeddings(spark, f"{tmp_path}/e").select("ns", "iri")) == [("n", EX + "A")]
+
+    def broken(texts):
+        raise OSError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        R.rebuild_embeddings(q, "n", "1.2.0", broken, "len", f"{tmp_path}/e")
+    assert rows(R.embeddings(spark, f"{tmp_path}/e").select("built_from_version")) == [("1.0.0",)]
 
 
 def test_query_forms(spark):
