@@ -20,7 +20,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -31,7 +30,7 @@ from kgspark.llm.common import written
 from kgspark.llm.vocabularies import byte_alphabet
 
 #: Words after which a worker starts anew; of those before, it keeps what it meets again.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Characters of texts whose words are encoded together.
 STEP = 1 << 20
 #: Id pairs that hold at least one in HOT of all rows are joined by broadcast; so at most HOT can be.
@@ -70,30 +69,26 @@ def overlaps(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-class Aligned(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: list[int]  # a << 32 | b of each link
-    groups: str
+#: Numbers of A's tokens, B's tokens and groups; a << 32 | b of each link; and the groups as text.
+Aligned = tuple[int, int, int, tuple[int, ...], str]
 
 
-def align(a: list[int], b: list[int], a_sizes: Iterable[int], b_sizes: Iterable[int]) -> Aligned:
-    """The groups and links of token ids a and b, given each token's bytes."""
-    if len(a) == len(b) == 1:
-        return Aligned(1, 1, 1, [a[0] << 32 | b[0]], f"{a[0]}|{b[0]}")
-    a_ends, b_ends = list(accumulate(a_sizes)), list(accumulate(b_sizes))
+def align(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> Aligned:
+    """The groups and links of token ids a and b, given where each token ends."""
+    if len(a) == 1 or len(b) == 1:
+        pairs = tuple(x << 32 | y for x in a for y in b)
+        return len(a), len(b), 1, pairs, f"{','.join(map(str, a))}|{','.join(map(str, b))}"
     pairs, groups, i, j = [], [], 0, 0
     for i_end, j_end in shared_cuts(a_ends, b_ends):
         i_end, j_end = i_end + 1, j_end + 1
-        if i_end - i == 1:
-            groups.append(f"{a[i]}|{','.join(map(str, b[j:j_end]))}")
-            pairs += [a[i] << 32 | y for y in b[j:j_end]]
+        if i_end - i == j_end - j == 1:
+            groups.append(f"{a[i]}|{b[j]}")
+            pairs.append(a[i] << 32 | b[j])
         else:
             groups.append(f"{','.join(map(str, a[i:i_end]))}|{','.join(map(str, b[j:j_end]))}")
             pairs += [a[i + x] << 32 | b[j + y] for x, y in overlaps(a_ends[i:i_end], b_ends[j:j_end])]
         i, j = i_end, j_end
-    return Aligned(len(a), len(b), len(groups), pairs, ";".join(groups))
+    return len(a), len(b), len(groups), tuple(pairs), ";".join(groups)
 
 
 class Aligner:
@@ -115,17 +110,19 @@ class Aligner:
         joined = re.compile(rf"[^▁]▁|{_LETTER}[.,;:!?]")
         if any(joined.search(p) for p in pieces):
             raise ValueError("a piece joins what a blank or the end of a word divides")
+        if not set(alphabet) <= set(vocabulary):
+            raise ValueError("the byte-level vocabulary lacks bytes")
+        self.a_size, self.b_size = {i: len(x) for i, x in self.a_bytes.items()}, list(map(len, self.b_bytes))
         self.known: dict[str, Aligned | None] = {m: align([vocabulary[m]], [self.b.piece_to_id(m)], [1], [1]) for m in ".,;:!?"}
         self.marks, self.before = dict(self.known), {}
 
     def learn(self, words: list[str]) -> None:
         """Adds the groups of words with their blanks; None where the tokens' bytes are not the word's."""
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        for word, a, b in zip(words, self.a.encode_batch(words, add_special_tokens=False), self.b.encode([w[1:] for w in words], num_threads=1), strict=True):
+        a_bytes, b_bytes, a_size, b_size = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.a_size.__getitem__, self.b_size.__getitem__
+        for word, a, b in zip(words, self.a.encode_batch_fast(words, add_special_tokens=False), self.b.encode([w[1:] for w in words], num_threads=1), strict=True):
             a = a.ids
-            a_parts, b_parts = [a_bytes.get(i, b"") for i in a], [b_bytes[i] for i in b]
-            same = b"".join(a_parts) == b"".join(b_parts) == word.encode()
-            self.known[word] = align(a, b, map(len, a_parts), map(len, b_parts)) if same else None
+            same = b"".join(map(a_bytes, a)) == b"".join(map(b_bytes, b)) == word.encode()
+            self.known[word] = align(a, b, list(accumulate(map(a_size, a))), list(accumulate(map(b_size, b)))) if same else None
 
     def texts(self, texts: list[str | None]) -> Iterator[list[Aligned] | None]:
         """The words' groups of each text; None where the text has no tokens."""
@@ -161,12 +158,13 @@ def aligned(text: Column, a_vocabulary: Broadcast, b_model: Broadcast) -> Column
             rows, pairs, counts, offsets = [], [], [], [0]
             for part in steps(batch):
                 for found in aligner.texts(part):
-                    own = Counter(chain.from_iterable(x.pairs for x in found or ()))
+                    n_a, n_b, n_groups, links_, groups = zip(*found, strict=True) if found else ((),) * 5
+                    own = Counter(chain.from_iterable(links_))
                     pairs += own.keys()
                     counts += own.values()
                     offsets.append(len(pairs))
-                    digest = hashlib.sha256(";".join(x.groups for x in found).encode()).hexdigest() if found else ""
-                    rows.append((*(sum(x[k] for x in found or ()) for k in range(3)), own.total(), digest))
+                    digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if found else ""
+                    rows.append((sum(n_a), sum(n_b), sum(n_groups), own.total(), digest))
             values = pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts, pa.int64())], names=["pair", "n"])
             columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields[:-1])]
             yield pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[n for n, _ in fields])
