@@ -4,65 +4,81 @@ Each task counts word sequences in a shallow trie over word ids whose leaves are
 too large bursts into a node with a container for each next word. When the trie holds too many entries, whole subtrees, the
 largest first, are spilled as sorted runs and leave the trie. Every word starts one sequence, with up to two words after it
 in its piece, so a phrase's count is the sum over the sequences that it begins. Runs are dealt by prefix (language and first
-two words) and merged there, and only counts that can matter stay.
+two words), compressed, and merged in one stream a partition; only counts that can matter come out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import written
 
 LEAST, SHARE, TOP = 10, 50, 2000
-#: Entries of a container before it bursts; entries of a trie, and words that have ids, before subtrees are spilled.
-BURST, ENTRIES, WORDS = 2048, 400_000, 400_000
-#: Rows of a batch of a run.
-BATCH = 20_000
+#: Entries of a container before it bursts; entries of a task's tries, and words that have ids, before subtrees are spilled.
+BURST, ENTRIES, WORDS = 2048, 1_000_000, 400_000
+#: Compressed bytes of runs that a merge holds before it makes one of them; what is left has each phrase once.
+HELD = 32 << 20
 _BITS = 21
 #: Upper-case ASCII letters become lower-case, marks that end pieces become line ends.
 _PLAIN = bytes(10 if chr(i) in ".,;:!?\n\x0b\x0c\r" else i + 32 if 65 <= i <= 90 else i for i in range(256))
-RUN = "lang string, w1 string, w2 string, w3 string, n long"
+RUN = "part int, lang string, run binary"
+COUNTED = "lang string, w1 string, w2 string, w3 string, n long"
+
+#: A phrase's words, and its count.
+Record = tuple[tuple[bytes, ...], int]
 
 
 class Node(dict):
     """Children by word id: nodes or containers."""
 
 
+class Ids(dict):
+    """Ids of words from 1, in the order in which they are met, and the words by id."""
+
+    def __init__(self):
+        self.names = [b""]
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self.names)
+        self.names.append(word)
+        return i
+
+
 class HatTrie:
     """Counts of sequences of up to three words of one language, by ids from 1; 0 is no word."""
 
     def __init__(self, burst: int = BURST):
         self.root, self.burst, self.entries = Node(), burst, 0
 
-    def add(self, a: int, b: int, c: int) -> None:
-        node, key, rest, bits = self.root, a, b << _BITS | c, _BITS
-        while True:
-            child = node.get(key)
+    def add(self, ids: list[int]) -> None:
+        """Counts the sequence that each word of a piece starts. Below the second word there are containers only."""
+        root, burst = self.root, self.burst
+        for a, b, c in zip(ids, [*ids[1:], 0], [*ids[2:], 0, 0], strict=False):
+            child = root.get(a)
             if child is None:
-                child = node[key] = {}
-            if type(child) is Node:  # below the second word there are containers only
-                node, key, rest, bits = child, rest >> bits, rest & (1 << bits) - 1, 0
+                child = root[a] = {}
+            if type(child) is Node:
+                key, child = c, child.setdefault(b, {})
+            else:
+                key = b << _BITS | c
+            count = child.get(key)
+            if count is not None:
+                child[key] = count + 1
                 continue
-            break
-        count = child.get(rest)
-        if count is None:
-            child[rest] = 1
+            child[key] = 1
             self.entries += 1
-            if bits and len(child) > self.burst:
-                node[key] = self._burst(child)
-        else:
-            child[rest] = count + 1
-
-    @staticmethod
-    def _burst(container: dict[int, int]) -> Node:
-        node = Node()
-        for rest, n in container.items():
-            node.setdefault(rest >> _BITS, {})[rest & (1 << _BITS) - 1] = n
-        return node
+            if len(child) > burst and child is root[a]:
+                node = root[a] = Node()
+                for rest, n in child.items():
+                    node.setdefault(rest >> _BITS, {})[rest & (1 << _BITS) - 1] = n
 
     def sizes(self) -> list[tuple[int, int]]:
         """Entries of each first word's subtree, with the word."""
@@ -80,102 +96,175 @@ class HatTrie:
 
 
 class Counter:
-    """HAT-tries by language, with the words' ids."""
+    """HAT-tries by language, with the words' ids; runs are dealt to `parts` partitions."""
 
-    def __init__(self, burst: int = BURST, entries: int = ENTRIES, words: int = WORDS):
-        self.burst, self.most, self.most_words = burst, entries, words
+    def __init__(self, parts: int, burst: int = BURST, entries: int = ENTRIES, words: int = WORDS):
+        self.parts, self.burst, self.most, self.most_words = parts, burst, entries, words
         self.tries: dict[str, HatTrie] = {}
         self.entries = 0
-        self.ids: dict[bytes, int] = {}
-        self.names: list[bytes] = [b""]
+        self.ids = Ids()
 
-    def add(self, lang: str, text: str) -> Iterator[list[tuple]]:
+    def add(self, lang: str, text: str) -> Iterator[tuple[int, str, bytes]]:
         """Counts a text's sequences; yields runs where the tries have become too large."""
         trie = self.tries.get(lang)
         if trie is None:
             trie = self.tries[lang] = HatTrie(self.burst)
         for piece in text.encode().translate(_PLAIN).split(b"\n"):
-            ids, known, before = [], self.ids, trie.entries
-            for word in piece.split():
-                i = known.get(word)
-                if i is None:
-                    i = known[word] = len(self.names)
-                    self.names.append(word)
-                ids.append(i)
-            for a, b, c in zip(ids, [*ids[1:], 0], [*ids[2:], 0, 0], strict=False):
-                trie.add(a, b, c)
+            before = trie.entries
+            trie.add(list(map(self.ids.__getitem__, piece.split())))
             self.entries += trie.entries - before
-            if len(self.names) > self.most_words:  # ids are of three by 21 bits, and names take memory
+            if len(self.ids) > self.most_words:  # ids have 21 bits each, and words take memory
                 yield from self.spill(0)
-                self.ids, self.names = {}, [b""]
+                self.ids = Ids()
             elif self.entries > self.most:
                 yield from self.spill(self.most // 2)
 
-    def spill(self, keep: int) -> Iterator[list[tuple]]:
-        """Runs of whole subtrees, the largest first, until no more than keep entries are left.
-
-        A run is (lang, w1, w2, w3, n) of one language and first word, sorted by the words, with the first word's total (no
-        second word) in front.
-        """
+    def spill(self, keep: int) -> Iterator[tuple[int, str, bytes]]:
+        """(part, lang, run) of whole subtrees, the largest first, until no more than keep entries are left."""
         sizes = sorted(((size, lang, a) for lang, trie in self.tries.items() for size, a in trie.sizes()), reverse=True)
-        for _, lang, a in sizes:
-            if self.entries <= keep:
+        left, taken = self.entries, defaultdict(list)
+        for size, lang, a in sizes:
+            if left <= keep:
+                break
+            left -= size
+            taken[lang].append((self.ids.names[a], a))
+        for lang, firsts in taken.items():
+            runs: list[list[bytes]] = [[] for _ in range(self.parts)]
+            for first, a in sorted(firsts):
+                self._deal(lang, first, self.tries[lang].take(a), runs)
+            yield from ((part, lang, zstandard.compress(b"\n".join(lines), 3)) for part, lines in enumerate(runs) if lines)
+        self.entries = left
+
+    def _deal(self, lang: str, first: bytes, rows: list[tuple[int, int, int]], runs: list[list[bytes]]) -> None:
+        """Adds a subtree's records (see lines()), in order, to the runs of their prefixes' parts: its first word's total, then its sequences."""
+        names, parts, seed = self.ids.names, self.parts, crc32(first, crc32(lang.encode()))
+        own = seed % parts
+        runs[own].append(b"0%b\t%d" % (first, sum([n for _, _, n in rows])))
+        begun, last, seed = {own}, b"", seed + 1 & 0xFFFFFFFF
+        for second, third, n in sorted([(names[b], names[c], n) for b, c, n in rows if b]):
+            if second == last:
+                run.append(b"2%b\t%d" % (third, n))
+                continue
+            part = crc32(second, seed) % parts
+            run, last, words = runs[part], second, b"%b %b" % (second, third) if third else second
+            if part in begun:
+                run.append(b"1%b\t%d" % (words, n))
+            else:
+                begun.add(part)
+                run.append(b"0%b %b\t%d" % (first, words, n))
+
+
+def lines(records: Iterable[Record]) -> Iterator[bytes]:
+    """Sorted records as text: the number of words that are the last record's, the other words, and the count."""
+    before: tuple[bytes, ...] = ()
+    for words, n in records:
+        same = 0
+        for x, y in zip(before, words, strict=False):
+            if x != y:
                 break
-            rows = self.tries[lang].take(a)
-            self.entries -= len(rows)
-            names, first = self.names, self.names[a]
-            run = sorted((names[b], names[c], n) for b, c, n in rows if b)
-            yield [(lang, first, None, None, sum(n for _, _, n in rows)), *((lang, first, b, c or None, n) for b, c, n in run)]
-
-
-def runs(docs: DataFrame, burst: int = BURST, entries: int = ENTRIES, words: int = WORDS) -> DataFrame:
-    """Sorted runs (RUN) of the sequences of docs' texts, by lang (null: und). A null text has none. Rows without words aside from lang count nothing."""
-
-    def batches(runs: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for run in runs:
-            rows += run
-            while len(rows) >= BATCH:
-                yield batch(rows[:BATCH])
-                rows = rows[BATCH:]
-        if rows:
-            yield batch(rows)
+            same += 1
+        yield b"%d%b\t%d" % (same, b" ".join(words[same:]), n)
+        before = words
+
+
+def unpacked(run: bytes) -> Iterator[Record]:
+    before: tuple[bytes, ...] = ()
+    for line in zstandard.decompress(run).split(b"\n"):
+        words, _, n = line.partition(b"\t")
+        same = words[0] - 48
+        before = (*before[:same], words[1:]) if same == 2 else (*before[:same], *words[1:].split(b" "))
+        yield before, int(n)
+
+
+def merged_runs(runs: list[bytes]) -> Iterator[Record]:
+    """The records of sorted runs in order, each once, with its counts summed."""
+    last, total = None, 0
+    for words, n in heapq.merge(*map(unpacked, runs)):
+        if words == last:
+            total += n
+            continue
+        if last is not None:
+            yield last, total
+        last, total = words, n
+    if last is not None:
+        yield last, total
+
+
+def phrases(records: Iterable[Record], least: int) -> Iterator[Record]:
+    """From all sequences of some prefixes, in order: phrases with a count of `least` or more, and, without words, the count of rare words."""
+    rare, prefix, total = 0, None, 0
+    for words, n in records:
+        if len(words) == 1:
+            if n >= least:
+                yield words, n
+            else:
+                rare += n
+            continue
+        if words[:2] != prefix:
+            if total >= least:
+                yield prefix, total
+            prefix, total = words[:2], 0
+        total += n
+        if n >= least and len(words) == 3:
+            yield words, n
+    if total >= least:
+        yield prefix, total
+    if rare:
+        yield (), rare
+
+
+def _runs(docs: DataFrame, parts: int, burst: int = BURST, entries: int = ENTRIES, words: int = WORDS) -> DataFrame:
+    """Sorted runs (RUN) of the sequences of docs' texts, by lang (null: und)."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.binary()).cast(pa.string()) for c in columns[1:4]], pa.array(columns[4], pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(burst, entries, words)
-
-        def spilled() -> Iterator[list[tuple]]:
-            for part in parts:
-                for lang, text in zip(part.column(0), part.column(1), strict=True):
-                    yield from counter.add(lang.as_py(), text.as_py())
-            yield from counter.spill(0)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], names=["part", "lang", "run"])
 
-        return batches(spilled())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(parts, burst, entries, words)
+        for rows in batches:
+            for lang, text in zip(rows.column(0), rows.column(1), strict=True):
+                if spilled := list(counter.add(lang.as_py(), text.as_py())):
+                    yield batch(spilled)
+        if spilled := list(counter.spill(0)):
+            yield batch(spilled)
 
     texts = docs.where("text is not null").select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
     return texts.mapInArrow(count, RUN)
 
 
-def merged(parts: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, w1, w2, w3 and n of each phrase with n >= least, and of each language (w1 null) the number of its words.
+def counted(docs: DataFrame, least: int = LEAST, **sizes: int) -> DataFrame:
+    """lang, w1, w2, w3 and n of each phrase of one to three words with n >= least, and of each language (w1 null) the number of its words.
 
-    Runs are dealt by language and first two words; sequences, phrases of two words and single words are then summed
-    without another exchange. Whole table: two aggregations over the one exchange.
+    The runs of a partition arrive by language; they are held compressed, made one where they exceed HELD, and merged.
     """
-    dealt = parts.repartition("lang", "w1", "w2")
-    triples = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    shorter = triples.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n")).select("lang", "w1", "w2", F.lit(None).cast("string").alias("w3"), "n")
-    counted = triples.where(F.col("w3").isNotNull() & (F.col("n") >= least)).unionByName(shorter.where(F.col("n") >= least))
-    rare = shorter.where(F.col("w2").isNull() & (F.col("n") < least)).groupBy("lang").agg(F.sum("n").alias("n"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def batches(lang: str, runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = list(phrases(merged_runs(runs), least))
+        column = lambda i: pa.array([words[i] if len(words) > i else None for words, _ in rows], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *map(column, range(3)), pa.array([n for _, n in rows], pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, runs, held = None, [], 0
+        for part in parts:
+            for name, run in zip(part.column(1), part.column(2), strict=True):
+                if runs and name.as_py() != lang:
+                    yield from batches(lang, runs)
+                    runs, held = [], 0
+                lang = name.as_py()
+                runs.append(run.as_py())
+                held += len(runs[-1])
+                if held > HELD:
+                    runs, held = [zstandard.compress(b"\n".join(lines(merged_runs(runs))), 3)], 0
+        if runs:
+            yield from batches(lang, runs)
+
+    dealt = _runs(docs, parts, **sizes).repartitionById(parts, F.col("part")).sortWithinPartitions("lang")
+    found = written(dealt.mapInArrow(merge, COUNTED), "phrases")
+    total = found.where("w2 is null").groupBy("lang").agg(F.sum("n").alias("n"))
     none = F.lit(None).cast("string")
-    rare = rare.select("lang", none.alias("w1"), none.alias("w2"), none.alias("w3"), "n")
-    counted = written(counted.unionByName(rare), "phrases")
-    words = counted.where("w2 is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    return counted.where("w1 is not null").unionByName(words.select("lang", none.alias("w1"), none.alias("w2"), none.alias("w3"), "n"))
+    return found.where("w1 is not null").unionByName(total.select("lang", none.alias("w1"), none.alias("w2"), none.alias("w3"), "n"))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -192,7 +281,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     occurrences are dropped. Null texts count nothing, a null lang is `und`, repeated rows count each; other columns are not
     read. Equal scores are ordered by a, then by the phrase's bytes, so there are no ties.
     """
-    counts = merged(runs(docs, **sizes), least)
+    counts = counted(docs, least, **sizes)
     one = counts.where("w1 is not null and w2 is null").select("lang", F.col("w1").alias("x"), F.col("n").alias("one"))
     two = counts.where("w2 is not null and w3 is null").select("lang", "w1", "w2", F.col("n").alias("a"))
     three = counts.where("w3 is not null").select("lang", "w1", "w2", "w3", F.col("n").alias("a"))
