@@ -102,17 +102,49 @@ def path_seq(first: DataFrame, edges: DataFrame) -> DataFrame:
 def lineage(versions: DataFrame) -> DataFrame:
     """ns, version, ancestor and depth of each revision by edited_from. A cycle ends where it closes; an unrecorded parent is no root.
 
-    root is true where the last ancestor's origin is recorded and it has no parent, null where it was not recorded.
+    root is true where the last ancestor's origin is recorded and it has no parent, null where it was not recorded. Each
+    round joins ancestors with ancestors: those at exactly 2^k steps with all within 2^k steps of them. So the rounds grow
+    with the logarithm of the depth, and each pair is made once; only on cycles pairs come again, and the shortest way stays.
     """
-    parent = versions.where("edited_from_recorded and edited_from is not null").select("ns", "version", F.col("edited_from").alias("ancestor"))
+    keys = ["ns", "version", "ancestor"]
+    parent = versions.where("edited_from_recorded and edited_from is not null").select("ns", "version", F.col("edited_from").alias("ancestor")).distinct()
     seen = new = settle(parent.withColumn("depth", F.lit(1)))
+    far = 1
     while not new.isEmpty():
-        step = parent.select("ns", F.col("version").alias("via"), F.col("ancestor").alias("next"))
-        found = new.select("ns", "version", F.col("ancestor").alias("via"), "depth").join(step, ["ns", "via"]).select("ns", "version", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
-        new = settle(found.join(seen, ["ns", "version", "ancestor"], "left_anti"))
-        seen = settle(seen.unionByName(new))
-    roots = versions.select("ns", F.col("version").alias("ancestor"), F.when(F.col("edited_from_recorded"), F.col("edited_from").isNull()).alias("root"))
-    return seen.join(roots, ["ns", "ancestor"], "left").select("ns", "version", "ancestor", "depth", "root")
+        step = seen.select("ns", F.col("version").alias("via"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        ahead = new.where(F.col("depth") == far).select("ns", "version", F.col("ancestor").alias("via"))
+        found = ahead.join(step, ["ns", "via"]).select("ns", "version", F.col("next").alias("ancestor"), (F.lit(far) + F.col("more")).alias("depth"))
+        new = settle(found.groupBy(*keys).agg(F.min("depth").alias("depth")).join(seen, keys, "left_anti"))
+        seen, far = seen.unionByName(new), 2 * far
+    return seen.join(_roots(versions), ["ns", "ancestor"], "left").select("ns", "version", "ancestor", "depth", "root")
+
+
+def origins(versions: DataFrame) -> DataFrame:
+    """ns, version, origin, depth and root: each revision's farthest ancestor (itself, at depth 0, where it has none), by pointer doubling.
+
+    One row a revision, so long histories cost no more than their length times the logarithm of it. Null origin and depth:
+    the revision is on a cycle or below one. A revision must have one parent.
+    """
+    above = F.when(F.col("edited_from_recorded"), F.col("edited_from"))
+    rows = versions.select("ns", "version", above.alias("up")).groupBy("ns", "version").agg(F.min("up").alias("up"))
+    missing = rows.select("ns", F.col("up").alias("version")).where("version is not null").distinct().join(rows, ["ns", "version"], "left_anti")
+    rows = rows.unionByName(missing.withColumn("up", F.lit(None).cast("string")))  # parents without a row of their own
+    at = settle(rows.select("ns", "version", F.coalesce("up", "version").alias("origin"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("up").isNull().alias("done")))
+    far = 1
+    while True:
+        total, done = at.agg(F.count("*"), F.count_if("done")).first()
+        if done == total or far > 2 * total:
+            break
+        higher = at.select("ns", F.col("version").alias("origin"), F.col("origin").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
+        walking = at.where("not done").join(higher, ["ns", "origin"]).select("ns", "version", F.col("next").alias("origin"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"))
+        at, far = settle(at.where("done").unionByName(walking)), 2 * far
+    own = at.join(missing.select("ns", "version"), ["ns", "version"], "left_anti")
+    own = own.select("ns", "version", F.when(F.col("done"), F.col("origin")).alias("origin"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+    return own.join(_roots(versions).withColumnRenamed("ancestor", "origin"), ["ns", "origin"], "left").select("ns", "version", "origin", "depth", "root")
+
+
+def _roots(versions: DataFrame) -> DataFrame:
+    return versions.select("ns", F.col("version").alias("ancestor"), F.when(F.col("edited_from_recorded"), F.col("edited_from").isNull()).alias("root"))
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -48,11 +48,16 @@ def search_vector(terms: DataFrame, query: list[float], k: int) -> DataFrame:
     return rows.where("similarity is not null").orderBy(F.desc("similarity"), "iri").limit(k)
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct trigrams of a text's words, each padded by two spaces before and one after."""
+def trigram_list(text: Column) -> Column:
+    """All trigrams of a text's words in order, repeats included; each word is padded by two spaces before and one after."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}_]+"), 0)
     of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+    return F.flatten(F.transform(words, of))
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct trigrams of a text's words."""
+    return F.array_distinct(trigram_list(text))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -68,38 +73,120 @@ def ordered_trigrams(text: str) -> list[str]:
     return [p[i : i + 3] for w in re.findall(r"\w+", text.lower()) for p in (f"  {w} ",) for i in range(len(p) - 2)]
 
 
-def word_similarity(query: str, text: str) -> float:
-    """The greatest similarity of the query's trigrams with any run of the text's ordered trigrams."""
-    wanted, seen = set(ordered_trigrams(query)), ordered_trigrams(text)
-    if not wanted:
-        return 0.0
-    hits = [i for i, t in enumerate(seen) if t in wanted]
-    best = 0.0
-    for a, i in enumerate(hits):
+def word_similarity(query: str, text: str, least: float = 0.0) -> float:
+    """The greatest similarity of the query's trigrams with any run of the text's ordered trigrams; 0 if below `least`."""
+    return best_run(set(ordered_trigrams(query)), list(enumerate(ordered_trigrams(text))), least)
+
+
+def best_run(wanted: set[str], seen: list[tuple[int, str]], least: float = 0.0, repeats: int = 0) -> float:
+    """The greatest similarity of `wanted` with any run of trigrams (place, trigram) in order; 0 if below `least`.
+
+    Places that are left out of `seen` count as trigrams that are not wanted; at most `repeats` of all places hold a trigram
+    that stood before, and so many are taken off. With all places given, or repeats 0, the result is exact, else a bound from
+    above. A best run begins and ends with a wanted trigram, and its first one does not come again in it. A run is given up
+    when even all wanted trigrams that follow could not make it better: so a start looks at few trigrams, not at the text.
+    """
+    best, whole = least, bool(seen) and len(seen) == seen[-1][0] - seen[0][0] + 1
+    found, follow, later = False, {}, [0] * len(seen)
+    rest: set[str] = set()
+    for at in range(len(seen) - 1, -1, -1):  # how many wanted trigrams there are from here on
+        if seen[at][1] in wanted:
+            rest.add(seen[at][1])
+        later[at] = len(rest)
+    for at in range(len(seen) - 1, -1, -1):
+        place, first = seen[at]
+        if first not in wanted:
+            follow[first] = at
+            continue
+        end, follow[first] = follow.get(first, len(seen)), at
+        most = later[at]
+        if most / len(wanted) < best or (found and most / len(wanted) <= best):
+            continue
         distinct: set[str] = set()
-        shared, at = 0, i
-        for j in hits[a:]:
-            for x in seen[at : j + 1]:
-                if x not in distinct:
-                    distinct.add(x)
-                    shared += x in wanted
-            at = j + 1
-            best = max(best, shared / (len(wanted) + len(distinct) - shared))
-    return best
+        shared = 0
+        for j in range(at, end):
+            trigram = seen[j][1]
+            if trigram not in distinct:
+                distinct.add(trigram)
+                shared += trigram in wanted
+            size = len(distinct) if whole else max(len(distinct), seen[j][0] - place + 1 - repeats)
+            if trigram in wanted:
+                score = shared / (len(wanted) + size - shared)
+                if score > best or (score == best and not found):
+                    best, found = score, True
+            bound = most / (len(wanted) + size - shared)
+            if shared == most or bound < best or (found and bound <= best):
+                break
+    return best if found else 0.0
+
+
+def _wanted(query: str) -> list[str]:
+    if not query.strip():
+        raise ValueError("the query is blank")
+    return sorted(set(ordered_trigrams(query)))
+
+
+def _measured(terms: DataFrame, query: str, threshold: float) -> DataFrame:
+    def measure(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: word_similarity(query, t, threshold)).astype("float64")
+
+    return terms.select("iri", F.pandas_udf(measure, "double")("source_text").alias("similarity"))
 
 
 def search_trigram(terms: DataFrame, query: str, k: int, threshold: float = THRESHOLD) -> DataFrame:
     """iri and similarity of the k best by word similarity, ties by iri. Extents are scanned only for texts that share enough trigrams."""
-    if not query.strip():
-        raise ValueError("the query is blank")
-    need = set(ordered_trigrams(query))
-    wanted = F.array(*[F.lit(x) for x in sorted(need)]) if need else F.array().cast("array<string>")
+    need = _wanted(query)
+    wanted = F.array(*[F.lit(x) for x in need]) if need else F.array().cast("array<string>")
     shared = F.size(F.array_intersect(trigrams(F.col("source_text")), wanted))
+    rows = _measured(terms.where(F.col("source_text").isNotNull() & (shared >= threshold * len(need))), query, threshold)
+    return rows.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "iri").limit(k)
 
-    def measure(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: word_similarity(query, t)).astype("float64")
 
-    rows = terms.where(F.col("source_text").isNotNull() & (shared >= threshold * len(need))).select("iri", F.pandas_udf(measure, "double")("source_text").alias("similarity"))
+#: Folders that the trigrams of an index are dealt to, and parts of each, so that a frequent trigram is not one task's.
+BUCKETS, PARTS = 256, 8
+
+
+def _bucket(trigram: Column) -> Column:
+    return F.pmod(F.xxhash64(trigram), F.lit(BUCKETS)).cast("int")
+
+
+def build_trigram_index(terms: DataFrame, path: str) -> None:
+    """Writes an inverted index of terms (iri, source_text): a folder for each bucket of trigrams, and the texts by iri.
+
+    A posting is (trigram, iri, place, repeats): where the trigram stands in the text's ordered trigrams, and how many of the
+    text's places hold a trigram that stood before. Null texts have none.
+    """
+    rows = terms.where("source_text is not null").select("iri", trigram_list(F.col("source_text")).alias("seen"))
+    rows = rows.withColumn("repeats", F.size("seen") - F.size(F.array_distinct("seen")))
+    rows = rows.select("iri", "repeats", F.posexplode("seen").alias("place", "trigram")).withColumn("bucket", _bucket(F.col("trigram")))
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("iri"), F.lit(PARTS))).sortWithinPartitions("bucket", "trigram", "iri")
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
+    texts = terms.where("source_text is not null").select("iri", "source_text", _bucket(F.col("iri")).alias("bucket"))
+    texts.repartition("bucket").sortWithinPartitions("bucket", "iri").write.partitionBy("bucket").parquet(f"{path}/texts")
+
+
+def search_index(spark: SparkSession, path: str, query: str, k: int, threshold: float = THRESHOLD) -> DataFrame:
+    """search_trigram over an index: only the buckets of the query's trigrams are read.
+
+    Texts with enough of the query's trigrams are candidates. Their places give the similarity itself where a text repeats
+    no trigram, and a bound from above where it does; only the texts whose bound reaches the threshold are then read.
+    """
+    need = _wanted(query)
+    wanted = set(need)
+    one = spark.range(1).select(F.array(*[F.lit(x) for x in need]).cast("array<string>").alias("need"))
+    buckets = [r["b"] for r in one.select(F.explode("need").alias("t")).select(_bucket(F.col("t")).alias("b")).distinct().collect()]
+    postings = spark.read.schema("iri string, repeats int, place int, trigram string, bucket int").parquet(f"{path}/postings")
+    hits = postings.where(F.col("bucket").isin(buckets) & F.col("trigram").isin(need))
+    own = hits.groupBy("iri").agg(F.first("repeats").alias("repeats"), F.array_sort(F.collect_list(F.struct("place", "trigram"))).alias("hits"))
+    own = own.where(F.size(F.array_distinct(F.transform("hits", lambda x: x["trigram"]))) >= threshold * len(need))
+
+    def bounded(hits: pd.Series, repeats: pd.Series) -> pd.Series:
+        return pd.Series([best_run(wanted, [(x["place"], x["trigram"]) for x in h], threshold, r) for h, r in zip(hits, repeats, strict=True)], dtype="float64")
+
+    own = own.select("iri", "repeats", F.pandas_udf(bounded, "double")("hits", "repeats").alias("bound")).where(F.col("bound") >= threshold)
+    texts = spark.read.schema("iri string, source_text string, bucket int").parquet(f"{path}/texts")
+    again = own.where("repeats > 0").select(_bucket(F.col("iri")).alias("bucket"), "iri")
+    rows = _measured(texts.join(again, ["bucket", "iri"]), query, threshold).unionByName(own.where("repeats = 0").select("iri", F.col("bound").alias("similarity")))
     return rows.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "iri").limit(k)
 
 

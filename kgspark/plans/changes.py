@@ -221,6 +221,17 @@ def c17(spark, sf_dir):
     return P.lineage(D.versions(spark, sf_dir))
 
 
+@query(
+    "c17_origins",
+    f"""WITH RECURSIVE {D.VERSIONS}, up AS (SELECT ns, version, version AS origin, 0 AS depth FROM versions
+  UNION SELECT up.ns, up.version, v.edited_from, depth + 1 FROM up JOIN versions v ON v.ns = up.ns AND v.version = up.origin WHERE v.edited_from IS NOT NULL)
+  SELECT up.ns, up.version, origin, depth, CASE WHEN v.edited_from_recorded THEN v.edited_from IS NULL END AS root
+  FROM (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY ns, version ORDER BY depth DESC) = 1) up JOIN versions v ON v.ns = up.ns AND v.version = origin""",
+)
+def c17_origins(spark, sf_dir):
+    return P.origins(D.versions(spark, sf_dir))
+
+
 @query("c18_revision_history", "SELECT source AS ns, doc_id AS revision, max(doc_id) OVER (PARTITION BY source) + 1 AS next_revision FROM documents")
 def c18(spark, sf_dir):
     rows = D.table(spark, sf_dir, "documents").select(F.col("source").alias("ns"), F.col("doc_id").alias("revision"), F.col("text").alias("body"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import terms as T
 from kgspark.operators import pattern as G
 from kgspark.operators import quality as V
+from kgspark.operators import questions as Q
 from kgspark.plans import data as D
 from kgspark.plans.registry import query
 from kgspark.sources import quads as S
@@ -203,6 +204,34 @@ def v10(spark, sf_dir):
     return questions(spark, sf_dir)
 
 
+def nation_questions() -> list[Q.Question]:
+    """Eight questions for each of 25 nations."""
+    out = []
+    for k in range(25):
+        nation = f"{D.DATA}nation/{k}"
+        there, order, segment = ("?c", D.IN, nation), ("?o", D.OF, "?c"), ("?c", D.SEGMENT, "?s")
+        out += [
+            Q.Question(f"a{k}", "non_empty", [there]), Q.Question(f"b{k}", "ask_true", [there, ("?c", D.SEGMENT, "MACHINERY", "literal")]), Q.Question(f"c{k}", "empty", [there], [segment]),
+            Q.Question(f"d{k}", "non_empty", [(nation, T.LABEL, "?l")]), Q.Question(f"e{k}", "non_empty", [there, order]), Q.Question(f"f{k}", "empty", [there, segment], [order]),
+            Q.Question(f"g{k}", "empty", [("?c", D.NAME, f"Customer#{k * k:09d}", "literal")]), Q.Question(f"h{k}", "ask_true", [(nation, T.TYPE, D.NATION), ("?c", D.SEGMENT, "NONE", "literal")]),
+        ]
+    return out
+
+
+@query(
+    "v10_many_questions",
+    """WITH n AS (SELECT range AS k FROM range(25)), c AS (SELECT c_nationkey AS k, c_mktsegment AS seg, c_name AS name, c_custkey IN (SELECT o_custkey FROM orders) AS ordered FROM customer),
+  a AS (SELECT 'a' || k AS id, 'non_empty' AS expect, k IN (SELECT k FROM c) AS passed FROM n UNION ALL SELECT 'b' || k, 'ask_true', k IN (SELECT k FROM c WHERE seg = 'MACHINERY') FROM n
+  UNION ALL SELECT 'c' || k, 'empty', k NOT IN (SELECT k FROM c WHERE seg = 'BUILDING') FROM n UNION ALL SELECT 'd' || k, 'non_empty', k IN (SELECT n_nationkey FROM nation) FROM n
+  UNION ALL SELECT 'e' || k, 'non_empty', k IN (SELECT k FROM c WHERE ordered) FROM n UNION ALL SELECT 'f' || k, 'empty', k NOT IN (SELECT k FROM c WHERE seg <> 'BUILDING' AND NOT ordered) FROM n
+  UNION ALL SELECT 'g' || k, 'empty', printf('Customer#%09d', k * k) NOT IN (SELECT name FROM c) FROM n UNION ALL SELECT 'h' || k, 'ask_true', false FROM n)
+  SELECT id, expect, passed, true AS evaluated FROM a""",
+)
+def v10_many(spark, sf_dir):
+    """200 questions in one scan of the graph."""
+    return Q.ask_all(nation_questions(), D.graph(spark, sf_dir), D.NS)
+
+
 @query("v11_competency_report", f"SELECT bool_and(evaluated AND passed) AS conforms, bool_and(evaluated) AS evaluated_all, coalesce(string_agg(id, ',' ORDER BY id) FILTER (evaluated AND NOT passed), '') AS failed, coalesce(string_agg(id, ',' ORDER BY id) FILTER (NOT evaluated), '') AS not_evaluated FROM {ANSWERS}")
 def v11(spark, sf_dir):
     return V.competency_report(questions(spark, sf_dir)).select("conforms", "evaluated_all", F.array_join("failed", ",").alias("failed"), F.array_join("not_evaluated", ",").alias("not_evaluated"))
