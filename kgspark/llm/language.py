@@ -78,6 +78,8 @@ class Encoder:
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams of the letters, words being set off by a space, and their counts."""
     runs = _RUN.findall(text.lower()) if text else []
+    if not "".join(runs).isalpha():  # numerals such as ½ and Ⅷ are no letters
+        runs = [x for run in runs for x in "".join(c if c.isalpha() else SPACE for c in run).split()]
     if not runs:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     codes = np.frombuffer(f" {SPACE.join(runs)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)

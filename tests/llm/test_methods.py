@@ -541,3 +541,21 @@ def test_mined_verdicts_equal_all_token_sets(spark):
     free = [i for i in range(len(urls)) if out[i].rule is None]
     assert len(free) > 20 and len({out[i].verdict for i in free}) == 2
     assert all(out[i].verdict == plain_verdict(urls[i], urls) for i in free)
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(0, "der die das und ist nicht ein", "de"), (1, "the and that was not with one", "en"), *[(10 + i, t, None) for i, t in enumerate(("½ ²", "Ⅷ ①", "́", "12 ½", "the½and", None, "…"))]]
+    out = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows * 1, "doc_id long, text string, lang string")).collect()}
+    assert [out[10 + i] for i in (0, 1, 2, 3, 5, 6)] == ["und"] * 6 and out[14] != "und"
+
+
+def test_repetitive_texts_and_items(spark):
+    """A long text of one repeated word against a like item takes no longer than its length."""
+    import time
+
+    items = [("i", "a " * 5000), ("j", "b c " * 3000), ("k", "b c " * 2000), ("l", "d e f")]
+    documents = [(1, "a " * 100_000), (2, "c b " * 50_000 + "z"), (3, "b c " * 6 + "z " * 400), (4, "a " * 12), (5, "d e f " * 3)]
+    began = time.time()
+    out = decontamination.judged(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert [(r.n_hit, r.n_items) for r in out] == [(100_000, 1), (100_000, 2), (0, 0), (0, 0), (9, 1)]
