@@ -73,16 +73,43 @@ def shingle_counts(docs: DataFrame, items: list[tuple[str, list[bytes]]]) -> dic
     return {bytes(r["token"]): r["n"] for r in rows}
 
 
-def anchored(items: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int, int, int]]]:
-    """For the rarest shingle of each window: its place in the window, the item's number, and the window's start and length."""
-    out: dict[bytes, list[tuple[int, int, int, int]]] = defaultdict(list)
-    for number, (_, words) in enumerate(items):
-        n = min(WINDOW, len(words))
-        rarity = [(counts.get(x, 0), x) for x in shingles(words)]
-        for start in range(len(words) - n + 1):
-            _, x, at = min((*rarity[start + i], i) for i in range(n - min(SHINGLE, n) + 1))
-            out[x].append((at, number, start, n))
-    return dict(out)
+class Windows:
+    """The items' windows: for the rarest shingle of each, its place in the window, and the window's number.
+
+    Windows with the same words are one, whether of one item or of many; so repetitive items have few.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int]):
+        self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.words: list[list[bytes]] = []
+        self.owners: list[set[str]] = []
+        known: dict[tuple[bytes, ...], int] = {}
+        for item_id, words in items:
+            n = min(WINDOW, len(words))
+            rarity = [(counts.get(x, 0), x) for x in shingles(words)]
+            for start in range(len(words) - n + 1):
+                own = words[start : start + n]
+                number = known.setdefault(tuple(own), len(known))
+                if number == len(self.words):
+                    _, x, at = min((*rarity[start + i], i) for i in range(n - min(SHINGLE, n) + 1))
+                    self.anchors[x].append((at, number))
+                    self.words.append(own)
+                    self.owners.append(set())
+                self.owners[number].add(item_id)
+
+    def hits(self, words: list[bytes], vocabulary: Vocabulary) -> tuple[list[int], set[str]]:
+        """start, end, ... of the words that occurring windows cover, overlaps joined, and the ids of their items."""
+        ranges, found = [], set()
+        for place, token in vocabulary.found(words):
+            for at, number in self.anchors[token]:
+                window, start = self.words[number], place - at
+                if start >= 0 and words[start : start + len(window)] == window:
+                    found.add(number)
+                    if ranges and ranges[-2] <= start <= ranges[-1]:
+                        ranges[-1] = max(ranges[-1], start + len(window))
+                    else:
+                        ranges += (start, start + len(window))
+        return ranges, set().union(*(self.owners[n] for n in found))
 
 
 def merged(ranges: list[int]) -> list[int]:
@@ -100,26 +127,20 @@ def merged_all(ranges: pd.Series) -> pd.Series:
     return ranges.map(lambda x: [] if x is None else merged(list(x)))
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, list[bytes]]], index: dict[bytes, list[tuple[int, int, int, int]]]) -> DataFrame:
+def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
     """docs with the hit words (as merged start, end pairs) and items of this block added to _hits and _items."""
-    shared = docs.sparkSession.sparkContext.broadcast((items, index))
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, anchors = shared.value
-        vocabulary = Vocabulary(anchors)
+        known = shared.value
+        vocabulary = Vocabulary(known.anchors)
         for batch in batches:
             text, hits, found_items, n = batch.column("text"), [], [], []
             for t, h, i in zip(text, batch.column("_hits"), batch.column("_items"), strict=True):
                 words = words_of(t.as_py())
-                ranges, ids = h.as_py(), set(i.as_py())
-                for place, token in vocabulary.found(words):
-                    for at, number, first, length in anchors[token]:
-                        start, end = place - at, place - at + length
-                        if start >= 0 and end <= len(words) and words[start:end] == known[number][1][first : first + length]:
-                            ranges += (start, end)
-                            ids.add(known[number][0])
-                hits.append(merged(ranges))
-                found_items.append(sorted(ids))
+                ranges, ids = known.hits(words, vocabulary)
+                hits.append(merged(h.as_py() + ranges))
+                found_items.append(sorted(ids.union(i.as_py())))
                 n.append(len(words))
             new = {"_hits": pa.array(hits, pa.list_(pa.int32())), "_items": pa.array(found_items, pa.list_(pa.string())), "_n_words": pa.array(n, pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(f.name)) for f in batch.schema], names=batch.schema.names)
@@ -150,12 +171,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     for i, block in enumerate(item_blocks(benchmark, block_bytes)):
         items = item_words(block)
         if i == 0:
-            out = _scan(out, items, anchored(items, shingle_counts(docs, items)))
+            out = _scan(out, Windows(items, shingle_counts(docs, items)))
             continue
         if i == 1:
             out = written(out.withColumn("_doc", F.monotonically_increasing_id()), "decontamination")
         texts = out.select("_doc", "text")
-        found = _scan(texts.withColumns(none), items, anchored(items, shingle_counts(texts, items))).where("size(_hits) > 0")
+        found = _scan(texts.withColumns(none), Windows(items, shingle_counts(texts, items))).where("size(_hits) > 0")
         found = written(found.select("_doc", F.col("_hits").alias("_more"), F.col("_items").alias("_others")), "decontamination-hits")
         more = found if more is None else more.unionByName(found)
     if more is None:
