@@ -65,27 +65,121 @@ def edges_of(quads: DataFrame, predicate: str) -> DataFrame:
 def path_plus(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Distinct (src, dst) with a path of one edge or more. starts: a column src to begin at; else every node.
 
-    Each round joins the newest pairs with the edges and keeps those not seen; it ends when none is new, so cycles are
-    no trouble. From all nodes, rounds double the length: pairs join pairs.
+    Each round joins the newest pairs with the edges and keeps those not seen; it ends when none is new, so cycles are no
+    trouble. From all nodes, rounds double the length: pairs join pairs. Large cycles have very many pairs; reach() gives
+    the same without making them.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     if starts is None:
-        edges = seen = new = settle(edges)
-    else:
-        edges = settle(edges)
-        seen = new = settle(edges.join(starts.select("src").distinct(), "src", "left_semi"))
+        return _closure(edges)
+    edges = settle(edges)
+    seen = new = settle(edges.join(starts.select("src").distinct(), "src", "left_semi"))
     while True:
-        step = (seen if starts is None else edges).select(F.col("src").alias("dst"), F.col("dst").alias("far"))
-        found = new.join(step, "dst").select("src", F.col("far").alias("dst"))
-        if starts is None:
-            back = seen.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-            found = found.unionByName(back)
+        found = new.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
         new = settle(found.distinct().join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return seen
         seen = seen.unionByName(new)
 
 
+def reach(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of every node, and (src, dst) of components with a path of one edge or more from one to the other.
+
+    A component is in pairs with itself if it has a cycle. So a cycle of n nodes is n rows and one pair, not n x n pairs.
+    """
+    edges = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    members = settle(components(edges))
+    of = lambda c: members.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    links = settle(edges.join(of("src"), "src").join(of("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
+    return members, _closure(links.where("src <> dst")).unionByName(links.where("src = dst"))
+
+
+def _closure(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst) with a path between them; rounds double the length, as pairs join pairs."""
+    seen = new = settle(edges)
+    while True:
+        found = new.join(seen.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        back = seen.select("src", F.col("dst").alias("mid")).join(new.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        new = settle(found.unionByName(back).distinct().join(seen, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and component: the smallest node among those that reach it and that it reaches, itself included.
+
+    Chains of nodes with one edge in and one out are contracted first, by doubling, so that a long cycle or path takes as
+    many rounds as its length has binary digits. What is left is divided by forward and backward colouring.
+    """
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    nodes = settle(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    edges = settle(edges.where("src <> dst"))
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("outs"), F.lit(0).alias("ins")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("outs"), F.lit(1).alias("ins")))
+    chain = settle(ends.groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins")).where("outs = 1 and ins = 1").select("node"))
+    after = _chain_ends(chain, edges.select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    before = _chain_ends(chain, edges.select(F.col("dst").alias("node"), F.col("src").alias("next")))
+    links = after.where("not open").select("node", F.col("next").alias("dst")).join(before.where("not open").select("node", F.col("next").alias("src")), "node")
+    links = settle(links)  # each chain's nodes with the node before it and the one after it
+    core = nodes.join(chain, "node", "left_anti")
+    inner = edges.join(chain.select(F.col("node").alias("src")), "src", "left_anti").join(chain.select(F.col("node").alias("dst")), "dst", "left_anti")
+    inner = inner.unionByName(links.select("src", "dst")).where("src <> dst").distinct()
+    found = settle(_coloured(settle(core), settle(inner)))
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    through = links.join(of("src"), "src").join(of("dst"), "dst").select("node", F.when(F.col("_src") == F.col("_dst"), F.col("_src")).otherwise(F.col("node")).alias("component"))
+    every = settle(found.unionByName(through).unionByName(after.where("open").select("node", F.col("least").alias("component"))))
+    names = every.groupBy("component").agg(F.min("node").alias("name"))
+    return every.join(names, "component").select("node", F.col("name").alias("component"))
+
+
+def _chain_ends(chain: DataFrame, next_: DataFrame) -> DataFrame:
+    """node, next, least and open of chain nodes: the first node behind the chain, by doubling. Open ones are on a cycle of chain nodes, whose least it gives."""
+    on = chain.select(F.col("node").alias("next"), F.lit(True).alias("more"))
+    open_ = F.coalesce("more", F.lit(False)).alias("open")
+    at = settle(chain.join(next_, "node").join(on, "next", "left").select("node", "next", F.col("node").alias("least"), open_))
+    far = 1
+    while True:
+        total, waiting = at.agg(F.count("*"), F.count_if("open")).first()
+        if not waiting or far > total:
+            return at
+        ahead = at.select(F.col("node").alias("next"), F.col("next").alias("then"), F.col("least").alias("lower"), F.col("open").alias("on"))
+        walked = at.where("open").join(ahead, "next").select("node", F.col("then").alias("next"), F.least("least", "lower").alias("least"), F.col("on").alias("open"))
+        at, far = settle(at.where("not open").unionByName(walked)), 2 * far
+
+
+def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component: each round colours nodes with the least node that reaches them; what of a colour reaches that node is one component.
+
+    Edges between colours, and nodes without edges in or without edges out, are on no cycle and leave.
+    """
+    done, left = None, edges
+    while True:
+        left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = settle(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if left.isEmpty():
+            break
+        colour = settle(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node")))
+        moved = colour
+        while not moved.isEmpty():  # only what changed is sent on
+            sent = left.join(moved.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            both = settle(colour.join(sent, "node", "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"), F.coalesce(F.col("new") < F.col("colour"), F.lit(False)).alias("moved")))
+            colour, moved = both.select("node", "colour"), both.where("moved").select("node", "colour")
+        of = lambda c: colour.select(F.col("node").alias(c), F.col("colour").alias(f"_{c}"))  # noqa: B023, E731
+        same = settle(left.join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select("src", "dst", F.col("_src").alias("colour")))
+        seen = new = settle(colour.where("node = colour"))
+        while not new.isEmpty():
+            back = same.join(new.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            new = settle(back.join(seen, ["node"], "left_anti"))
+            seen = seen.unionByName(new)
+        found = settle(seen.select("node", F.col("colour").alias("component")))
+        done = found if done is None else done.unionByName(found)
+        gone = found.select(F.col("node").alias("src"))
+        left = same.select("src", "dst").join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst")
+    if done is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def path_star(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Distinct (src, dst) with a path of any length: path_plus, and each node with itself (nodes: a column src; else the edges' ends)."""
     own = nodes.select("src") if nodes is not None else edges.select("src").unionByName(edges.select(F.col("dst").alias("src")))

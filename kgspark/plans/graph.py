@@ -127,6 +127,24 @@ def g15(spark, sf_dir):
     return P.path_plus(D.edges(spark, sf_dir))
 
 
+MUTUAL = "mutual AS (SELECT a.src AS node, a.dst AS other FROM plus a JOIN plus b ON a.src = b.dst AND a.dst = b.src)"
+ENDS = "ends AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
+
+
+@query("g15_components", f"WITH RECURSIVE {D.EDGES}, {D.CLOSURE}, {MUTUAL}, {ENDS} SELECT node, least(node, coalesce(min(other), node)) AS component FROM ends LEFT JOIN mutual USING (node) GROUP BY node")
+def g15_components(spark, sf_dir):
+    return P.components(D.edges(spark, sf_dir))
+
+
+@query("g15_reach_counts", f"WITH RECURSIVE {D.EDGES}, {D.CLOSURE} SELECT src AS node, count(*) AS reached FROM plus GROUP BY src")
+def g15_counts(spark, sf_dir):
+    """How many nodes each node reaches, from components and their sizes: the pairs are never made."""
+    members, pairs = P.reach(D.edges(spark, sf_dir))
+    sizes = members.groupBy(F.col("component").alias("dst")).agg(F.count("*").alias("size"))
+    sums = pairs.join(sizes, "dst").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("reached"))
+    return members.join(sums, "component").select("node", "reached")
+
+
 @query("g15_path_star_from", f"WITH RECURSIVE {D.EDGES}, {D.CLOSURE} SELECT dst FROM plus WHERE src = '3' UNION SELECT '3'")
 def g15_from(spark, sf_dir):
     return P.path_star(D.edges(spark, sf_dir), spark.createDataFrame([("3",)], "src string")).select("dst")

@@ -97,6 +97,39 @@ def test_origins_of_cycles_and_unrecorded(spark):
     assert rows(P.lineage(v).select("version", "ancestor", "depth")) == sorted([("a", "b", 1), ("a", "a", 2), ("b", "a", 1), ("b", "b", 2), ("c", "a", 1), ("c", "b", 2), ("e", "d", 1), ("f", "gone", 1)], key=repr)
 
 
+def reachable(pairs):
+    plus = set(pairs)
+    while True:
+        more = {(a, d) for a, b in plus for c, d in plus if b == c} - plus
+        if not more:
+            return plus
+        plus |= more
+
+
+def test_components_and_closure_of_random_graphs(spark):
+    rng = random.Random(9)
+    for n, m in ((6, 5), (8, 10), (12, 14), (14, 30), (20, 21)):
+        pairs = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)}
+        edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+        plus = reachable(pairs)
+        members, pairs = P.reach(edges)
+        made = pairs.join(members.selectExpr("component as src", "node as a"), "src").join(members.selectExpr("component as dst", "node as b"), "dst").select("a", "b")
+        assert rows(made) == sorted(plus) == rows(P.path_plus(edges))
+        nodes = {x for pair in pairs for x in pair}
+        assert rows(P.components(edges)) == sorted((x, min([x, *(y for y in nodes if (x, y) in plus and (y, x) in plus)])) for x in nodes)
+
+
+def test_a_long_cycle_is_one_pair(spark, monkeypatch):
+    n, rounds = 20_000, []
+    settle = P.settle
+    monkeypatch.setattr(P, "settle", lambda df: rounds.append(1) or settle(df))
+    cycle = spark.range(n).selectExpr("id as src", f"(id + 1) % {n} as dst")
+    tail = spark.range(n, 2 * n).selectExpr("id as src", f"case when id = {2 * n - 1} then 0 else id + 1 end as dst")
+    members, pairs = P.reach(cycle.unionByName(tail))
+    assert members.where(f"node < {n}").select("component").distinct().collect()[0][0] == 0 and pairs.where("src = 0 and dst = 0").count() == 1
+    assert members.where(f"node < {n} and component <> 0").isEmpty() and members.where(f"node >= {n} and component <> node").isEmpty()
+
+
 def run_by_run(query, text):
     wanted, seen, best = set(R.ordered_trigrams(query)), R.ordered_trigrams(text), 0.0
     for i in range(len(seen)):
