@@ -212,7 +212,7 @@ def phrase_rows(seed, n):
     return [(i, text(), rng.choice(("en", "en", "de", None, "und"))) for i in range(n)] + [(1, None, "en"), (2, "", None), (3, "new york " * 200, "en"), (3, "new york " * 200, "en"), (None, "w " * 3000, "x y\nz")]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"burst": 3, "entries": 40}, {"burst": 2, "entries": 25, "words": 5}])
+@pytest.mark.parametrize("sizes", [{}, {"burst": 3, "entries": 40, "step": 30}, {"burst": 2, "entries": 25, "words": 5, "step": 7}])
 def test_collocations_like_the_plain_ones(spark, sizes):
     """With tries that burst and spill all the time, too."""
     rows = phrase_rows(1, 120)
@@ -223,22 +223,24 @@ def test_collocations_like_the_plain_ones(spark, sizes):
 
 
 def test_runs_that_are_made_one_while_they_arrive(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "HELD", 200)
     rows = phrase_rows(2, 80)
-    runs = [r for counter in (collocations.Counter(1, 3, 30),) for i, t, lang in rows if lang == "en" for r in counter.add("en", t or "")]
-    held = [collocations.zstandard.compress(b"\n".join(collocations.lines(collocations.merged_runs([r for *_, r in runs]))), 3)]
-    assert list(collocations.merged_runs(held)) == list(collocations.merged_runs([r for *_, r in runs]))
-    assert sorted(map(tuple, collocations.collocations(table(spark, rows), 4).collect())) == plain_collocations(rows, 4, 50, 2000)
+    counter = collocations.Counter(1, burst=3, entries=30, step=20)
+    runs = [r for _, t, lang in rows if lang == "en" for *_, r in counter.add("en", t or "")] + [r for *_, r in counter.finish()]
+    whole, twice = collocations.merged(runs), collocations.merged([collocations.merged(runs[:9]).packed(), *runs[9:]])
+    assert len(runs) > 9 and whole.names == twice.names and all((x == y).all() for x, y in zip((*whole.columns, whole.n), (*twice.columns, twice.n), strict=True))
+    monkeypatch.setattr(collocations, "HELD", 200)
+    assert sorted(map(tuple, collocations.collocations(table(spark, rows), 4, entries=30, step=20).collect())) == plain_collocations(rows, 4, 50, 2000)
 
 
 def test_trie_bursts_and_keeps_counts():
     trie, rng, want = collocations.HatTrie(4), random.Random(1), Counter()
-    for _ in range(300):
-        piece = [rng.randint(1, 6) for _ in range(rng.randint(0, 6))]
-        trie.add(piece)
-        want.update((a, b, c) for a, b, c in zip(piece, [*piece[1:], 0], [*piece[2:], 0, 0], strict=False))
+    for _ in range(60):
+        pieces = [[rng.randint(1, 6) for _ in range(rng.randint(0, 6))] for _ in range(5)]
+        trie.add(np.array([x for p in pieces for x in (*p, 0)], np.int64))
+        want.update((a << 42 | b << 21 | c) for p in pieces for a, b, c in zip(p, [*p[1:], 0], [*p[2:], 0, 0], strict=False))
     assert trie.entries == len(want) and any(type(x) is collocations.Node for x in trie.root.values())
-    assert Counter({(a, b, c): n for a in list(trie.root) for b, c, n in trie.take(a)}) == want and trie.entries == 0
+    keys, counts = trie.take(list(trie.root))
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == want and trie.entries == 0
 
 
 def test_scores_are_exact(spark):
