@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.operators.paths import settle
+from kgspark.sources import snapshots
 
 # Names of relation kinds, and the digest's limit.
 KINDS = {"r": "table", "p": "partitioned-table", "v": "view", "m": "materialized-view", "f": "foreign-table"}
 MAX_COLUMNS = 60
+#: Sources that are read at the same time.
+AT_ONCE = 8
 TABLE, COLUMN = ("schema_name", "table_name"), ("schema_name", "table_name", "column_name")
 
 
@@ -66,6 +70,42 @@ def profile_tables(tables: dict[str, DataFrame], exact: bool = False) -> DataFra
     return out
 
 
+#: Binary logarithm of a sketch's registers: distinct counts are then off by less than 2 % in all but rare cases.
+REGISTERS = 14
+SKETCHES = "table_name string, part string, column_name string, row_count long, null_count long, sketch binary"
+
+
+def sketch_table(df: DataFrame, name: str, part: str) -> DataFrame:
+    """A row (SKETCHES) for each column of one part of a table, from one pass over it: counts, and a mergeable sketch of its values."""
+    value = lambda c: F.col(c) if dict(df.dtypes)[c] in ("int", "bigint", "string", "binary") else F.col(c).cast("string")
+    aggs = [x for i, c in enumerate(df.columns) for x in (F.count_if(F.col(c).isNull()).alias(f"null{i}"), F.hll_sketch_agg(value(c), F.lit(REGISTERS)).alias(f"sketch{i}"))]
+    row = df.agg(F.count("*").alias("row_count"), *aggs)
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"null{i}").alias("null_count"), F.col(f"sketch{i}").alias("sketch")) for i, c in enumerate(df.columns)])
+    rows = row.select("row_count", F.explode(entries).alias("e"))
+    return rows.select(F.lit(name).alias("table_name"), F.lit(part).alias("part"), "e.column_name", "row_count", "e.null_count", "e.sketch")
+
+
+def profile_sketches(sketches: DataFrame) -> DataFrame:
+    """The profile of whole tables (as profile_table gives it, distinct counts approximate) from the sketches of their parts."""
+    rows = sketches.groupBy("table_name", "column_name").agg(F.sum("row_count").alias("row_count"), F.sum("null_count").alias("nulls"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_count"))
+    some = F.col("row_count") > 0
+    return rows.select("table_name", "column_name", "row_count", F.when(some, F.col("nulls") / F.col("row_count")).alias("null_fraction"), "distinct_count", F.when(some, F.col("distinct_count") / F.col("row_count")).alias("distinct_ratio"))
+
+
+def profile_part(df: DataFrame, name: str, part: str, path: str) -> int:
+    """Stores the sketches of one part of a table; only that part is read. A part that is there is replaced, by none too."""
+    return snapshots.replace(sketch_table(df, name, part), path, ("table_name", "part"), [(name, part)])
+
+
+def drop_part(spark: SparkSession, name: str, part: str, path: str) -> int:
+    return snapshots.drop(spark, path, [(name, part)])
+
+
+def stored_profile(spark: SparkSession, path: str) -> DataFrame:
+    """The profile of all tables whose parts are stored, from the sketches alone."""
+    return profile_sketches(snapshots.current(spark, path, SKETCHES, ("table_name", "part")))
+
+
 def list_runs(runs: DataFrame, source: str) -> DataFrame:
     return runs.where(F.col("source") == source).orderBy(F.desc("id"))
 
@@ -101,18 +141,22 @@ def sweep(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> t
     """The union of all sources' observations, and source, status and error of each; a failure doesn't stop the others.
 
     Each source is read once, to the shared folder, so that one which fails while it is read is counted, and leaves
-    nothing behind in the union.
+    nothing behind in the union. Some sources are read at once; the states are in the order of the sources.
     """
-    out, states = None, []
-    for name, read in sources.items():
+    def swept(source: tuple[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, tuple]:
+        name, read = source
         try:
-            rows = settle(read().withColumn("source", F.lit(name)))
+            return settle(read().withColumn("source", F.lit(name))), (name, "succeeded", None)
         except Exception as problem:  # noqa: BLE001
-            states.append((name, "failed", str(problem)[:500]))
-        else:
+            return None, (name, "failed", str(problem)[:500])
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        results = list(pool.map(swept, sources.items()))
+    out = None
+    for rows, _ in results:
+        if rows is not None:
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-            states.append((name, "succeeded", None))
-    return out, spark.createDataFrame(states, "source string, status string, error string")
+    return out, spark.createDataFrame([state for _, state in results], "source string, status string, error string")
 
 
 def sweep_summary(states: DataFrame) -> DataFrame:

@@ -52,6 +52,29 @@ def k04(spark, sf_dir):
     return rows.withColumns({"null_fraction": F.round("null_fraction", 6), "distinct_ratio": F.round("distinct_ratio", 6)})
 
 
+PARTED = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query(
+    "k04_profile_parts",
+    " UNION ALL ".join(f"SELECT 'orders' AS table_name, '{c}' AS column_name, count(*) AS row_count, 0.0 AS null_fraction, true AS near FROM orders" for c in PARTED)
+    + " UNION ALL SELECT 'orders', 'late', count(*), round(avg(CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE 1.0 END), 6), true FROM orders",
+)
+def k04_parts(spark, sf_dir):
+    """Orders are profiled part by part, one part twice; near says whether distinct counts are within 2 % of the exact ones."""
+    from uuid import uuid4
+
+    from kgspark.operators.paths import scratch
+
+    path = f"{scratch(spark)}/sketches-{uuid4().hex}"
+    orders = D.table(spark, sf_dir, "orders").select(*PARTED, F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("late"), "o_orderstatus")
+    for status in "FOPF":
+        K.profile_part(orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), "orders", status, path)
+    exact = K.profile_table(orders.drop("o_orderstatus"), "orders", exact=True).select("column_name", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.02 * F.col("exact")
+    return K.stored_profile(spark, path).join(exact, "column_name").select("table_name", "column_name", "row_count", F.round("null_fraction", 6).alias("null_fraction"), near.alias("near"))
+
+
 @query("k05_latest_succeeded_run", "SELECT 's' || o_custkey AS source, max(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def k05(spark, sf_dir):
     status = F.create_map(*[F.lit(x) for x in ("F", "succeeded", "O", "running", "P", "failed")])[F.col("o_orderstatus")]

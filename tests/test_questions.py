@@ -112,11 +112,12 @@ def test_components_and_closure_of_random_graphs(spark):
         pairs = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)}
         edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
         plus = reachable(pairs)
-        members, pairs = P.reach(edges)
-        made = pairs.join(members.selectExpr("component as src", "node as a"), "src").join(members.selectExpr("component as dst", "node as b"), "dst").select("a", "b")
+        members, between = P.reach(edges)
+        made = between.join(members.selectExpr("component as src", "node as a"), "src").join(members.selectExpr("component as dst", "node as b"), "dst").select("a", "b")
         assert rows(made) == sorted(plus, key=repr) == rows(P.path_plus(edges))
         nodes = {x for pair in pairs for x in pair}
-        assert rows(P.components(edges)) == sorted(((x, min([x, *(y for y in nodes if (x, y) in plus and (y, x) in plus)])) for x in nodes)
+        least = lambda x: min([x, *(y for y in nodes if (x, y) in plus and (y, x) in plus)])  # noqa: B023, E731
+        assert rows(P.components(edges)) == sorted([(x, least(x)) for x in nodes], key=repr)
 
 
 def test_a_long_cycle_is_one_pair(spark, monkeypatch):

@@ -121,6 +121,38 @@ def test_statistics(spark):
     assert [tuple(r) for r in df.select(count, ratio, K.decode_rows(F.col("r"), F.col("a"))).collect()] == [(5, None, 10), (0, None, None), (None, 1.0, None), (None, 0.5, 0), (None, None, None)]
 
 
+def test_profiles_from_sketches_of_parts(spark, tmp_path):
+    """The union of parts is as near to the exact counts as a whole, whatever parts share; an empty part and a dropped one count nothing."""
+    path, rows_ = f"{tmp_path}/sketches", spark.range(60_000).selectExpr("id", "id % 7 as few", "cast(id % 25000 as double) as half", "case when id % 4 = 0 then cast(id as string) end as some")
+    for part, keep in (("a", "id < 20000"), ("b", "id >= 20000 and id < 50000"), ("c", "id >= 50000"), ("none", "false"), ("b", "id >= 15000 and id < 50000"), ("b", "id >= 20000 and id < 50000")):
+        K.profile_part(rows_.where(keep), "t", part, path)
+    exact = {r.column_name: r for r in K.profile_table(rows_, "t", exact=True).collect()}
+    whole = {r.column_name: r for r in K.profile_sketches(K.sketch_table(rows_, "t", "all")).collect()}
+    for r in K.stored_profile(spark, path).collect():
+        want = exact[r.column_name]
+        assert (r.row_count, r.null_fraction) == (want.row_count, want.null_fraction)
+        assert abs(r.distinct_count / want.distinct_count - 1) < 0.02 and abs(r.distinct_count / whole[r.column_name].distinct_count - 1) < 0.02
+        assert abs(r.distinct_ratio - r.distinct_count / 60_000) < 1e-12
+    K.drop_part(spark, "t", "c", path)
+    assert {r.row_count for r in K.stored_profile(spark, path).collect()} == {50_000}
+    for r in K.profile_table(rows_, "t").collect():
+        assert abs(r.distinct_count / exact[r.column_name].distinct_count - 1) < 0.15
+    assert K.profile_sketches(K.sketch_table(rows_.limit(0), "t", "x")).where("null_fraction is not null or distinct_count <> 0").isEmpty()
+
+
+def test_sources_are_read_together_and_in_order(spark):
+    import threading
+
+    gate = threading.Barrier(3, timeout=60)
+
+    def waits():
+        gate.wait()
+        return spark.range(1)
+
+    out, states = K.sweep(spark, {name: waits for name in "cab"})
+    assert [r.source for r in states.collect()] == ["c", "a", "b"] and out.count() == 3
+
+
 def test_relations_and_sweep(spark):
     sql = "select * from a.b join C x on 1=1 left join lateral (select 1 from (select 2 FROM d)) y -- from e"
     assert spark.createDataFrame([(sql,)], "q string").select(T.referenced_relations(F.col("q"))).first()[0] == ["C", "a.b", "d", "e"]
