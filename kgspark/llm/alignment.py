@@ -15,12 +15,14 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ from kgspark.llm.common import written
 from kgspark.llm.vocabularies import byte_alphabet
 
 #: Words after which a worker starts anew; of those before, it keeps what it meets again.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Characters of texts whose words are encoded together.
 STEP = 1 << 20
 #: Id pairs that hold at least one in HOT of all rows are joined by broadcast; so at most HOT can be.
@@ -155,17 +157,17 @@ def aligned(text: Column, a_vocabulary: Broadcast, b_model: Broadcast) -> Column
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         aligner = _aligner(a_vocabulary.value, b_model.value)
         for batch in batches:
-            rows, pairs, counts, offsets = [], [], [], [0]
+            rows, pairs, counts, offsets = [], array("q"), array("q"), [0]
             for part in steps(batch):
                 for found in aligner.texts(part):
                     n_a, n_b, n_groups, links_, groups = zip(*found, strict=True) if found else ((),) * 5
                     own = Counter(chain.from_iterable(links_))
-                    pairs += own.keys()
-                    counts += own.values()
+                    pairs.extend(own.keys())
+                    counts.extend(own.values())
                     offsets.append(len(pairs))
                     digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if found else ""
                     rows.append((sum(n_a), sum(n_b), sum(n_groups), own.total(), digest))
-            values = pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(counts, pa.int64())], names=["pair", "n"])
+            values = pa.StructArray.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (pairs, counts)], names=["pair", "n"])
             columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields[:-1])]
             yield pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[n for n, _ in fields])
 
