@@ -55,22 +55,29 @@ class GraphQuery:
     def _joined(self, rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
         """rows joined with other on the shared variables. A variable that a row leaves unbound fits any value, and takes it.
 
-        Rows with the same unbound variables are joined by equality on the rest of them, so that each part stays a hash join.
+        One join whatever rows leave unbound: other's rows are given for each combination of unbound variables that occurs,
+        with these blanked, and rows meet those of their own combination. So it stays a join by equality.
         """
         shared = [c for c in other.columns if c in rows.columns]
         loose = [c for c in shared if c in self.loose]
-        out = None
-        for free in ([c for i, c in enumerate(loose) if k >> i & 1] for k in range(1 << len(loose))):
-            part, keys = rows, [c for c in shared if c not in free]
-            for c in loose:
-                part = part.where(F.col(c).isNull() if c in free else F.col(c).isNotNull())
-            part = part.drop(*free) if how in ("inner", "left") else part
-            if keys:
-                part = part.join(other, keys, how)
-            else:
-                part = part.crossJoin(other) if how == "inner" else part.join(other, F.lit(True), how)
-            out = part if out is None else out.unionByName(part)
-        return out
+        if not loose:
+            if shared:
+                return rows.join(other, shared, how)
+            return rows.crossJoin(other) if how == "inner" else rows.join(other, F.lit(True), how)
+        free = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in loose])
+        rows = rows.withColumn("_free", free)
+        combinations = rows.select(F.col("_free").alias("_of")).distinct()  # at most two to the number of loose variables
+        new = [c for c in other.columns if c not in shared]
+        blank = lambda c: F.when(F.substring("_of", loose.index(c) + 1, 1) == "0", F.col(c)) if c in loose else F.col(c)
+        given = other.crossJoin(F.broadcast(combinations)).select("_of", *[blank(c).alias(f"_key_{c}") for c in shared], *[F.col(c).alias(f"_own_{c}") for c in (*loose, *new)])
+        on = F.col("_free") == F.col("_of")
+        for c in shared:
+            on = on & (F.col(c).eqNullSafe(F.col(f"_key_{c}")) if c in loose else F.col(c) == F.col(f"_key_{c}"))
+        out = rows.join(given, on, how)
+        if how in ("left_semi", "left_anti"):
+            return out.drop("_free")
+        taken = [F.coalesce(c, f"_own_{c}").alias(c) if c in loose else F.col(c) for c in rows.columns if c != "_free"]
+        return out.select(*taken, *[F.col(f"_own_{c}").alias(c) for c in new])
 
     def _join(self, other: DataFrame, how: str = "inner") -> GraphQuery:
         if self.rows is None:

@@ -98,6 +98,28 @@ def test_numbers_in_ranges(spark):
         assert [r.n for r in P.numbered(made, [F.col("k")], "n", part).orderBy("k").collect()] == list(range(1, 501))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_many_unbound_variables_in_one_join(spark, how):
+    """Six variables that rows may leave unbound, against all pairs of rows, and one join by equality in the plan."""
+    import random
+
+    rng, names = random.Random(4), list("abcdef")
+    left = [tuple(rng.choice(("1", "2", None)) for _ in names) + (f"r{i}",) for i in range(30)]
+    right = [tuple(rng.choice("12") for _ in names) + (f"o{i}",) for i in range(25)]
+    schema = lambda *more: ", ".join(f"{c} string" for c in (*names, *more))
+    query = G.GraphQuery(graph(spark, ("x", "y", "z")), "n", spark.createDataFrame(left, schema("row")), loose=frozenset(names))
+    out = query._join(spark.createDataFrame(right, schema("other")), how).rows
+    want = []
+    for x in left:
+        fits = [y for y in right if all(a in (None, b) for a, b in zip(x[:6], y[:6], strict=True))]
+        want += [(*y[:6], x[6], y[6]) for y in fits] or ([(*x, None)] if how == "left" else [])
+    assert rows(out.select(*names, "row", "other")) == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join (Inner|LeftOuter), .*_free", plan)) == 1 and "Union" not in plan
+    assert rows(query._joined(query.rows, spark.createDataFrame(right, schema("other")), "left_anti").select("row")) == sorted({(x[6],) for x in left if not any(all(a in (None, b) for a, b in zip(x[:6], y[:6], strict=True)) for y in right)}, key=repr)
+    assert "_free" not in out.columns
+
+
 def test_construct_leaves_out_unbound(shop):
     q = G.GraphQuery(shop, "n").match("?c", T.SUBCLASS, "?d").optional("?c", T.LABEL, "?l")
     assert rows(q.construct(("?c", "urn:l", "?l"), ("?d", "urn:k", EX + "Thing"))) == [(EX + "Customer", "urn:k", EX + "Thing"), (EX + "Customer", "urn:l", "顧客"), (EX + "Party", "urn:k", EX + "Thing")]

@@ -65,7 +65,7 @@ def test_names_count_nodes(spark):
     import random
 
     rng = random.Random(3)
-    for _ in range(6):
+    for _ in range(3):
         made = [(EX + f"T{rng.randrange(3)}" if i < 4 else f"_:n{rng.randrange(i)}", f"p{rng.randrange(2)}", f"_:n{i}") for i in range(30)]
         made += [(f"_:n{rng.randrange(30)}", "q", f'"{rng.randrange(2)}"') for _ in range(20)]
         made = list(dict.fromkeys(made))
