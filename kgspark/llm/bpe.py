@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from kgspark.llm.vocabularies import byte_alphabet
 
 #: Words and pieces that a worker remembers, and pairs of tokens.
-REMEMBERED, PAIRS = 60_000, 300_000
+REMEMBERED, PAIRS = 150_000, 300_000
 #: Longer words are encoded each time.
 LONG_WORD = 100
 #: Tokens decoded in one step.
