@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import terms as T
+from kgspark.operators.paths import dealt, settle
 
 # SKOS mapping predicates with their inverses, roles in rising order, and the export's vocabulary.
 INVERSE = {"exactMatch": "exactMatch", "closeMatch": "closeMatch", "broadMatch": "narrowMatch", "narrowMatch": "broadMatch", "relatedMatch": "relatedMatch"}
@@ -121,16 +122,41 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str)
 
 
 def mapping_triples(mappings: DataFrame) -> DataFrame:
-    """Distinct (s, p, o, o_kind) of an export: each SKOS edge, a node that describes it, and the bundle with its count."""
+    """Distinct (s, p, o, o_kind) of an export: each SKOS edge, a node that describes it, and the bundle with its count.
+
+    All triples of a pair of terms are made in one place, from the distinct rows of the pair, so that equal ones meet there and
+    triples are not shuffled. Rows that lack a namespace or a term can share their node with other pairs: they meet by the node.
+    """
     ont, bundle = (lambda x: F.lit(MAPPING_ONT + x)), F.lit(MAPPING_BASE + "export")
-    node = F.concat(F.lit(MAPPING_BASE), F.concat_ws("/", *[T.percent_encode(F.col(c)) for c in ("namespace", "source_term", "target_term")]))
-    skos = F.concat(F.lit(T.SKOS), "predicate")
-    made = [(F.col("source_term"), skos, F.col("target_term"), "iri"), (bundle, ont("includes"), node, "iri"), (node, F.lit(T.TYPE), ont("Mapping"), "iri"), (node, ont("source"), F.col("source_term"), "iri"), (node, ont("target"), F.col("target_term"), "iri"), (node, ont("predicate"), skos, "iri"), (node, ont("declaredIn"), F.col("namespace"), "literal"), (node, ont("declaredBy"), F.col("declared_by"), "literal"), (node, F.lit(T.COMMENT), F.nullif(F.col("reason"), F.lit("")), "literal")]
-    for extra, kind in (("reciprocal", "literal"), ("disputed", "literal"), ("counterpart_predicate", "literal"), ("target_status", "literal"), ("target_successor", "iri"), ("target_status_note", "literal")):
-        if extra in mappings.columns:
-            words = extra.split("_")
-            made.append((node, ont(words[0] + "".join(w.title() for w in words[1:])), F.col(extra).cast("string"), kind))
+    extras = {"reciprocal": "literal", "disputed": "literal", "counterpart_predicate": "literal", "target_status": "literal", "target_successor": "iri", "target_status_note": "literal"}
+    extras = {c: kind for c, kind in extras.items() if c in mappings.columns}
+    mappings = settle(mappings.select("namespace", "source_term", "target_term", "predicate", "declared_by", "reason", *extras))
+    n = mappings.count()
+
+    path = lambda get: F.concat_ws("/", *[T.percent_encode(get(c)) for c in ("namespace", "source_term", "target_term")])
+    named = lambda x: F.concat(F.lit(MAPPING_BASE), path(lambda c: x["m"][c]))
+    key = lambda edge, described, a, b: F.struct(F.lit(edge).alias("edge"), F.lit(described).alias("described"), a.alias("a"), b.alias("b"))
+    whole = F.col("namespace").isNotNull() & F.col("source_term").isNotNull() & F.col("target_term").isNotNull()
+    pair = F.col("source_term"), F.col("target_term")
+    keys = F.when(whole, F.array(key(True, True, *pair))).otherwise(F.array(key(True, False, *pair), key(False, True, path(F.col), F.lit(None).cast("string"))))
+    rows = mappings.select(F.explode(keys).alias("k"), F.struct(*mappings.columns).alias("m")).select("k.*", "m")
+    groups = dealt(rows, n, "a", "b").groupBy("a", "b").agg(F.collect_set(F.struct("edge", "described", "m")).alias("found"))
+
     triple = lambda s, p, o, k: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(k).alias("o_kind"))
-    rows = mappings.select(F.explode(F.array(*[triple(*x) for x in made])).alias("t")).select("t.*").where("o is not null").distinct()
+
+    def made(x: Column, node: Column) -> Column:
+        m = x["m"]
+        skos = F.concat(F.lit(T.SKOS), m["predicate"])
+        about = [(bundle, ont("includes"), node, "iri"), (node, F.lit(T.TYPE), ont("Mapping"), "iri"), (node, ont("source"), m["source_term"], "iri"), (node, ont("target"), m["target_term"], "iri"), (node, ont("predicate"), skos, "iri"), (node, ont("declaredIn"), m["namespace"], "literal"), (node, ont("declaredBy"), m["declared_by"], "literal"), (node, F.lit(T.COMMENT), F.nullif(m["reason"], F.lit("")), "literal")]
+        for extra, kind in extras.items():
+            words = extra.split("_")
+            about.append((node, ont(words[0] + "".join(w.title() for w in words[1:])), m[extra].cast("string"), kind))
+        edge = F.when(x["edge"], triple(m["source_term"], skos, m["target_term"], "iri"))
+        return F.array(edge, *[F.when(x["described"], triple(*t)) for t in about])
+
+    groups = groups.select("found", F.col("found")[0].alias("x")).withColumn("node", named(F.col("x")))  # mostly one row: its triples differ
+    every = F.transform(F.transform("found", lambda x: F.struct(x.alias("x"), named(x).alias("node"))), lambda y: made(y["x"], y["node"]))
+    each = F.when(F.size("found") == 1, made(F.col("x"), F.col("node"))).otherwise(F.array_distinct(F.flatten(every)))
+    triples = groups.select(F.explode(each).alias("t")).select("t.*").where("o is not null")
     count = mappings.agg(F.count("*").alias("n")).select(F.explode(F.array(triple(bundle, F.lit(T.TYPE), ont("MappingExport"), "iri"), triple(bundle, ont("mappingCount"), F.col("n").cast("string"), "literal"))).alias("t")).select("t.*")
-    return rows.unionByName(count)
+    return triples.unionByName(count)

@@ -2,9 +2,12 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from kgspark.functions import terms as T
 from kgspark.operators import crossref as X
 from kgspark.operators import lifecycle as C
+from kgspark.operators import paths as P
 from tests.conftest import rows
 from tests.test_graph import EX, graph
 
@@ -169,3 +172,7 @@ def test_roles_and_owners(spark):
     own = spark.createDataFrame([("n", "t1", "u2"), ("n", "t1", "u1")], "namespace string, term_iri string, principal_id string")
     bosses = spark.createDataFrame([("n", "boss", "owner")], "namespace string, principal_id string, role string")
     assert {r.term_iri: (r.owners, r.via) for r in X.resolve_owner(terms, own, bosses).collect()} == {"t1": (["u1", "u2"], "term"), "t2": (["boss"], "namespace"), "t3": ([], "unresolved")}
+def partitions(df):
+    return df.select(F.spark_partition_id().alias("at")).distinct().count()
+
+
