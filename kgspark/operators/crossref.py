@@ -31,8 +31,11 @@ def inverse(predicate: Column) -> Column:
 
 def compare_counterparts(mappings: DataFrame) -> DataFrame:
     """mappings with counterpart_predicate (of the smallest namespace that declares the reverse), reciprocal and disputed."""
-    back = mappings.groupBy(F.col("target_term").alias("source_term"), F.col("source_term").alias("target_term")).agg(F.min_by("predicate", F.struct("namespace", "predicate")).alias("counterpart_predicate"))
-    out = mappings.join(back, ["source_term", "target_term"], "left")
+    mappings, pair = settle(mappings), ["source_term", "target_term"]
+    n = mappings.count()
+    back = dealt(mappings.select(F.col("target_term").alias("source_term"), F.col("source_term").alias("target_term"), "namespace", "predicate"), n, *pair)
+    back = back.groupBy(*pair).agg(F.min_by("predicate", F.struct("namespace", "predicate")).alias("counterpart_predicate"))
+    out = dealt(mappings, n, *pair).join(back, pair, "left")
     found = F.col("counterpart_predicate").isNotNull()
     return out.select(*mappings.columns, "counterpart_predicate", found.alias("reciprocal"), F.coalesce(F.col("counterpart_predicate") != inverse(F.col("predicate")), F.lit(False)).alias("disputed"))
 

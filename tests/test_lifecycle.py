@@ -176,3 +176,16 @@ def partitions(df):
     return df.select(F.spark_partition_id().alias("at")).distinct().count()
 
 
+def test_mapping_triples_of_odd_rows_are_distinct_and_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_ROWS", 20)
+    schema = "namespace string, source_term string, target_term string, predicate string, declared_by string, reason string"
+    odd = [("n", "a", "b", "exactMatch", "u", "why"), ("n", "a", "b", "exactMatch", "u", "why"), ("n", "a", "b", "closeMatch", "v", ""), ("m", "a", "b", "exactMatch", "u", None), (None, "n", "a", "exactMatch", "u", None), ("n", "a", None, "exactMatch", "u", None), ("n", None, "a", "exactMatch", "u", None)]
+    many = [("n", f"s{i}", f"t{i}", "exactMatch", "u", None) for i in range(200)]
+    out = X.mapping_triples(spark.createDataFrame(odd + many, schema))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and partitions(out) > 6
+    assert ("a", T.SKOS + "exactMatch", "b", "iri") in got and (X.MAPPING_BASE + "export", X.MAPPING_ONT + "mappingCount", "207", "literal") in got
+    assert sum(t[1] == X.MAPPING_ONT + "includes" for t in got) == 203  # n/a/b, m/a/b and n/a, which three rows share
+    assert partitions(X.compare_counterparts(spark.createDataFrame(many, schema))) > 6
+
+
