@@ -189,3 +189,20 @@ def test_mapping_triples_of_odd_rows_are_distinct_and_dealt_by_their_number(spar
     assert partitions(X.compare_counterparts(spark.createDataFrame(many, schema))) > 6
 
 
+def nodes(spark, count, value="many"):
+    rows = [("ns", "", f"s{i}", "iri", "p", f"b{i}", "bnode", None, None) for i in range(count)] + [("ns", "", f"s{i}", "iri", T.TYPE, "c", "iri", None, None) for i in range(count)]
+    rows += [("ns", "", f"b{i}", "bnode", "q", value if i % 3 else "few", "literal", None, None) for i in range(count)]
+    return spark.createDataFrame(rows, "ns string, g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string")
+
+
+def test_triples_of_one_class_are_not_joined_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_ROWS", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, status = C.canonical_bnodes(nodes(spark, 400))
+        assert status == "computed" and out.count() == 1200 and partitions(out.where(F.col("p") == T.TYPE)) > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
