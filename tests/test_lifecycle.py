@@ -172,6 +172,8 @@ def test_roles_and_owners(spark):
     own = spark.createDataFrame([("n", "t1", "u2"), ("n", "t1", "u1")], "namespace string, term_iri string, principal_id string")
     bosses = spark.createDataFrame([("n", "boss", "owner")], "namespace string, principal_id string, role string")
     assert {r.term_iri: (r.owners, r.via) for r in X.resolve_owner(terms, own, bosses).collect()} == {"t1": (["u1", "u2"], "term"), "t2": (["boss"], "namespace"), "t3": ([], "unresolved")}
+
+
 def partitions(df):
     return df.select(F.spark_partition_id().alias("at")).distinct().count()
 
@@ -206,3 +208,12 @@ def test_triples_of_one_class_are_not_joined_in_one_task(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_differences_are_dealt_by_their_number_and_made_once(spark, monkeypatch):
+    base, new = nodes(spark, 60), nodes(spark, 60, "more")
+    monkeypatch.setattr(P, "TASK_ROWS", 20)
+    assert partitions(C.triple_diff(base, new)) > 6
+    calls, settled, diff, settle = [], [], C.triple_diff, C.settle
+    monkeypatch.setattr(C, "triple_diff", lambda *a: calls.append(1) or diff(*a))
+    assert '"modified_count":40' in C.diff_summary(base, new).first()[0] and len(calls) == 1
+    monkeypatch.setattr(C, "settle", lambda df: settled.append(df.columns) or settle(df))
+    assert C.modified_terms(*C.canonical_pair(base, new)[:2]).count() == 40 and ["s", "s_kind"] in settled
