@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import terms as T
-from kgspark.operators.paths import numbered, path_star, settle
+from kgspark.operators.paths import dealt, numbered, path_star, settle
 
 PROBES = 100
+#: A pair of value and class that holds at least one HOT-th of the rows is looked up by broadcast; so at most HOT can be.
+HOT = 1000
 
 
 def objects(quads: DataFrame, predicate: str, value: str, **more: str) -> DataFrame:
@@ -84,18 +86,21 @@ def shacl_validate(shapes: DataFrame, data: DataFrame) -> DataFrame:
     below = path_star(down, named.select(F.col("class").alias("src"))).select(F.col("src").alias("class"), "dst")
     types = data.where(F.col("p") == T.TYPE).select(F.col("s").alias("focus"), F.col("o").alias("dst"))
     member = settle(types.join(below, "dst").select("focus", "class").distinct())
-    at = targets.join(member, "class").select("focus", "shape").distinct().join(props, "shape")
+    n = data.count()
+    at = settle(dealt(targets.join(member, "class").select("focus", "shape"), n, "focus", "shape").distinct().join(props, "shape"))
     values = data.select(F.col("s").alias("focus"), F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
-    has = settle(at.join(values.join(props.select("path").distinct(), "path", "left_semi").distinct(), ["focus", "path"]))
+    values = dealt(values.join(props.select("path").distinct(), "path", "left_semi"), n, "focus", "path").distinct()
+    has = settle(dealt(at, n, "focus", "path").join(values, ["focus", "path"]))
+    own, n = ("focus", "shape", "prop"), max(at.count(), has.count())
 
     keep = lambda df, component, value: df.select("focus", "shape", "prop", "path", component.alias("component"), value.alias("value"))
     none = F.lit(None).cast("string")
     facts = lambda names: shapes.where(F.col("p").isin(*[T.SH + n for n in names])).select(F.col("s").alias("prop"), F.substring_index("p", "#", -1).alias("component"), F.col("o").alias("wanted"))
     found = []
     if used & {"minCount", "maxCount"}:
-        counted = at.join(facts(("minCount", "maxCount")), "prop").join(has.groupBy("focus", "shape", "prop").agg(F.count("*").alias("n")), ["focus", "shape", "prop"], "left")
-        n, limit, least = F.coalesce("n", F.lit(0)), F.col("wanted").try_cast("int"), F.col("component") == "minCount"
-        found.append(keep(counted.where((least & (n < limit)) | (~least & (n > limit))), F.col("component"), none))
+        counted = dealt(at.join(facts(("minCount", "maxCount")), "prop"), n, *own).join(dealt(has.select(*own), n, *own).groupBy(*own).agg(F.count("*").alias("n")), [*own], "left")
+        many, limit, least = F.coalesce("n", F.lit(0)), F.col("wanted").try_cast("int"), F.col("component") == "minCount"
+        found.append(keep(counted.where((least & (many < limit)) | (~least & (many > limit))), F.col("component"), none))
     if "hasValue" in used:
         want = of("hasValue", "value")
         found.append(keep(at.join(want, "prop").join(has.select("focus", "prop", "value").distinct(), ["focus", "prop", "value"], "left_anti"), F.lit("hasValue"), none))
@@ -106,25 +111,45 @@ def shacl_validate(shapes: DataFrame, data: DataFrame) -> DataFrame:
         found.append(keep(has.join(facts(single), "prop").where(violated), F.col("component"), F.col("value")))
     classes = member.select(F.col("focus").alias("value"), F.col("class").alias("wanted"), F.lit(True).alias("is"))
     if "class" in used:
-        judged = has.join(of("class", "wanted"), "prop").join(classes, ["value", "wanted"], "left")
+        judged = _with_members(has.join(of("class", "wanted"), "prop"), classes, n)
         found.append(keep(judged.where((F.col("kind") == "literal") | F.col("is").isNull()), F.lit("class"), F.col("value")))
     if "in" in used:
-        listed = _list_items(shapes, of("in", "head")).select("prop", F.col("item").alias("value"), F.lit(True).alias("is"))
+        listed = settle(_list_items(shapes, of("in", "head")).select("prop", F.col("item").alias("value"), F.lit(True).alias("is")))
         judged = has.join(of("in", "head").select("prop").distinct(), "prop").join(listed, ["prop", "value"], "left")
         found.append(keep(judged.where("is is null"), F.lit("in"), F.col("value")))
     if "or" in used:
-        items = _list_items(shapes, of("or", "head"))
+        items = settle(_list_items(shapes, of("or", "head")))
         dtypes, kinds = of("datatype", "dtype").withColumnRenamed("prop", "item"), of("class", "wanted").withColumnRenamed("prop", "item")
         choice = items.join(dtypes, "item", "left").join(kinds, "item", "left").select("prop", "dtype", "wanted")
         fits = F.coalesce(_typed("value", "kind", "dt", F.col("dtype")), F.lit(False)) | ((F.col("kind") != "literal") & F.col("is").isNotNull())
-        folded = has.join(choice, "prop").join(classes, ["value", "wanted"], "left").groupBy("focus", "shape", "prop", "path", "value", "kind", "dt", "lang").agg(F.bool_or(fits).alias("fits"))
+        judged = _with_members(has.join(choice, "prop"), classes, n)
+        folded = dealt(judged, n, *own).groupBy(*own, "path", "value", "kind", "dt", "lang").agg(F.bool_or(fits).alias("fits"))
         found.append(keep(folded.where("not fits"), F.lit("or"), F.col("value")))
 
     out = at.limit(0).select("focus", "shape", "prop", "path", none.alias("component"), none.alias("value"))
     for x in found:
         out = out.unionByName(x)
     messages = objects(shapes, T.SH + "message", "message").select(F.col("s").alias("prop"), "message").groupBy("prop").agg(F.min("message").alias("message"))
-    return out.join(messages, "prop", "left").select("focus", "shape", "path", "component", "value", "message").distinct()
+    return dealt(out.join(messages, "prop", "left").select("focus", "shape", "path", "component", "value", "message"), n, "focus", "path").distinct()
+
+
+def _with_members(rows: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """rows with classes' column is, by value and wanted: null for literals, where no class is wanted, and for other than members.
+
+    Each pair is looked up once, so that a value that very many rows have is one row there. Frequent pairs come back to
+    the rows by broadcast, the others by a join.
+    """
+    pair = ["value", "wanted"]
+    asked = (F.col("kind") != "literal") & F.col("wanted").isNotNull() & F.col("value").isNotNull()
+    links = rows.where(asked)
+    pairs = settle(links.groupBy(*pair).agg(F.count("*").alias("_n")).join(classes, pair, "left").select(*pair, "_n", "is"))
+    total = pairs.agg(F.sum("_n")).first()[0] or 0
+    often = pairs.where(F.col("_n") * HOT >= total).select(*pair, F.struct("is").alias("_often"))
+    seldom = pairs.where((F.col("_n") * HOT < total) & F.col("is")).select(*pair, "is")
+    links = links.join(F.broadcast(often), pair, "left")
+    judged = links.where("_often is not null").withColumn("is", F.col("_often.is")).select(*rows.columns, "is")
+    judged = judged.unionByName(dealt(links.where("_often is null"), n, *pair).join(dealt(seldom, n, *pair), pair, "left").select(*rows.columns, "is"))
+    return judged.unionByName(rows.where(~F.coalesce(asked, F.lit(False))).withColumn("is", F.lit(None).cast("boolean")))
 
 
 def _list_items(quads: DataFrame, heads: DataFrame) -> DataFrame:

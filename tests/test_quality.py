@@ -1,5 +1,7 @@
 """Shapes, divergence, questions, contradictions and gates."""
 
+from pyspark.sql import functions as F
+
 from kgspark.functions import terms as T
 from kgspark.operators import quality as V
 from tests.conftest import rows
@@ -78,3 +80,12 @@ def test_gate_order_and_unknown(spark):
     cases = [(base, None), (alter(status="draft", shacl_conforms=False), "in-review"), (alter(actor="a"), "two-person"), (alter(shacl_conforms=None), "shacl"), (alter(blocking_problems=1), "deprecation"), (alter(self_revised=True), "criteria-authorship"), (alter(self_revised=True, two_person=False), None), (alter(evaluated_all=False), "competency"), (alter(has_questions=False, questions_conform=False), None)]
     for row, gate in cases:
         assert V.approval_gate(spark.createDataFrame([row], names)).first().gate == gate
+
+
+def test_members_are_looked_up_once_a_value(spark, monkeypatch):
+    monkeypatch.setattr(V, "HOT", 4)
+    rows = [(f"f{i}", "hot" if i % 2 else f"v{i}", "iri", "c") for i in range(400)] + [("l", "hot", "literal", "c"), ("n", "hot", "iri", None)]
+    rows = spark.createDataFrame(rows, "focus string, value string, kind string, wanted string").repartition(4)
+    out = V._with_members(rows, spark.createDataFrame([("hot", "c", True), ("v2", "c", True)], "value string, wanted string, is boolean"), 402)
+    assert out.count() == 402 and {r.focus for r in out.where("is").collect()} == {f"f{i}" for i in range(1, 400, 2)} | {"f2"}
+    assert out.where("value = 'hot' and is").select(F.spark_partition_id()).distinct().count() > 1
