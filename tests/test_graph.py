@@ -241,3 +241,11 @@ def test_mapping_like_the_three_customers(spark):
     assert M.key_of("urn:c/{id}/{full_name}", "urn:c/1/A%20b%2A~") == {"id": "1", "full_name": "A b*~"}
     assert M.key_of("urn:c/{id}", "urn:d/1") is None
     assert rows(M.instances_of(q, EX + "Party", spark.createDataFrame([(EX + "Customer", EX + "Party")], "src string, dst string"))) == rows(M.instances_of(q, EX + "Customer", spark.createDataFrame([], "src string, dst string")))
+
+
+def test_components_of_many_short_cycles_take_few_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"{i:04}", f"{i - i % 4 + (i + 1) % 4:04}") for i in range(1024)], "src string, dst string")
+    calls, settle = [], P.settle
+    monkeypatch.setattr(P, "settle", lambda df: calls.append(1) or settle(df))
+    got = dict(map(tuple, P.components(edges).collect()))
+    assert got == {f"{i:04}": f"{i - i % 4:04}" for i in range(1024)} and len(calls) < 22
