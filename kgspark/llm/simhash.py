@@ -8,8 +8,9 @@ collected to be broadcast: a shard's rows and its tree meet in one task. Each sh
 finds, never all pairs.
 
 keep_one() has no digest contract: it groups texts whose sets of five-word shingles have a similarity of 0.8 or more.
-There about 10 of 64 bits are expected to differ, and no block of a useful width then stays equal, so its candidates
-come from MinHash bands; each candidate group is then compared on whole shingle sets.
+Its candidates are what the BK-trees link, as above. At that similarity about 10 of 64 bits are expected to differ, which no
+tree of bounded work finds, so MinHash bands add the candidates that the trees can't have; each candidate group is then
+compared on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -268,8 +269,8 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def sketches(texts: pd.Series) -> pd.DataFrame:
-    """node, a hash of the text's whole shingle set (0 for an empty one), and the keys of its MinHash bands."""
-    nodes, bands = [], []
+    """node, a hash of the text's whole shingle set (0 for an empty one), the keys of its MinHash bands, and its fingerprint."""
+    nodes, bands, fps = [], [], []
     for text in texts:
         s = shingle_set(text)
         least = np.full(len(FLIPS), 2**64 - 1, dtype=np.uint64)
@@ -277,9 +278,10 @@ def sketches(texts: pd.Series) -> pd.DataFrame:
             least = np.minimum(least, ((s[at : at + 4096, None] ^ FLIPS) * FACTORS).min(axis=0))
         parts = least.reshape(BANDS, BAND_ROWS)
         keys = [xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)] if len(s) else []
+        fps.append(simhash(text))
         nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0)
         bands.append(np.array(keys, dtype=np.uint64).view(np.int64))
-    return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "bands": bands})
+    return pd.DataFrame({"node": np.array(nodes, dtype=np.uint64).view(np.int64), "bands": bands, "fp": np.array(fps, dtype=np.int64)})
 
 
 def alike_groups(sets: list[np.ndarray]) -> np.ndarray:
@@ -379,6 +381,17 @@ def large_links(texts: DataFrame) -> DataFrame:
     return links.unionByName(compared(left.unionByName(right), alike_links, "u long, v long").where("u <> v"))
 
 
+def tree_edges(nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) whose components are those of nodes (node, fp) that the BK-trees link: fingerprints at RADIUS or fewer bits."""
+    fps = written(nodes.groupBy("fp").agg(F.min("node").alias("m"), F.count("*").alias("n")), "copy-fingerprints")
+    found = written(components(near_links(fps.select("fp"))), "fingerprint-groups")
+    linked = written(fps.join(found.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "m", "root"), "linked-fingerprints")
+    roots = written(linked.groupBy("root").agg(F.min("m").alias("least"), F.count("*").alias("members")), "fingerprint-roots")
+    between = attach(linked, roots, "root", "members", linked.count(), "fp").select(F.col("m").alias("u"), F.col("found.least").alias("v"))
+    equal = attach(nodes, fps.where("n > 1"), "fp", "n", nodes.count(), "node").where("found is not null").select(F.col("node").alias("u"), F.col("found.m").alias("v"))
+    return between.unionByName(equal).where("u <> v")
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node) for all rows of docs, and (node, copies): the node of the group, for all distinct shingle sets.
 
@@ -386,14 +399,15 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     them among their candidates. Texts of fewer than COPY_WORDS words are one shingle; null and empty texts are alike.
     """
     key = F.md5(F.coalesce("text", F.lit(""))).alias("key")
-    copy = F.pandas_udf(sketches, "node long, bands array<long>")("text").alias("copy")
+    copy = F.pandas_udf(sketches, "node long, bands array<long>, fp long")("text").alias("copy")
     base = written(docs.select("doc_id", key, F.octet_length("text").alias("n_bytes"), copy), "sketches")
-    base = base.select("doc_id", "key", "n_bytes", F.col("copy.node").alias("node"), F.col("copy.bands").alias("bands"))
-    nodes = written(base.groupBy("node").agg(F.min(F.struct("key", "n_bytes")).alias("one")).select("node", "one.*"), "shingle-sets")
+    base = base.select("doc_id", "key", "n_bytes", F.col("copy.node").alias("node"), F.col("copy.bands").alias("bands"), F.col("copy.fp").alias("fp"))
+    nodes = written(base.groupBy("node").agg(F.min(F.struct("key", "n_bytes", "fp")).alias("one")).select("node", "one.*"), "shingle-sets")
     bands = written(base.select("node", F.explode("bands").alias("band")).distinct(), "bands")
     least = written(bands.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1"), "least-in-bands")
     edges = attach(bands, least, "band", "n", bands.count(), "node").where("found is not null").select(F.col("node").alias("u"), F.col("found.m").alias("v"))
-    found = written(components(edges).join(nodes, "node"), "candidates")
+    edges = edges.unionByName(tree_edges(nodes.select("node", "fp")))
+    found = written(components(edges).join(nodes.drop("fp"), "node"), "candidates")
     sizes = found.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / UNIT_TEXTS), F.ceil(F.sum("n_bytes") / UNIT_BYTES)).alias("parts"))
     found = attach(found, written(sizes, "candidate-groups"), "root", "n", found.count(), "node").select("key", "root", "node", "found.parts")
     # one text of each key goes to where its candidate is; by merging at every size, as the texts are never small enough to broadcast to

@@ -559,3 +559,15 @@ def test_repetitive_texts_and_items(spark):
     out = decontamination.judged(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).orderBy("doc_id").collect()
     assert time.time() - began < 60
     assert [(r.n_hit, r.n_items) for r in out] == [(100_000, 1), (100_000, 2), (0, 0), (0, 0), (9, 1)]
+
+
+def test_near_copies_take_candidates_from_the_trees(spark):
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) - 2**63 for _ in range(20)]
+    fps += [fps[0], fps[1] ^ 0b111, fps[1] ^ 0b111000, fps[2] ^ 0b1111, fps[0] ^ 1]
+    edges = [tuple(r) for r in simhash.tree_edges(spark.createDataFrame(list(enumerate(fps)), "node long, fp long")).collect()]
+    root = list(range(len(fps)))
+    for _ in fps:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {i: r for i, r in enumerate(root) if r != i} == {20: 0, 24: 0, 21: 1, 22: 1}
